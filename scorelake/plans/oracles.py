@@ -1,0 +1,152 @@
+"""Oracle SQL (DuckDB) for every registered query that SQL can express."""
+
+from __future__ import annotations
+
+from scorelake.operators.score import EMPTY_REFERENCE_ERROR
+from scorelake.plans.literals import EDGE_PAIRS, EDGE_TEXTS, values_sql
+from scorelake.plans.oracle_sql import (
+    char_distance_sql,
+    clean_sql,
+    normalize_sql,
+    q,
+    whisper_sql,
+    word_distance_cte,
+    words_sql,
+)
+from scorelake.plans.pairs import DECODE_FAILURE, PAIR_RUNS
+
+EDGE_TEXTS_SQL = f"SELECT id, text FROM {values_sql(EDGE_TEXTS, ('id', 'text'))}"
+
+
+def _texts_sql(table: str, key: str, column: str, fn) -> str:
+    return (
+        f"SELECT {key} AS id, {fn(column)} AS out FROM {table} "
+        f"UNION ALL SELECT id, {fn('text')} FROM ({EDGE_TEXTS_SQL})"
+    )
+
+
+def _pairs_cte() -> str:
+    runs = ", ".join(f"('{m}', {d}, {s})" for m, d, s in PAIR_RUNS)
+    failed = "(c.conv_id * 31 + c.turn) % 17 = 3"
+    hyp = (
+        "array_to_string(list_filter(list_transform(range(1, len(c.w) + 1), lambda p: "
+        "CASE WHEN (p + c.conv_id) % r.drop_mod = 0 THEN NULL "
+        "WHEN p % r.sub_mod = 0 THEN 'x' ELSE c.w[p] END), lambda x: x IS NOT NULL), ' ')"
+    )
+    edge = values_sql(EDGE_PAIRS, ("id", "reference", "prediction"))
+    return f"""
+conv AS (
+  SELECT conv_id, turn, role, text,
+         row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index,
+         {words_sql(normalize_sql('text'))} AS w
+  FROM conversations),
+runs AS (SELECT * FROM (VALUES {runs}) AS r(model, drop_mod, sub_mod)),
+pairs AS (
+  SELECT r.model || '-' || c.role AS run_name, r.model AS model, c.role AS dataset,
+         c.conv_id, c.turn, c.row_index,
+         CASE WHEN {failed} THEN NULL ELSE c.text END AS reference,
+         CASE WHEN {failed} THEN '' ELSE {hyp} END AS prediction,
+         CASE WHEN {failed} THEN {q(DECODE_FAILURE)} END AS error
+  FROM conv c CROSS JOIN runs r
+  UNION ALL
+  SELECT 'edge-cases', 'edge', 'edge', CAST(-1 AS BIGINT), id, -id, reference, prediction, NULL
+  FROM {edge}
+)"""
+
+
+def _records_cte() -> str:
+    live = "reference IS NOT NULL AND prediction IS NOT NULL AND error IS NULL"
+    return f"""{_pairs_cte()},
+norm AS (
+  SELECT *, run_name || '|' || conv_id || '|' || turn AS key,
+         CASE WHEN {live} THEN {normalize_sql('reference')} END AS ref_n,
+         CASE WHEN {live} THEN {normalize_sql('prediction')} END AS hyp_n,
+         CASE WHEN {live} THEN {whisper_sql('reference')} END AS wref_n,
+         CASE WHEN {live} THEN {whisper_sql('prediction')} END AS whyp_n
+  FROM pairs),
+scoring AS (
+  SELECT * EXCLUDE (error),
+         ref_n IS NOT NULL AND ref_n <> '' AND wref_n <> '' AS valid,
+         CASE WHEN ref_n IS NOT NULL AND (ref_n = '' OR wref_n = '') THEN {q(EMPTY_REFERENCE_ERROR)}
+              ELSE error END AS error
+  FROM norm),
+wsrc AS (SELECT key, {words_sql('ref_n')} AS r, {words_sql('hyp_n')} AS h FROM scoring WHERE valid),
+wwsrc AS (SELECT key, {words_sql('wref_n')} AS r, {words_sql('whyp_n')} AS h FROM scoring WHERE valid),
+{word_distance_cte('wsrc', 'key', 'r', 'h', 'wd')},
+{word_distance_cte('wwsrc', 'key', 'r', 'h', 'wwd')},
+counted AS (
+  SELECT s.*,
+    CASE WHEN valid THEN CAST(wd.dist AS BIGINT) END AS word_errors,
+    CASE WHEN valid THEN CAST(len({words_sql('ref_n')}) AS BIGINT) END AS reference_words,
+    CASE WHEN valid THEN CAST({char_distance_sql('ref_n', 'hyp_n')} AS BIGINT) END AS char_errors,
+    CASE WHEN valid THEN CAST(length(ref_n) AS BIGINT) END AS reference_chars,
+    CASE WHEN valid THEN CAST(wwd.dist AS BIGINT) END AS whisper_word_errors,
+    CASE WHEN valid THEN CAST(len({words_sql('wref_n')}) AS BIGINT) END AS whisper_reference_words,
+    CASE WHEN valid THEN CAST({char_distance_sql('wref_n', 'whyp_n')} AS BIGINT) END AS whisper_char_errors,
+    CASE WHEN valid THEN CAST(length(wref_n) AS BIGINT) END AS whisper_reference_chars
+  FROM scoring s LEFT JOIN wd ON wd.k = s.key LEFT JOIN wwd ON wwd.k = s.key),
+recs AS (
+  SELECT *,
+    word_errors / reference_words * 100 AS wer,
+    char_errors / reference_chars * 100 AS cer,
+    whisper_word_errors / whisper_reference_words * 100 AS whisper_wer,
+    whisper_char_errors / whisper_reference_chars * 100 AS whisper_cer
+  FROM counted)"""
+
+
+_KEY = "run_name, conv_id, turn"
+_COUNTS = (
+    "word_errors", "reference_words", "char_errors", "reference_chars",
+    "whisper_word_errors", "whisper_reference_words", "whisper_char_errors", "whisper_reference_chars",
+)
+
+
+def _with_records(select: str) -> str:
+    return f"WITH RECURSIVE {_records_cte()}\n{select}"
+
+
+def _summary_select(by: str, include_counts: bool = True) -> str:
+    scored = "wer IS NOT NULL AND cer IS NOT NULL"
+    sums = {c: f"CAST(sum({c}) FILTER (WHERE {scored}) AS BIGINT)" for c in _COUNTS}
+    rates = {
+        "mean_wer": ("word_errors", "reference_words"),
+        "mean_cer": ("char_errors", "reference_chars"),
+        "mean_whisper_wer": ("whisper_word_errors", "whisper_reference_words"),
+        "mean_whisper_cer": ("whisper_char_errors", "whisper_reference_chars"),
+    }
+    cols = [
+        'CAST(count(*) AS BIGINT) AS "rows"',
+        f"CAST(count(*) FILTER (WHERE {scored}) AS BIGINT) AS scored_rows",
+        "CAST(count(error) AS BIGINT) AS error_rows",
+    ]
+    if include_counts:
+        cols += [f"{expr} AS {c}" for c, expr in sums.items()]
+    cols += [
+        f"CASE WHEN {sums[d]} > 0 THEN {sums[n]} / {sums[d]} * 100 END AS {name}"
+        for name, (n, d) in rates.items()
+    ]
+    return f"SELECT {by}, {', '.join(cols)} FROM recs GROUP BY {by}"
+
+
+ORACLES = {
+    "clean_artifacts": _texts_sql("pages", "page_id", "html", clean_sql).replace(" AS out", " AS clean"),
+    "normalize_text": _texts_sql("documents", "doc_id", "text", normalize_sql).replace(" AS out", " AS normalized"),
+    "normalize_whisper": _texts_sql("documents", "doc_id", "text", whisper_sql).replace(" AS out", " AS normalized"),
+    "word_edit_distance": _with_records(
+        f"SELECT {_KEY}, word_errors, reference_words, whisper_word_errors, whisper_reference_words "
+        "FROM recs WHERE word_errors IS NOT NULL"),
+    "char_edit_distance": _with_records(
+        f"SELECT {_KEY}, char_errors, reference_chars, whisper_char_errors, whisper_reference_chars "
+        "FROM recs WHERE char_errors IS NOT NULL"),
+    "utterance_error_rates": _with_records(f"SELECT {_KEY}, wer, cer FROM recs WHERE wer IS NOT NULL"),
+    "whisper_error_rates": _with_records(
+        f"SELECT {_KEY}, whisper_wer, whisper_cer FROM recs WHERE whisper_wer IS NOT NULL"),
+    "scored_records": _with_records(
+        f"SELECT {_KEY}, model, dataset, row_index, reference, prediction, error, "
+        "wer, cer, whisper_wer, whisper_cer FROM recs"),
+    "corpus_summary": _with_records(_summary_select("run_name")),
+    "summary_undefined_rates": _with_records(
+        "SELECT * FROM (" + _summary_select("run_name, error IS NOT NULL", include_counts=False)
+        .replace("SELECT run_name, error IS NOT NULL,", "SELECT run_name, error IS NOT NULL AS failed,")
+        + ")"),
+}

@@ -1,0 +1,116 @@
+"""Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
+
+Every query scans whole driver tables (edge-case literal rows are only ever
+appended to them). Column names match the oracle SQL in
+:mod:`scorelake.plans.oracles`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorelake.functions import text
+from scorelake.operators.score import score_records
+from scorelake.operators.summary import summarize
+from scorelake.plans.literals import edge_pairs, edge_texts
+from scorelake.plans.pairs import conversation_pairs
+from scorelake.plans.parallel import spread
+from scorelake.session import apply_runtime_conf
+from scorelake.sources.tables import read_table
+
+
+def _texts(spark: SparkSession, sf_dir: str, table: str, key: str, column: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, table).select(F.col(key).alias("id"), F.col(column).alias("text"))
+    return spread(rows).unionByName(edge_texts(spark))
+
+
+def edge_records(spark: SparkSession) -> DataFrame:
+    """Edge pairs as records of a run ``edge-cases``."""
+    return edge_pairs(spark).select(
+        F.lit("edge-cases").alias("run_name"),
+        F.lit("edge").alias("model"),
+        F.lit("edge").alias("dataset"),
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        (-F.col("id")).alias("row_index"),
+        "reference",
+        "prediction",
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored records of the three synthetic runs plus the edge-case run."""
+    apply_runtime_conf(spark)
+    return score_records(conversation_pairs(spark, sf_dir).unionByName(edge_records(spark)))
+
+
+# ---- step 1/2: text, metrics, summaries ----------------------------------
+
+def q_clean_artifacts(spark, sf_dir):
+    return _texts(spark, sf_dir, "pages", "page_id", "html").select(
+        "id", text.clean_transcript_artifacts("text").alias("clean"))
+
+
+def q_normalize_text(spark, sf_dir):
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select(
+        "id", text.normalize_text("text").alias("normalized"))
+
+
+def q_normalize_whisper(spark, sf_dir):
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select(
+        "id", text.normalize_text_whisper("text").alias("normalized"))
+
+
+_KEY = ("run_name", "conv_id", "turn")
+
+
+def q_word_edit_distance(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("word_errors").isNotNull()).select(
+        *_KEY, "word_errors", "reference_words", "whisper_word_errors", "whisper_reference_words")
+
+
+def q_char_edit_distance(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("char_errors").isNotNull()).select(
+        *_KEY, "char_errors", "reference_chars", "whisper_char_errors", "whisper_reference_chars")
+
+
+def q_utterance_error_rates(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("wer").isNotNull()).select(*_KEY, "wer", "cer")
+
+
+def q_whisper_error_rates(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("whisper_wer").isNotNull()).select(
+        *_KEY, "whisper_wer", "whisper_cer")
+
+
+def q_scored_records(spark, sf_dir):
+    return records(spark, sf_dir).select(
+        *_KEY, "model", "dataset", "row_index", "reference", "prediction", "error",
+        "wer", "cer", "whisper_wer", "whisper_cer")
+
+
+def q_corpus_summary(spark, sf_dir):
+    return summarize(records(spark, sf_dir))
+
+
+def q_summary_undefined_rates(spark, sf_dir):
+    """Summaries per run and outcome: the failed-row groups have no scored
+    rows, so their rates are undefined (NULL)."""
+    recs = records(spark, sf_dir).withColumn("failed", F.col("error").isNotNull())
+    return summarize(recs, by=("run_name", "failed"), include_counts=False)
+
+
+QUERIES = {
+    "clean_artifacts": q_clean_artifacts,
+    "normalize_text": q_normalize_text,
+    "normalize_whisper": q_normalize_whisper,
+    "word_edit_distance": q_word_edit_distance,
+    "char_edit_distance": q_char_edit_distance,
+    "utterance_error_rates": q_utterance_error_rates,
+    "whisper_error_rates": q_whisper_error_rates,
+    "scored_records": q_scored_records,
+    "corpus_summary": q_corpus_summary,
+    "summary_undefined_rates": q_summary_undefined_rates,
+}
