@@ -1,10 +1,11 @@
 """Transcript normalisation as native Spark column expressions.
 
 Everything here is a JVM-side ``regexp_replace`` / ``translate`` / ``lower``
-chain except Unicode composition (NFC, NFKC), which Spark lacks. Those go
-through one Arrow-batched pandas UDF each. The UDF's argument is gated to
-NULL for text that is already normalised, so one scan feeds both kinds of
-row and only the rare rows that need it carry their text to Python.
+chain. Unicode composition (NFC, NFKC) has no Spark built-in; it calls the
+ICU4J normaliser that ships with Spark (see :mod:`scorelake.functions.jvm`),
+or, where that is unavailable, one Arrow-batched pandas UDF. Either way the
+argument is gated to NULL for text that is already normalised, so only the
+rare rows that need composition pay for it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorelake.functions import jvm
+
 # Fixed values. Python's ``\s`` (``str.isspace``) as an explicit class, so
 # java.util.regex and RE2 (the DuckDB oracle) match exactly the same code
 # points: TAB..CR, FS..SPACE, NEL, NBSP, OGHAM SPACE, EN QUAD..HAIR SPACE,
@@ -83,15 +86,19 @@ def _col(c: Column | str) -> Column:
 
 
 def nfc(c: Column | str) -> Column:
-    """Canonical composition; only rows with code points >= U+0300 reach Python."""
+    """Canonical composition; only rows with code points >= U+0300 are touched."""
     c = _col(c)
-    return F.coalesce(_nfc_udf(F.when(c.rlike(_NEEDS_NFC), c)), c)
+    needs = c.rlike(_NEEDS_NFC)
+    composed = jvm.compose(c, False, needs) if jvm.available() else _nfc_udf(F.when(needs, c))
+    return F.coalesce(composed, c)
 
 
 def nfkc(c: Column | str) -> Column:
     """Compatibility composition, gated like :func:`nfc`."""
     c = _col(c)
-    return F.coalesce(_nfkc_udf(F.when(c.rlike(_NEEDS_NFKC), c)), c)
+    needs = c.rlike(_NEEDS_NFKC)
+    composed = jvm.compose(c, True, needs) if jvm.available() else _nfkc_udf(F.when(needs, c))
+    return F.coalesce(composed, c)
 
 
 def remove_control_tokens(c: Column | str) -> Column:
