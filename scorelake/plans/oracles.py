@@ -25,8 +25,22 @@ def _texts_sql(table: str, key: str, column: str, fn) -> str:
     )
 
 
+def slug_sql(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, 'https://', ''), 'http://', ''), '/', '-'), ':', '-')"
+
+
+def job_name_sql(engine: str, model: str, spec: str) -> str:
+    tail = f"string_split({model}, '/')[-1]"
+    return (
+        f"(CASE WHEN {engine} = 'omnilingual' THEN {model} || '-' || {slug_sql(spec)} "
+        f"WHEN {engine} = 'faster_whisper' THEN 'faster_whisper-' || {model} || '-' || {slug_sql(spec)} "
+        f"WHEN {engine} = 'qwen3_asr_vllm' THEN {tail} || '-vllm-' || {slug_sql(spec)} "
+        f"ELSE {tail} || '-' || {slug_sql(spec)} END)"
+    )
+
+
 def _pairs_cte() -> str:
-    runs = ", ".join(f"('{m}', {d}, {s})" for m, d, s in PAIR_RUNS)
+    runs = ", ".join(f"('{e}', '{m}', {d}, {s})" for e, m, d, s in PAIR_RUNS)
     failed = "(c.conv_id * 31 + c.turn) % 17 = 3"
     hyp = (
         "array_to_string(list_filter(list_transform(range(1, len(c.w) + 1), lambda p: "
@@ -40,16 +54,17 @@ conv AS (
          row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index,
          {words_sql(normalize_sql('text'))} AS w
   FROM conversations),
-runs AS (SELECT * FROM (VALUES {runs}) AS r(model, drop_mod, sub_mod)),
+runs AS (SELECT * FROM (VALUES {runs}) AS r(engine, model, drop_mod, sub_mod)),
 pairs AS (
-  SELECT r.model || '-' || c.role AS run_name, r.model AS model, c.role AS dataset,
+  SELECT {job_name_sql('r.engine', 'r.model', "c.role || ':test'")} AS run_name,
+         r.engine AS engine, r.model AS model, c.role AS dataset, 'test' AS split,
          c.conv_id, c.turn, c.row_index,
          CASE WHEN {failed} THEN NULL ELSE c.text END AS reference,
          CASE WHEN {failed} THEN '' ELSE {hyp} END AS prediction,
          CASE WHEN {failed} THEN {q(DECODE_FAILURE)} END AS error
   FROM conv c CROSS JOIN runs r
   UNION ALL
-  SELECT 'edge-cases', 'edge', 'edge', CAST(-1 AS BIGINT), id, -id, reference, prediction, NULL
+  SELECT 'edge-cases', 'edge', 'edge', 'edge', 'test', CAST(-1 AS BIGINT), id, -id, reference, prediction, NULL
   FROM {edge}
 )"""
 
@@ -150,3 +165,121 @@ ORACLES = {
         .replace("SELECT run_name, error IS NOT NULL,", "SELECT run_name, error IS NOT NULL AS failed,")
         + ")"),
 }
+
+
+# ---- step 3: storage -------------------------------------------------------
+
+def _records_from(where: str) -> str:
+    return _with_records(_summary_select("run_name").replace("FROM recs", f"FROM recs WHERE {where}"))
+
+
+def _events_spec_sql() -> str:
+    return ("CASE event_type WHEN 'view' THEN 'fleurs:test' WHEN 'click' THEN ' common_voice : validation' "
+            "WHEN 'signup' THEN 'fleurs:' WHEN 'error' THEN 'unknown:test' "
+            "ELSE 'fleurs:test:' || CAST(user_id AS VARCHAR) END")
+
+
+def _spec_resolution_sql() -> str:
+    from scorelake.sources.catalog import DATASETS, SPEC_FORM_ERROR, supported_dataset_names
+    cat = values_sql(DATASETS, ("cname", "hf_name", "config", "audio_column", "reference_column"))
+    names = supported_dataset_names()
+    return f"""
+WITH s AS (SELECT event_id, {_events_spec_sql()} AS spec FROM events),
+p AS (SELECT *, string_split(spec, ':') AS parts FROM s),
+w AS (SELECT *, len(parts) = 2 AND trim(parts[1]) <> '' AND trim(parts[2]) <> '' AS ok FROM p),
+j AS (SELECT w.*, c.* FROM w LEFT JOIN (SELECT * FROM {cat}) c ON w.ok AND trim(w.parts[1]) = c.cname)
+SELECT event_id, spec,
+  CASE WHEN cname IS NOT NULL THEN trim(parts[1]) END AS name,
+  hf_name, config,
+  CASE WHEN cname IS NOT NULL THEN trim(parts[2]) END AS split,
+  audio_column, reference_column,
+  CASE WHEN NOT ok THEN {q(SPEC_FORM_ERROR + names)}
+       WHEN cname IS NULL THEN 'unsupported dataset ''' || trim(parts[1]) || {q("'. Supported datasets: " + names)}
+  END AS spec_error
+FROM j"""
+
+
+def _matrix_cte() -> str:
+    from scorelake.sources.catalog import MATRIX_MODELS
+    models = values_sql([(e, m, i) for i, (e, m) in enumerate(MATRIX_MODELS)], ("engine", "model", "model_ordinal"))
+    return f"""
+ds AS (SELECT DISTINCT role || ':test' AS dataset FROM conversations),
+mm AS (SELECT * FROM {models}),
+jobs AS (
+  SELECT d.dataset, CAST(m.model_ordinal AS INTEGER) AS model_ordinal, m.engine, m.model,
+         {job_name_sql('m.engine', 'm.model', 'd.dataset')} AS name,
+         CASE WHEN m.engine = 'faster_whisper' THEN ['--device', 'cuda', '--compute-type', 'float16']
+              WHEN m.engine LIKE 'qwen3_asr%' THEN ['--device', 'cuda']
+              ELSE []::VARCHAR[] END AS extra_args
+  FROM ds d CROSS JOIN mm m)"""
+
+
+def _model_resolution_sql() -> str:
+    from scorelake.sources.catalog import OMNILINGUAL_MODELS, QWEN3_ASR_MODELS
+    alias_rows = []
+    for name, ckpt, *_r in OMNILINGUAL_MODELS:
+        alias_rows += [("omnilingual", name, name), ("omnilingual", ckpt, name)]
+    for eng in ("qwen3_asr_transformers", "qwen3_asr_vllm"):
+        for short, mid in QWEN3_ASR_MODELS:
+            alias_rows += [(eng, short, mid), (eng, mid, mid)]
+    aliases = values_sql(alias_rows, ("a_engine", "alias", "exact"))
+    files = values_sql([(ckpt.rsplit("/", 1)[-1], name) for name, ckpt, *_r in OMNILINGUAL_MODELS],
+                       ("file_name", "by_file"))
+    omni = ", ".join(n for n, *_ in OMNILINGUAL_MODELS)
+    return f"""
+WITH r AS (
+  SELECT event_id,
+    CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'omnilingual'
+         WHEN event_type = 'error' THEN 'qwen3_asr_transformers' ELSE 'qwen3_asr_vllm' END AS engine,
+    CASE event_type WHEN 'view' THEN 'omniASR_LLM_1B_v2'
+         WHEN 'click' THEN 'https://dl.fbaipublicfiles.com/mms/omniASR-CTC-300M-v2.pt'
+         WHEN 'signup' THEN '/models/' || CAST(user_id AS VARCHAR) || '/omniASR-CTC-3B-v2.pt'
+         WHEN 'error' THEN 'Qwen3-ASR-1.7B'
+         ELSE 'missing-' || CAST(user_id AS VARCHAR) END AS model
+  FROM events),
+a AS (SELECT r.*, x.exact FROM r LEFT JOIN (SELECT * FROM {aliases}) x ON r.engine = x.a_engine AND r.model = x.alias),
+b AS (SELECT a.*, f.by_file FROM a LEFT JOIN (SELECT * FROM {files}) f
+      ON a.engine = 'omnilingual' AND a.exact IS NULL AND suffix(a.model, '.pt') AND suffix(a.model, f.file_name))
+SELECT event_id, engine, model,
+  coalesce(exact, by_file) AS resolved_model,
+  CASE WHEN coalesce(exact, by_file) IS NOT NULL THEN NULL
+       WHEN engine = 'omnilingual' THEN 'Unsupported omnilingual model ''' || model || {q("'. Supported models: " + omni)}
+       ELSE 'Unsupported Qwen3-ASR model ''' || model || '''. Supported models: Qwen3-ASR-0.6B, Qwen3-ASR-1.7B'
+  END AS resolution_error
+FROM b"""
+
+
+ORACLES.update({
+    "row_index": "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index FROM conversations",
+    "first_n_rows": _records_from("row_index < 2000"),
+    "damaged_line_recovery": (
+        "WITH " + _pairs_cte() + "\nSELECT run_name, row_index, engine, model, dataset, reference, prediction, error "
+        "FROM pairs"),
+    "rescore_all_runs": _with_records(_summary_select("run_name")),
+    "run_slug": f"SELECT page_id, {slug_sql('url')} AS slug FROM pages",
+    "run_name": (
+        "SELECT event_id, trim(regexp_replace(concat_ws('-', event_type, props, 'common_voice', 'test', "
+        "strftime(ts, '%Y%m%d-%H%M%S')), '[^A-Za-z0-9_.-]+', '-', 'g'), '-') AS run_name FROM events"),
+    "spec_resolution": _spec_resolution_sql(),
+    "run_matrix": "WITH " + _matrix_cte() + "\nSELECT * FROM jobs",
+    "pending_runs": (
+        "WITH " + _pairs_cte() + "," + _matrix_cte()
+        + "\nSELECT name, engine, model, dataset FROM jobs WHERE name NOT IN "
+          "(SELECT run_name FROM pairs WHERE run_name <> 'edge-cases')"),
+    "pending_utterances": (
+        "WITH " + _pairs_cte() + "," + _matrix_cte() + """,
+utt AS (SELECT role || ':test' AS dataset, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index,
+               conv_id, turn FROM conversations),
+work AS (SELECT j.name, u.row_index, u.conv_id, u.turn FROM utt u JOIN jobs j ON u.dataset = j.dataset)
+SELECT * FROM work w WHERE NOT EXISTS (
+  SELECT 1 FROM pairs p WHERE p.error IS NULL AND p.run_name = w.name AND p.row_index = w.row_index)"""),
+    "failed_runs": (
+        "WITH " + _pairs_cte() + """
+SELECT run_name, CAST(count(*) AS BIGINT) AS error_rows, min(row_index) AS first_error_row,
+       arg_min(error, row_index) AS first_error
+FROM pairs WHERE error IS NOT NULL AND run_name <> 'edge-cases' GROUP BY run_name"""),
+    "model_resolution": _model_resolution_sql(),
+    "run_ranking": _with_records(
+        "SELECT dataset, run_name, mean_wer, CAST(rank() OVER (PARTITION BY dataset ORDER BY mean_wer ASC NULLS LAST, "
+        "run_name) AS INTEGER) AS rank FROM (" + _summary_select("dataset, run_name", include_counts=False) + ")"),
+})

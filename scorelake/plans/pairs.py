@@ -9,8 +9,10 @@ prediction is derived from the whole normalised word list:
 * a turn with ``(conv_id * 31 + turn) % 17 = 3`` is a failed transcription:
   ``prediction = ''``, no reference, ``error = 'RuntimeError: decode failed'``.
 
-Runs are a fixed three-row model table exploded onto every turn (no join);
-``dataset`` is the turn's ``role`` and ``run_name = model || '-' || role``.
+Runs are a fixed three-row model table exploded onto every turn (no join).
+``dataset`` is the turn's ``role`` read as the dataset spec ``<role>:test``,
+and ``run_name`` follows the benchmark matrix's job-name rule, so stored
+records, the run matrix and skip-if-done planning line up.
 """
 
 from __future__ import annotations
@@ -19,23 +21,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions import text
+from scorelake.plans.matrix import job_name
 from scorelake.plans.parallel import spread
 from scorelake.sources.tables import read_table, with_row_index
 
-# Fixed values: (model, drop_mod, sub_mod) of the three synthetic runs.
-PAIR_RUNS = (("m1", 7, 11), ("m2", 5, 9), ("m3", 13, 17))
+# Fixed values: (engine, model, drop_mod, sub_mod) of the three synthetic runs.
+PAIR_RUNS = (
+    ("faster_whisper", "tiny", 7, 11),
+    ("omnilingual", "omniASR_CTC_300M_v2", 5, 9),
+    ("qwen3_asr_vllm", "Qwen/Qwen3-ASR-0.6B", 13, 17),
+)
+PAIR_SPLIT = "test"
 DECODE_FAILURE = "RuntimeError: decode failed"
 
 
 def _runs_array():
     return F.array(*[
-        F.struct(F.lit(m).alias("model"), F.lit(d).alias("drop_mod"), F.lit(s).alias("sub_mod"))
-        for m, d, s in PAIR_RUNS
+        F.struct(F.lit(e).alias("engine"), F.lit(m).alias("model"),
+                 F.lit(d).alias("drop_mod"), F.lit(s).alias("sub_mod"))
+        for e, m, d, s in PAIR_RUNS
     ])
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records ``(run_name, model, dataset, conv_id, turn, row_index, reference, prediction, error)``."""
+    """Records ``(run_name, engine, model, dataset, split, conv_id, turn, row_index,
+    reference, prediction, error)``."""
     conv = with_row_index(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     conv = spread(conv)
     base = conv.select(
@@ -54,10 +64,13 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         " ",
     )
     failed = (F.col("conv_id") * 31 + F.col("turn")) % 17 == 3
+    spec = F.concat_ws(":", F.col("role"), F.lit(PAIR_SPLIT))
     return runs.select(
-        F.concat_ws("-", F.col("_run.model"), F.col("role")).alias("run_name"),
+        job_name(F.col("_run.engine"), F.col("_run.model"), spec).alias("run_name"),
+        F.col("_run.engine").alias("engine"),
         F.col("_run.model").alias("model"),
         F.col("role").alias("dataset"),
+        F.lit(PAIR_SPLIT).alias("split"),
         "conv_id", "turn", "row_index",
         F.when(~failed, F.col("text")).alias("reference"),
         F.when(failed, F.lit("")).otherwise(hyp).alias("prediction"),
