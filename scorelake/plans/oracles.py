@@ -69,9 +69,9 @@ pairs AS (
 )"""
 
 
-def _records_cte() -> str:
+def _records_cte(pairs_cte: str | None = None) -> str:
     live = "reference IS NOT NULL AND prediction IS NOT NULL AND error IS NULL"
-    return f"""{_pairs_cte()},
+    return f"""{pairs_cte or _pairs_cte()},
 norm AS (
   SELECT *, run_name || '|' || conv_id || '|' || turn AS key,
          CASE WHEN {live} THEN {normalize_sql('reference')} END AS ref_n,
@@ -116,8 +116,8 @@ _COUNTS = (
 )
 
 
-def _with_records(select: str) -> str:
-    return f"WITH RECURSIVE {_records_cte()}\n{select}"
+def _with_records(select: str, pairs_cte: str | None = None) -> str:
+    return f"WITH RECURSIVE {_records_cte(pairs_cte)}\n{select}"
 
 
 def _summary_select(by: str, include_counts: bool = True) -> str:
@@ -283,3 +283,75 @@ FROM pairs WHERE error IS NOT NULL AND run_name <> 'edge-cases' GROUP BY run_nam
         "SELECT dataset, run_name, mean_wer, CAST(rank() OVER (PARTITION BY dataset ORDER BY mean_wer ASC NULLS LAST, "
         "run_name) AS INTEGER) AS rank FROM (" + _summary_select("dataset, run_name", include_counts=False) + ")"),
 })
+
+
+# ---- step 5: audio and inference ------------------------------------------------
+
+AUDIO_RATES = (8000, 11025, 22050, 44100, 16000, 48000)
+
+
+def _audio_input_sql() -> str:
+    return """
+SELECT vec_id,
+  CASE WHEN label <= 3 THEN 'array' WHEN label IN (4, 5) THEN 'bytes'
+       WHEN label IN (6, 7) THEN 'path' ELSE 'value' END AS kind,
+  CASE WHEN label <= 3 THEN CAST(8000 * (1 + label) AS INTEGER) END AS sampling_rate,
+  CASE WHEN label <= 3 OR label = 8 THEN len(embedding) END AS n_samples,
+  CASE WHEN label IN (4, 5) THEN CAST(octet_length(encode(CAST(vec_id AS VARCHAR))) AS INTEGER)
+       WHEN label = 9 THEN 0 END AS n_bytes,
+  CASE WHEN label IN (5, 6, 7) AND label <> 5 THEN 'audio/' || CAST(vec_id AS VARCHAR) || '.wav'
+       WHEN label = 9 THEN '' END AS path
+FROM embeddings"""
+
+
+def _downmix_sql() -> str:
+    return """
+SELECT vec_id, list_transform(range(0, CAST(floor(len(embedding) / 2) AS BIGINT)), lambda i:
+  CAST((CAST(embedding[2 * i + 1] AS DOUBLE) + CAST(embedding[2 * i + 2] AS DOUBLE)) / 2 AS FLOAT)) AS mono
+FROM embeddings"""
+
+
+def _resample_sql() -> str:
+    rates = ", ".join(str(r) for r in AUDIO_RATES)
+    return f"""
+WITH a AS (SELECT vec_id, embedding AS x, [{rates}][label % 6 + 1] AS rate, len(embedding) AS n FROM embeddings),
+b AS (SELECT *, CAST(n AS DOUBLE) / rate AS duration FROM a),
+c AS (SELECT *, greatest(1, CAST(round_even(duration * 16000, 0) AS INTEGER)) AS n_out FROM b),
+d AS (SELECT *, duration / n AS src_step, duration / n_out AS dst_step FROM c)
+SELECT vec_id, CAST(rate AS INTEGER) AS rate,
+  CASE WHEN n = 0 OR rate = 16000 THEN list_transform(x, lambda v: CAST(v AS FLOAT))
+  ELSE list_transform(range(0, n_out), lambda k:
+    CAST(CASE WHEN least(CAST(floor(k * dst_step / src_step) AS INTEGER), n - 1) >= n - 1 THEN CAST(x[n] AS DOUBLE)
+         ELSE CAST(x[CAST(floor(k * dst_step / src_step) AS INTEGER) + 1] AS DOUBLE)
+              + (CAST(x[CAST(floor(k * dst_step / src_step) AS INTEGER) + 2] AS DOUBLE)
+                 - CAST(x[CAST(floor(k * dst_step / src_step) AS INTEGER) + 1] AS DOUBLE))
+                * (k * dst_step - CAST(floor(k * dst_step / src_step) AS INTEGER) * src_step)
+                / ((CAST(floor(k * dst_step / src_step) AS INTEGER) + 1) * src_step
+                   - CAST(floor(k * dst_step / src_step) AS INTEGER) * src_step)
+    END AS FLOAT)) END AS samples
+FROM d"""
+
+
+def _transcribe_pairs_cte() -> str:
+    from scorelake.functions.text import WHITESPACE_CLASS
+    strip = f"regexp_replace(@@, {q('^[' + WHITESPACE_CLASS + ']+|[' + WHITESPACE_CLASS + ']+$')}, '', 'g')"
+    kept = ("array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 4 <> 0), ' ')")
+    failed = "contains(text, '?')"
+    return f"""
+pairs AS (
+  SELECT 'echo-drop4-conversations-test' AS run_name, conv_id, turn,
+         row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index,
+         CASE WHEN {failed} THEN NULL ELSE text END AS reference,
+         CASE WHEN {failed} THEN '' ELSE {strip.replace('@@', kept)} END AS prediction,
+         CASE WHEN {failed} THEN 'RuntimeError: decode failed' END AS error
+  FROM conversations)"""
+
+
+ORACLES.update({
+    "audio_input": _audio_input_sql(),
+    "downmix_mono": _downmix_sql(),
+    "resample_16k": _resample_sql(),
+    "transcribe_batch": _with_records(
+        "SELECT run_name, conv_id, turn, row_index, reference, prediction, error, wer, cer, whisper_wer, whisper_cer "
+        "FROM recs", _transcribe_pairs_cte()),
+})

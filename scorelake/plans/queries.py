@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.functions import text
+from scorelake.functions import audio, text
 from scorelake.operators.rescore import rescore_lines
 from scorelake.operators.score import is_rescorable, score_records
 from scorelake.operators.summary import summarize
@@ -240,6 +240,70 @@ def q_run_ranking(spark, sf_dir):
     return matrix.rank_runs(summ).select("dataset", "run_name", "mean_wer", "rank")
 
 
+# ---- step 5: audio and inference ----------------------------------------------
+
+# Sampling rates assigned to the embedding "waveforms" by label.
+AUDIO_RATES = (8000, 11025, 22050, 44100, 16000, 48000)
+
+
+def _audio_values(spark, sf_dir) -> DataFrame:
+    """Embeddings as audio values of every shape: arrays with a rate, bytes,
+    paths, an array without a rate, and an all-empty value."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    lab = F.col("label")
+    audio = F.struct(
+        F.when((lab <= 3) | (lab == 8), F.col("embedding")).alias("array"),
+        F.when(lab <= 3, (F.lit(8000) * (lab + 1)).cast("int")).alias("sampling_rate"),
+        F.when(lab.isin(4, 5), F.encode(F.col("vec_id").cast("string"), "UTF-8"))
+        .when(lab == 9, F.lit(b"")).alias("bytes"),
+        F.when(lab.isin(5, 6, 7), F.concat(F.lit("audio/"), F.col("vec_id").cast("string"), F.lit(".wav")))
+        .when(lab == 9, F.lit("")).alias("path"),
+    )
+    return emb.select("vec_id", audio.alias("audio"))
+
+
+def q_audio_input(spark, sf_dir):
+    picked = _audio_values(spark, sf_dir).select("vec_id", audio.audio_input("audio").alias("p"))
+    return picked.select(
+        "vec_id", F.col("p.kind").alias("kind"), F.col("p.sampling_rate").alias("sampling_rate"),
+        F.size("p.array").alias("n_samples"), F.length("p.bytes").alias("n_bytes"), F.col("p.path").alias("path"))
+
+
+def q_downmix_mono(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", audio.downmix(audio.frames_from_interleaved("embedding", 2)).alias("mono"))
+
+
+def q_resample_16k(spark, sf_dir):
+    emb = spread(read_table(spark, sf_dir, "embeddings"))
+    rate = F.element_at(F.array(*[F.lit(r) for r in AUDIO_RATES]), (F.col("label") % 6 + 1).cast("int"))
+    return emb.select("vec_id", rate.cast("int").alias("rate"), "embedding").select(
+        "vec_id", "rate", audio.resample("embedding", F.col("rate")).alias("samples"))
+
+
+def q_transcribe_batch(spark, sf_dir):
+    """Inference over every conversation turn with the stub transcriber
+    (audio bytes = the turn's text), then scoring."""
+    from scorelake.operators.inference import transcribe_batch
+    from scorelake.plans.stub import STUB_ENGINE
+
+    apply_runtime_conf(spark)
+    conv = spread(with_row_index(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")))
+    utt = conv.select(
+        F.lit("echo-drop4-conversations-test").alias("run_name"), "conv_id", "turn", "row_index",
+        F.col("text").alias("_ref_text"),
+        F.struct(F.lit(None).cast("array<float>").alias("array"), F.lit(None).cast("int").alias("sampling_rate"),
+                 F.encode("text", "UTF-8").alias("bytes"), F.lit(None).cast("string").alias("path")).alias("audio"),
+    )
+    out = transcribe_batch(utt, STUB_ENGINE, "drop-every-4th")
+    recs = out.select(
+        "run_name", "conv_id", "turn", "row_index",
+        F.when(F.col("error").isNull(), F.col("_ref_text")).alias("reference"), "prediction", "error")
+    return score_records(recs).select(
+        "run_name", "conv_id", "turn", "row_index", "reference", "prediction", "error",
+        "wer", "cer", "whisper_wer", "whisper_cer")
+
+
 QUERIES = {
     "clean_artifacts": q_clean_artifacts,
     "normalize_text": q_normalize_text,
@@ -264,4 +328,8 @@ QUERIES = {
     "failed_runs": q_failed_runs,
     "model_resolution": q_model_resolution,
     "run_ranking": q_run_ranking,
+    "audio_input": q_audio_input,
+    "downmix_mono": q_downmix_mono,
+    "resample_16k": q_resample_16k,
+    "transcribe_batch": q_transcribe_batch,
 }
