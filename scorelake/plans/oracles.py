@@ -355,3 +355,15 @@ ORACLES.update({
         "SELECT run_name, conv_id, turn, row_index, reference, prediction, error, wer, cer, whisper_wer, whisper_cer "
         "FROM recs", _transcribe_pairs_cte()),
 })
+
+
+# ---- step 6: streaming: same results as the batch queries (no edge rows) ----------
+
+_PAIRS_ONLY = "run_name <> 'edge-cases'"
+ORACLES.update({
+    "stream_scored_records": _with_records(
+        f"SELECT {_KEY}, model, dataset, row_index, reference, prediction, error, "
+        f"wer, cer, whisper_wer, whisper_cer FROM recs WHERE {_PAIRS_ONLY}"),
+    "stream_running_summary": _with_records(
+        _summary_select("run_name").replace("FROM recs", f"FROM recs WHERE {_PAIRS_ONLY}")),
+})

@@ -47,7 +47,12 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records ``(run_name, engine, model, dataset, split, conv_id, turn, row_index,
     reference, prediction, error)``."""
     conv = with_row_index(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    conv = spread(conv)
+    return pairs_from(spread(conv))
+
+
+def pairs_from(conv: DataFrame) -> DataFrame:
+    """The pair records for turns ``(conv_id, turn, role, text, row_index)``;
+    batch or streaming."""
     base = conv.select(
         "conv_id", "turn", "role", "text", "row_index",
         text.words(text.normalize_text("text")).alias("_words"),

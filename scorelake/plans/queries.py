@@ -304,6 +304,33 @@ def q_transcribe_batch(spark, sf_dir):
         "wer", "cer", "whisper_wer", "whisper_cer")
 
 
+# ---- step 6: streaming --------------------------------------------------------
+
+def _stream_records(stream: DataFrame) -> DataFrame:
+    from scorelake.plans.pairs import pairs_from
+
+    return pairs_from(stream)
+
+
+def q_stream_scored_records(spark, sf_dir):
+    """Scored records produced by a streaming query over the turns table
+    (available-now trigger, checkpointed file sink), read back in batch."""
+    from scorelake.streaming.stream import run_scored_stream
+
+    apply_runtime_conf(spark)
+    out = run_scored_stream(spark, sf_dir, "conversations.parquet", _stream_records)
+    return out.select(*_KEY, "model", "dataset", "row_index", "reference", "prediction", "error",
+                      "wer", "cer", "whisper_wer", "whisper_cer")
+
+
+def q_stream_running_summary(spark, sf_dir):
+    """The per-run summary kept as streaming state; equals the batch summary."""
+    from scorelake.streaming.stream import run_summary_stream
+
+    apply_runtime_conf(spark)
+    return run_summary_stream(spark, sf_dir, "conversations.parquet", _stream_records)
+
+
 QUERIES = {
     "clean_artifacts": q_clean_artifacts,
     "normalize_text": q_normalize_text,
@@ -332,4 +359,6 @@ QUERIES = {
     "downmix_mono": q_downmix_mono,
     "resample_16k": q_resample_16k,
     "transcribe_batch": q_transcribe_batch,
+    "stream_scored_records": q_stream_scored_records,
+    "stream_running_summary": q_stream_running_summary,
 }
