@@ -59,6 +59,37 @@ def checkpoint_root(spark: SparkSession) -> str:
     return local
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``scorelake`` importable in executor Python workers (once per app).
+
+    Only code that runs in Python on executors needs it (``mapInPandas``
+    inference, the pandas-UDF fallback). The zip is written under the shared
+    checkpoint root and distributed by ``addPyFile``.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="scorelake-pkg-")
+    archive = shutil.make_archive(os.path.join(staging, "scorelake"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="scorelake")
+    root = checkpoint_root(spark)
+    if "://" not in root:
+        target_dir = scratch_path(spark, "pyfiles")
+        os.makedirs(target_dir, exist_ok=True)
+        target = os.path.join(target_dir, "scorelake.zip")
+        shutil.copyfile(archive, target)
+    else:
+        target = archive  # addPyFile uploads it through the driver's file server
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
