@@ -93,3 +93,29 @@ def test_store_roundtrip_recovery_and_rescore(spark):
     rec.rewrite_atomically(records, store)
     assert spark.read.json(store).count() == 4
     assert not [d for d in os.listdir(root) if ".staging-" in d or ".old-" in d]
+
+
+def test_evaluate_run_lifecycle(spark):
+    import pytest
+
+    from scorelake.plans.evaluate import evaluate_run
+    from scorelake.sources.tables import with_row_index  # noqa: F401
+
+    src = spark.createDataFrame(
+        [(i, (None, None, None, f"sample-{i}.wav"), "merhaba") for i in range(3)],
+        "row_index long, audio struct<array:array<float>,sampling_rate:int,bytes:binary,path:string>, "
+        "transcription string")
+    out = tempfile.mkdtemp(prefix="scorelake-run-")
+    records, summary = evaluate_run(src, "fake", "fake-model", "fleurs:validation", name="test-run",
+                                    limit=2, output_root=out)
+    assert records.count() == 2
+    s = summary.first()
+    assert (s["rows"], s["scored_rows"], s["error_rows"], s["mean_wer"]) == (2, 2, 0, 0.0)
+    assert os.path.isdir(os.path.join(out, "summaries", "run_name=test-run"))
+    r = records.orderBy("row_index").first()
+    assert (r["dataset"], r["hf_dataset"], r["split"], r["reference_column"]) == (
+        "fleurs", "google/fleurs", "validation", "transcription")
+    with pytest.raises(ValueError, match="Reference column 'transcription' was not found"):
+        evaluate_run(src.drop("transcription"), "fake", "m", "fleurs:test")
+    with pytest.raises(ValueError, match="--limit must be >= 1"):
+        evaluate_run(src, "fake", "m", "fleurs:test", limit=0)
