@@ -44,6 +44,25 @@ def pair_vocabulary(ref_tokens: Column | str, hyp_tokens: Column | str) -> Colum
     return F.array_distinct(F.concat(_col(ref_tokens), _col(hyp_tokens)))
 
 
+def word_codes(tokens: Column | str, vocabulary: Column | str) -> Column:
+    """Tokens -> one code point per word; BMP codes while the vocabulary fits."""
+    v = _col(vocabulary)
+    if not jvm.available():
+        return encode_words(tokens, v, _SUPPLEMENTARY_BASE)
+    base = F.when(F.size(v) <= _BMP_WORD_LIMIT, F.lit(_WORD_CODE_BASE)).otherwise(F.lit(_SUPPLEMENTARY_BASE))
+    return encode_words(tokens, v, base)
+
+
+def coded_word_distance(ref_codes: Column | str, hyp_codes: Column | str, vocabulary: Column | str) -> Column:
+    """Word distance from strings built by :func:`word_codes` (materialise
+    them as columns first: each is then computed once)."""
+    er, eh = _col(ref_codes), _col(hyp_codes)
+    if not jvm.available():
+        return F.levenshtein(er, eh)
+    in_bmp = F.size(_col(vocabulary)) <= _BMP_WORD_LIMIT
+    return F.when(in_bmp, jvm.utf16_levenshtein(er, eh)).otherwise(F.levenshtein(er, eh))
+
+
 def word_edit_distance(ref_tokens: Column | str, hyp_tokens: Column | str, vocabulary: Column | str | None = None) -> Column:
     """Minimal substitutions + deletions + insertions over words.
 

@@ -94,11 +94,16 @@ def nfc(c: Column | str) -> Column:
 
 
 def nfkc(c: Column | str) -> Column:
-    """Compatibility composition, gated like :func:`nfc`."""
+    """Compatibility composition.
+
+    On the JVM path ICU's own quick check is cheaper than any regex gate (the
+    set of NFKC-stable code points is a long class), so every row goes to
+    ICU; only the Python fallback is gated.
+    """
     c = _col(c)
-    needs = c.rlike(_NEEDS_NFKC)
-    composed = jvm.compose(c, True, needs) if jvm.available() else _nfkc_udf(F.when(needs, c))
-    return F.coalesce(composed, c)
+    if jvm.available():
+        return jvm.compose(c, True)
+    return F.coalesce(_nfkc_udf(F.when(c.rlike(_NEEDS_NFKC), c)), c)
 
 
 def remove_control_tokens(c: Column | str) -> Column:
@@ -141,20 +146,31 @@ def normalize_text(c: Column | str) -> Column:
     return normalize_cleaned(clean_transcript_artifacts(c))
 
 
+def whisper_prepare(clean: Column | str) -> Column:
+    """C9, first half: lowercase, delete bracketed then parenthesised spans."""
+    s = F.lower(_col(clean))
+    s = F.regexp_replace(s, WHISPER_BRACKETED, "")
+    return F.regexp_replace(s, WHISPER_PARENTHESISED, "")
+
+
+def whisper_finish(composed: Column | str) -> Column:
+    """C9, second half (after NFKC): marks/symbols/punctuation -> space,
+    lowercase, collapse whitespace, strip."""
+    s = F.regexp_replace(_col(composed), WHISPER_MARK_SYMBOL_PUNCT, " ")
+    return collapse_whitespace(F.lower(s))
+
+
 def whisper_normalize_cleaned(clean: Column | str) -> Column:
     """C9 over text that already went through C4.
 
     Whisper's multilingual basic normaliser: lowercase, delete bracketed and
     parenthesised spans, NFKC, every mark/symbol/punctuation -> space,
-    lowercase again, collapse whitespace; then strip.
+    lowercase again, collapse whitespace; then strip. (Batch jobs should
+    materialise :func:`whisper_prepare` as a column before :func:`nfkc`, as
+    :func:`scorelake.operators.score.score_records` does, so the regex chain
+    is evaluated once.)
     """
-    s = F.lower(_col(clean))
-    s = F.regexp_replace(s, WHISPER_BRACKETED, "")
-    s = F.regexp_replace(s, WHISPER_PARENTHESISED, "")
-    s = nfkc(s)
-    s = F.regexp_replace(s, WHISPER_MARK_SYMBOL_PUNCT, " ")
-    s = F.lower(s)
-    return collapse_whitespace(s)
+    return whisper_finish(nfkc(whisper_prepare(clean)))
 
 
 def normalize_text_whisper(c: Column | str) -> Column:

@@ -43,9 +43,10 @@ def is_rescorable() -> Column:
     return F.col("reference").isNotNull() & F.col("prediction").isNotNull() & F.col("error").isNull()
 
 
-def _distances(ref_norm: str, hyp_norm: str, ref_tokens: str, hyp_tokens: str, vocabulary: str) -> tuple[Column, Column, Column, Column]:
+def _distances(ref_norm: str, hyp_norm: str, ref_tokens: str, ref_codes: str, hyp_codes: str,
+               vocabulary: str) -> tuple[Column, Column, Column, Column]:
     same = F.col(ref_norm) == F.col(hyp_norm)
-    word_errors = F.when(same, F.lit(0)).otherwise(metrics.word_edit_distance(ref_tokens, hyp_tokens, vocabulary))
+    word_errors = F.when(same, F.lit(0)).otherwise(metrics.coded_word_distance(ref_codes, hyp_codes, vocabulary))
     char_errors = F.when(same, F.lit(0)).otherwise(metrics.char_edit_distance(ref_norm, hyp_norm))
     return (
         word_errors.cast("bigint"),
@@ -76,14 +77,20 @@ def score_records(records: DataFrame, empty_reference: str = "error") -> DataFra
         F.when(live, text.clean_transcript_artifacts("reference")).alias("_ref_clean"),
         F.when(live, text.clean_transcript_artifacts("prediction")).alias("_hyp_clean"),
     )
-    # Stage 2: both normalisations.
+    # Stage 2: the primary normalisation and the Whisper normaliser's first
+    # half; then NFKC; then its second half. Each intermediate string is its
+    # own column, so no regex chain is evaluated twice.
     stage = stage.select(
         *out_cols,
         text.normalize_cleaned("_ref_clean").alias("_ref"),
         text.normalize_cleaned("_hyp_clean").alias("_hyp"),
-        text.whisper_normalize_cleaned("_ref_clean").alias("_wref"),
-        text.whisper_normalize_cleaned("_hyp_clean").alias("_whyp"),
+        text.whisper_prepare("_ref_clean").alias("_wref"),
+        text.whisper_prepare("_hyp_clean").alias("_whyp"),
     )
+    stage = stage.select(*out_cols, "_ref", "_hyp",
+                         text.nfkc("_wref").alias("_wref"), text.nfkc("_whyp").alias("_whyp"))
+    stage = stage.select(*out_cols, "_ref", "_hyp",
+                         text.whisper_finish("_wref").alias("_wref"), text.whisper_finish("_whyp").alias("_whyp"))
     # Stage 3: tokens, then each pair's word vocabulary.
     stage = stage.select(
         *out_cols, "_ref", "_hyp", "_wref", "_whyp",
@@ -97,14 +104,21 @@ def score_records(records: DataFrame, empty_reference: str = "error") -> DataFra
         metrics.pair_vocabulary("_ref_w", "_hyp_w").alias("_voc"),
         metrics.pair_vocabulary("_wref_w", "_whyp_w").alias("_wvoc"),
     )
+    stage = stage.select(
+        "*",
+        metrics.word_codes("_ref_w", "_voc").alias("_ref_code"),
+        metrics.word_codes("_hyp_w", "_voc").alias("_hyp_code"),
+        metrics.word_codes("_wref_w", "_wvoc").alias("_wref_code"),
+        metrics.word_codes("_whyp_w", "_wvoc").alias("_whyp_code"),
+    )
     empty_ref = (F.col("_ref") == "") | (F.col("_wref") == "")
     if empty_reference == "error":
         valid = F.col("_ref").isNotNull() & ~empty_ref
     else:
         valid = F.col("_ref").isNotNull()
 
-    we, rw, ce, rc = _distances("_ref", "_hyp", "_ref_w", "_hyp_w", "_voc")
-    wwe, wrw, wce, wrc = _distances("_wref", "_whyp", "_wref_w", "_whyp_w", "_wvoc")
+    we, rw, ce, rc = _distances("_ref", "_hyp", "_ref_w", "_ref_code", "_hyp_code", "_voc")
+    wwe, wrw, wce, wrc = _distances("_wref", "_whyp", "_wref_w", "_wref_code", "_whyp_code", "_wvoc")
     counts = {
         "word_errors": we, "reference_words": rw, "char_errors": ce, "reference_chars": rc,
         "whisper_word_errors": wwe, "whisper_reference_words": wrw,

@@ -53,10 +53,9 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs_from(conv: DataFrame) -> DataFrame:
     """The pair records for turns ``(conv_id, turn, role, text, row_index)``;
     batch or streaming."""
-    base = conv.select(
-        "conv_id", "turn", "role", "text", "row_index",
-        text.words(text.normalize_text("text")).alias("_words"),
-    )
+    base = conv.select("conv_id", "turn", "role", "text", "row_index",
+                       text.normalize_text("text").alias("_norm"))
+    base = base.select("conv_id", "turn", "role", "text", "row_index", text.words("_norm").alias("_words"))
     runs = base.select("*", F.explode(_runs_array()).alias("_run"))
     p = lambda i: i + 1  # noqa: E731  1-based word position
     hyp = F.array_join(

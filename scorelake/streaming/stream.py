@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.operators.score import score_records
+from scorelake.plans.parallel import TASKS_PER_CORE
 from scorelake.operators.summary import summary_aggregates, with_summary_rates
 from scorelake.session import scratch_path
 
@@ -24,7 +25,10 @@ def read_turn_stream(spark: SparkSession, directory: str, file_glob: str = "*.pa
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(directory).schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", file_glob).parquet(directory))
-    return stream.select("conv_id", "turn", "role", "text", F.col("_metadata.row_index").alias("row_index"))
+    turns = stream.select("conv_id", "turn", "role", "text", F.col("_metadata.row_index").alias("row_index"))
+    # A micro-batch of one file is one split: spread its rows over the cores
+    # before the quadratic scoring work (a round-robin exchange per batch).
+    return turns.repartition(spark.sparkContext.defaultParallelism * TASKS_PER_CORE)
 
 
 def write_record_stream(records: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
