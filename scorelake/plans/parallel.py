@@ -19,7 +19,10 @@ def spread(df: DataFrame, tasks_per_core: int = TASKS_PER_CORE) -> DataFrame:
     locally first, so a retried task sees the same rows.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no RDD access (e.g. a remote session): leave the plan as it is
         return df
     return df.repartition(cores * tasks_per_core)

@@ -119,3 +119,20 @@ def test_evaluate_run_lifecycle(spark):
         evaluate_run(src.drop("transcription"), "fake", "m", "fleurs:test")
     with pytest.raises(ValueError, match="--limit must be >= 1"):
         evaluate_run(src, "fake", "m", "fleurs:test", limit=0)
+
+
+def test_row_index_across_files(spark):
+    from scorelake.sources.tables import source_row_count, with_row_index
+
+    path = os.path.join(tempfile.mkdtemp(prefix="scorelake-ri-"), "t")
+    spark.range(0, 1000, numPartitions=4).selectExpr("id", "id * 2 AS v").write.parquet(path)
+    df = spark.read.parquet(path)
+    files = sorted(df.inputFiles())
+    assert len(files) == 4
+    out = with_row_index(df).select("id", "row_index", "v")
+    rows = out.collect()
+    assert sorted(r["row_index"] for r in rows) == list(range(1000))
+    # Order: files by path, then position inside each file.
+    by_index = [r["id"] for r in sorted(rows, key=lambda r: r["row_index"])]
+    assert by_index == sorted(by_index)
+    assert source_row_count(df, limit=10) == 10
