@@ -117,12 +117,19 @@ def score_records(records: DataFrame, empty_reference: str = "error") -> DataFra
     else:
         valid = F.col("_ref").isNotNull()
 
+    # Primary distances first, in their own projection. Where the Whisper
+    # normaliser gives the same two strings (common: both drop punctuation),
+    # its distances are the same numbers and the alignment is not redone.
     we, rw, ce, rc = _distances("_ref", "_hyp", "_ref_w", "_ref_code", "_hyp_code", "_voc")
+    stage = stage.select("*", F.when(valid, we).alias("_we"), F.when(valid, ce).alias("_ce"))
+    mirror = (F.col("_wref") == F.col("_ref")) & (F.col("_whyp") == F.col("_hyp"))
     wwe, wrw, wce, wrc = _distances("_wref", "_whyp", "_wref_w", "_wref_code", "_whyp_code", "_wvoc")
     counts = {
-        "word_errors": we, "reference_words": rw, "char_errors": ce, "reference_chars": rc,
-        "whisper_word_errors": wwe, "whisper_reference_words": wrw,
-        "whisper_char_errors": wce, "whisper_reference_chars": wrc,
+        "word_errors": F.col("_we"), "reference_words": rw, "char_errors": F.col("_ce"), "reference_chars": rc,
+        "whisper_word_errors": F.when(mirror, F.col("_we")).otherwise(wwe),
+        "whisper_reference_words": wrw,
+        "whisper_char_errors": F.when(mirror, F.col("_ce")).otherwise(wce),
+        "whisper_reference_chars": wrc,
     }
     # Stage 4: integers (all four distances or none). They leave through a
     # one-row ``inline`` (a Generate): predicates on its output columns are
