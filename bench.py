@@ -63,6 +63,14 @@ def main() -> None:
         run(QUERIES[name](spark, sf_dir))
         timings[name] = round(time.perf_counter() - t0, 3)
     conv_rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
+    emb_rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    from scorelake.plans.literals import EDGE_PAIRS
+    from scorelake.plans.pairs import PAIR_RUNS
+
+    records = len(PAIR_RUNS) * conv_rows + len(EDGE_PAIRS)
+    rows = {"corpus_summary": records, "rescore_all_runs": records, "resample_16k": emb_rows,
+            "scored_records": records, "transcribe_batch": conv_rows}
+    rows_per_sec = {k: round(n / timings[k], 1) for k, n in rows.items() if timings.get(k)}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "headline_queries_total",
@@ -70,11 +78,11 @@ def main() -> None:
         "unit": "sec",
         "queries": timings,
         "sf": float(m.group(1)) if m else sf_dir,
-        "records_scored_per_sec": round(3 * conv_rows / timings["corpus_summary"], 1)
-        if timings.get("corpus_summary") else None,
+        "rows_per_sec": rows_per_sec,
         "machine": f"local[{cpus}] {platform.machine()} python{platform.python_version()}",
-        "spark_conf": {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
-                       "spark.sql.adaptive.enabled": spark.conf.get("spark.sql.adaptive.enabled")},
+        "spark_conf": {k: spark.conf.get(k) for k in (
+            "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.driver.memory",
+            "spark.sql.execution.arrow.maxRecordsPerBatch")},
     }
     print(json.dumps(out))
     spark.stop()

@@ -135,3 +135,11 @@ def rewrite_atomically(df: DataFrame, path: str, writer=write_records) -> None:
         raise OSError(f"could not move staging data to {path}")
     if had_old:
         fs.delete(backup, True)
+
+
+def stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """the runs in a store with their files, in path order."""
+    lines = read_record_lines(spark, path)
+    return (lines.groupBy("run_name").agg(F.min("file_path").alias("first_file"),
+                                          F.count(F.lit(1)).alias("lines"))
+            .orderBy("first_file"))

@@ -59,3 +59,16 @@ def source_row_count(df: DataFrame, limit: int | None = None) -> int:
     """A5: row count (parquet footers answer it), capped by ``limit``."""
     total = df.count()
     return min(total, limit) if limit is not None else total
+
+
+def read_split(spark: SparkSession, root: str, spec, columns: list[str] | None = None) -> DataFrame:
+    """A3: one split of a dataset stored as ``<root>/<name>/config=<config>/split=<split>/*.parquet``.
+
+    The split and config are partition columns, so the filter prunes whole
+    directories before any file is opened; only ``columns`` (plus the audio
+    and reference columns of ``spec``) are read.
+    """
+    df = spark.read.parquet(f"{root.rstrip('/')}/{spec.name}")
+    df = df.where((F.col("config") == spec.config) & (F.col("split") == spec.split))
+    keep = columns or [c for c in df.columns if c not in ("config", "split")]
+    return df.select(*keep)

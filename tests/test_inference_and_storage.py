@@ -136,3 +136,17 @@ def test_row_index_across_files(spark):
     by_index = [r["id"] for r in sorted(rows, key=lambda r: r["row_index"])]
     assert by_index == sorted(by_index)
     assert source_row_count(df, limit=10) == 10
+
+
+def test_read_split_prunes_partitions(spark):
+    from scorelake.sources.catalog import parse_dataset_spec
+    from scorelake.sources.tables import read_split
+
+    root = tempfile.mkdtemp(prefix="scorelake-ds-")
+    rows = [("a.wav", "bir", "tr_tr", "test"), ("b.wav", "iki", "tr_tr", "validation"), ("c.wav", "üç", "xx", "test")]
+    (spark.createDataFrame(rows, "audio string, transcription string, config string, split string")
+     .write.partitionBy("config", "split").parquet(os.path.join(root, "fleurs")))
+    df = read_split(spark, root, parse_dataset_spec("fleurs:test"))
+    assert [r["transcription"] for r in df.collect()] == ["bir"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "split" in plan
