@@ -275,7 +275,7 @@ def q_downmix_mono(spark, sf_dir):
 
 
 def q_resample_16k(spark, sf_dir):
-    emb = spread(read_table(spark, sf_dir, "embeddings"))
+    emb = read_table(spark, sf_dir, "embeddings")  # linear per row: no spread needed
     rate = F.element_at(F.array(*[F.lit(r) for r in AUDIO_RATES]), (F.col("label") % 6 + 1).cast("int"))
     return emb.select("vec_id", rate.cast("int").alias("rate"), "embedding").select(
         "vec_id", "rate", audio.resample("embedding", F.col("rate")).alias("samples"))
