@@ -53,8 +53,9 @@ def downmix(frames: Column | str) -> Column:
     """G1: ``array<array<float>>`` (frames x channels) -> mono float32 (channel mean)."""
     return F.transform(
         _col(frames),
-        lambda f: (F.aggregate(f, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double"))
-                   / F.size(f)).cast("float"),
+        lambda f: F.when(F.size(f) > 0, (
+            F.aggregate(f, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double"))
+            / F.size(f)).cast("float")),
     )
 
 
@@ -87,7 +88,9 @@ def resample(samples: Column | str, rate: Column | str | int, target: int = TARG
 
     converted = F.transform(x, lambda v: v.cast("float"))
     resampled = F.transform(F.sequence(F.lit(0), n_out - 1), at)
-    return F.when(n == 0, converted).when(r == target, converted).otherwise(resampled)
+    # A missing or non-positive rate has no duration: NULL (ANSI-safe).
+    return (F.when(n == 0, converted).when(r == target, converted)
+            .when(r > 0, resampled))
 
 
 def frames_from_interleaved(samples: Column | str, channels: int = 2) -> Column:
