@@ -85,11 +85,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _python_fallback(udf, c: Column) -> Column:
+    """The pandas UDF path: executors must be able to import this package."""
+    from pyspark.sql import SparkSession
+
+    from scorelake.session import ship_package
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+    return udf(c)
+
+
 def nfc(c: Column | str) -> Column:
     """Canonical composition; only rows with code points >= U+0300 are touched."""
     c = _col(c)
     needs = c.rlike(_NEEDS_NFC)
-    composed = jvm.compose(c, False, needs) if jvm.available() else _nfc_udf(F.when(needs, c))
+    composed = jvm.compose(c, False, needs) if jvm.available() else _python_fallback(_nfc_udf, F.when(needs, c))
     return F.coalesce(composed, c)
 
 
@@ -103,7 +115,7 @@ def nfkc(c: Column | str) -> Column:
     c = _col(c)
     if jvm.available():
         return jvm.compose(c, True)
-    return F.coalesce(_nfkc_udf(F.when(c.rlike(_NEEDS_NFKC), c)), c)
+    return F.coalesce(_python_fallback(_nfkc_udf, F.when(c.rlike(_NEEDS_NFKC), c)), c)
 
 
 def remove_control_tokens(c: Column | str) -> Column:
