@@ -40,12 +40,17 @@ def write_record_stream(records: DataFrame, sink: str, checkpoint: str, availabl
 
 
 def write_running_summary(records: DataFrame, table: str, checkpoint: str, by: tuple[str, ...] = ("run_name",),
-                          available_now: bool = True):
+                          available_now: bool = True, state_partitions: int | None = None):
     """H2: stateful per-run counters and sums, rewritten into ``table`` each micro-batch.
 
     ``complete`` mode re-emits every run's state (one row per run), and the
-    batch writer replaces the table atomically per epoch.
+    batch writer replaces the table atomically per epoch. The state is one
+    row per run, so ``state_partitions`` (default: the cluster's cores) state
+    stores are plenty; Spark fixes this number in the checkpoint when the
+    query first starts. A hot run is no problem: the aggregate is partial
+    before the shuffle, so each task sends one row per run.
     """
+    spark = records.sparkSession
     sums = records.groupBy(*by).agg(*summary_aggregates())
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
@@ -54,7 +59,13 @@ def write_running_summary(records: DataFrame, table: str, checkpoint: str, by: t
     writer = (sums.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
               .foreachBatch(merge))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        return writer.start()  # the query clones the session conf here
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
 
 
 def read_running_summary(spark: SparkSession, table: str) -> DataFrame:
