@@ -86,6 +86,8 @@ def test_store_roundtrip_recovery_and_rescore(spark):
     good = rec.parsed_records(recovered)
     assert good.count() == 4
     assert good.where("row_index = 9").first()["reference"] == "a b"
+    runs = rec.stored_runs(spark, store).collect()
+    assert [r["run_name"] for r in runs] == ["test-run"] and runs[0]["lines"] == 7
     records, summary = rescore_store(spark, store)
     s = summary.first()
     assert (s["rows"], s["scored_rows"], s["error_rows"]) == (4, 3, 1)

@@ -81,3 +81,13 @@ def test_supplementary_word_codes_match_bmp_codes(spark):
         metrics.word_edit_distance("r", "h", "v").alias("bmp"),
     ).collect()
     assert [(r["supp"], r["bmp"]) for r in out] == [(3, 3), (1, 1), (2, 2)]
+
+
+def test_empty_reference_convention(spark):
+    df = spark.createDataFrame(
+        [(0, "...", "", None), (1, "!!", "bir", None), (2, "bir", "bir iki", None)],
+        "id int, reference string, prediction string, error string")
+    out = {r["id"]: r for r in score_records(df, empty_reference="convention").collect()}
+    assert (out[0]["wer"], out[0]["cer"]) == (0.0, 0.0) and out[0]["error"] is None
+    assert (out[1]["wer"], out[1]["cer"]) == (100.0, 100.0)
+    assert out[2]["wer"] == 100.0
