@@ -14,6 +14,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Scoring is CPU-heavy (~1 ms per record and alignment): smaller scan
+    # splits bound the work a lost executor takes with it, without a shuffle.
+    # (Splits follow parquet row groups, so inputs should be written with
+    # row groups of this size or smaller.)
+    "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     # Inference batches carry audio arrays (10 s at 16 kHz is ~640 KB a row):
     # 256 rows keep one Arrow batch near 160 MB in the Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
