@@ -152,3 +152,26 @@ def test_read_split_prunes_partitions(spark):
     assert [r["transcription"] for r in df.collect()] == ["bir"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "split" in plan
+
+
+def test_hot_run_is_not_funnelled_into_one_task(spark):
+    # One run holds a third of all rows: the sink writes it from every task
+    # (several files), and the summary aggregates partially before the shuffle.
+    from pyspark.sql import functions as F
+
+    n = 3000
+    df = spark.range(n).repartition(8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("run-"), (F.col("id") % 50).cast("string")))
+        .alias("run_name"),
+        F.col("id").alias("row_index"), F.lit("bir iki").alias("reference"), F.lit("bir").alias("prediction"),
+        F.lit(None).cast("string").alias("error"))
+    scored = score_records(df)
+    store = os.path.join(tempfile.mkdtemp(prefix="scorelake-hot-"), "records")
+    rec.write_records(scored, store)
+    hot_files = [f for f in os.listdir(os.path.join(store, "run_name=hot")) if f.endswith(".json")]
+    assert len(hot_files) > 1
+    summary = summarize(scored)
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+    hot = summary.where("run_name = 'hot'").first()
+    assert hot["rows"] == n // 3 and hot["mean_wer"] == 50.0
