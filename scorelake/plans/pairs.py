@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import text
 from scorelake.plans.matrix import job_name
 from scorelake.plans.parallel import spread
-from scorelake.sources.tables import read_table, with_row_index
+from scorelake.sources.tables import first_n_rows, read_table, with_row_index
 
 # Fixed values: (engine, model, drop_mod, sub_mod) of the three synthetic runs.
 PAIR_RUNS = (
@@ -43,11 +43,12 @@ def _runs_array():
     ])
 
 
-def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_pairs(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """Records ``(run_name, engine, model, dataset, split, conv_id, turn, row_index,
-    reference, prediction, error)``."""
+    reference, prediction, error)``; with ``limit``, only the first source rows
+    (applied right after the scan, before any text work)."""
     conv = with_row_index(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return pairs_from(spread(conv))
+    return pairs_from(spread(first_n_rows(conv, limit)))
 
 
 def pairs_from(conv: DataFrame) -> DataFrame:

@@ -46,10 +46,18 @@ def edge_records(spark: SparkSession) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored records of the three synthetic runs plus the edge-case run."""
+def records(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """Scored records of the three synthetic runs plus the edge-case run.
+
+    Any row filter goes in before scoring (here: ``limit``): Spark does not
+    push predicates through the projections that call ``reflect`` (flagged
+    non-deterministic), so a filter placed after scoring would not save work.
+    """
     apply_runtime_conf(spark)
-    return score_records(conversation_pairs(spark, sf_dir).unionByName(edge_records(spark)))
+    edge = edge_records(spark)
+    if limit is not None:
+        edge = first_n_rows(edge, limit)
+    return score_records(conversation_pairs(spark, sf_dir, limit).unionByName(edge))
 
 
 # ---- step 1/2: text, metrics, summaries ----------------------------------
@@ -120,9 +128,9 @@ def q_row_index(spark, sf_dir):
 
 
 def q_first_n_rows(spark, sf_dir):
-    """Per-run summary over the first PROTOCOL_LIMIT source rows; the
-    row_index predicate is pushed below scoring, so later rows are never scored."""
-    return summarize(first_n_rows(records(spark, sf_dir), PROTOCOL_LIMIT))
+    """Per-run summary over the first PROTOCOL_LIMIT source rows; the limit is
+    applied right after the scan, so later rows are never normalised or scored."""
+    return summarize(records(spark, sf_dir, PROTOCOL_LIMIT))
 
 
 def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,12 @@ def test_scan_prunes_columns(spark):
     df = QUERIES["run_slug"](spark, SF_SMALL)
     plan = _plan(df)
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
+
+
+def test_limit_applies_before_scoring(spark):
+    plan = QUERIES["first_n_rows"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    filt = next(i for i, l in enumerate(lines) if "Filter" in l and "2000" in l)
+    gens = [i for i, l in enumerate(lines) if "Generate inline" in l]
+    # Children print below parents: the limit filter must sit under the scoring Generate.
+    assert gens and all(filt > g for g in gens)
