@@ -101,3 +101,24 @@ def test_language_hints(spark):
     df = spark.createDataFrame(rows, "engine string, model string")
     got = [r["h"] for r in df.select(language_hint(F.col("engine"), F.col("model")).alias("h")).collect()]
     assert got == ["tr", "tr-TR", None, "tur_Latn", "Turkish"]
+
+
+def test_stop_on_error_and_force(spark):
+    from scorelake.plans.matrix import first_failure, pending_runs, run_matrix
+
+    jobs = run_matrix(spark.createDataFrame([("fleurs:test", 0), ("common_voice:test", 1)], "dataset string, o int"),
+                      order_col="o")
+    assert jobs.count() == 38
+    names = [r["name"] for r in jobs.where("o = 0").orderBy("model_ordinal").collect()]
+    assert names[0] == "omniASR_CTC_300M_v2-fleurs-test"
+    assert "faster_whisper-large-v3-fleurs-test" in names and "Qwen3-ASR-1.7B-vllm-fleurs-test" in names
+    assert "nemotron-3.5-asr-streaming-0.6b-fleurs-test" in names
+    done = jobs.where("o = 0").select("name")
+    assert pending_runs(jobs, done).count() == 19
+    assert pending_runs(jobs, done, force=True).count() == 38
+    failures = spark.createDataFrame([("b", 1, 5), ("a", 2, 3), ("c", 1, 9)], "name string, code int, ordinal int")
+    assert first_failure(failures, "ordinal").first()["name"] == "a"
+    limited = run_matrix(spark.createDataFrame([("fleurs:test",)], "dataset string"), limit=2000)
+    row = limited.where("engine = 'faster_whisper' AND model = 'tiny'").first()
+    assert row["name"] == "faster_whisper-tiny-fleurs-test-limit-2000"
+    assert list(row["extra_args"]) == ["--device", "cuda", "--compute-type", "float16", "--limit", "2000"]
