@@ -31,7 +31,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) & set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
