@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import ship, stored
-from scorelake.llm.tokens import default_vocabulary, token_bytes
+from scorelake.llm.tokens import default_vocabulary, id_type, token_bytes
 
 END_ID = 0
 LONGEST = 16
@@ -120,13 +120,14 @@ def unpack_bits(bits: bytes, checkpoints: np.ndarray, n_ids: int, table: tuple[n
     return out.T.reshape(-1)[:n_ids]
 
 
-def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _id_counts(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in batch.column("ids").to_pylist():
-            counts = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
-            counts[: len(total)] += total
-            total = counts
+        if not len(batch):
+            continue
+        counts = np.bincount(np.concatenate([np.frombuffer(ids.as_buffer(), dtype) for ids in batch.column("ids")]), minlength=len(total))
+        counts[: len(total)] += total
+        total = counts
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -136,12 +137,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Write the store; returns its blocks, as read back, and the code lengths."""
     spark = docs.sparkSession
     ship(spark)
-    end = np.array([end_id], "<u4").tobytes()
+    vocabulary = vocabulary or default_vocabulary()
+    dtype = id_type(vocabulary)
     ids = stored(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_col)).alias("tie"),
-        F.concat(token_bytes(F.col(text_col), vocabulary or default_vocabulary()), F.lit(end)).alias("ids")), f"{name}_ids")
-    counts = ids.select("ids").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        token_bytes(F.col(text_col), vocabulary, end_id, dtype).alias("ids")), f"{name}_ids")
+    counts = ids.select("ids").mapInArrow(lambda batches: _id_counts(batches, dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     lengths = code_lengths({r["id"]: r["n"] for r in counts.collect()})  # as many rows as the vocabulary has ids, at most
     codes = canonical_codes(lengths)
 
@@ -155,7 +157,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.binary()), ("checkpoints", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                own = np.frombuffer(raw.as_buffer(), "<u4")
+                own = np.frombuffer(raw.as_buffer(), dtype)
                 held.append(own)
                 docs_.append(doc)
                 sizes.append(len(own))

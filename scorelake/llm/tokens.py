@@ -14,6 +14,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,13 +114,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_bytes(text: Column, vocabulary: str) -> Column:
-    """Ids of ``text`` as little-endian 32-bit bytes; null and empty: none."""
+def id_type(vocabulary: str) -> str:
+    """The narrowest little-endian type that holds every id of the vocabulary."""
+    return "<u2" if encoder(vocabulary).library.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def token_bytes(text: Column, vocabulary: str, end_id: int, dtype: str) -> Column:
+    """Ids of ``text`` and ``end_id``, as bytes of ``dtype``; null and empty: the end alone."""
 
     @F.pandas_udf("binary")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(vocabulary)
+        enc, end = encoder(vocabulary), np.array([end_id], dtype).tobytes()
         for part in texts:
-            yield pd.Series([enc.encode(t) for t in part], dtype=object)
+            yield pd.Series([np.frombuffer(enc.encode(t), "<u4").astype(dtype).tobytes() + end for t in part], dtype=object)
 
     return encode.asNondeterministic()(text)
