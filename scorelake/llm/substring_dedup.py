@@ -343,7 +343,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def chosen(is_hot: bool) -> DataFrame:
         own = F.filter("places", lambda p: p["hot"] == F.lit(is_hot))
-        return around.select("k1", "k2", "b", own.alias("places")).where(F.size("places") > 0)
+        # With all columns of ``texts``, so that both its uses share one shuffle of the texts.
+        return around.select("k1", "k2", "b", "copies", own.alias("places")).where(F.size("places") > 0)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // ENTRIES_PER_TASK)
     found = (chosen(False).mapInArrow(_surroundings, "gram long, k1 long, k2 long, pos long, left binary, right binary")
