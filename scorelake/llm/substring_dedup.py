@@ -134,7 +134,7 @@ def joined(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[new, 0], ends[np.r_[new[1:] - 1, len(ends) - 1]]], axis=1)
 
 
-_SCAN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("gram", pa.int64()), ("pos", pa.int64()), ("until", pa.int64())])
+_SCAN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("gram", pa.int64()), ("pos", pa.int32()), ("until", pa.int32())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +150,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(n + m, k1)), pa.array(np.full(n + m, k2)),
                         pa.array(np.concatenate([grams, np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
-                        pa.array(np.concatenate([at + start, ranges[:, 0]])),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), ranges[:, 1]]), mask=np.arange(n + m) < n)], schema=_SCAN)
+                        pa.array(np.concatenate([at + start, ranges[:, 0]]).astype(np.int32)),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), ranges[:, 1]]).astype(np.int32), mask=np.arange(n + m) < n)], schema=_SCAN)
 
 
 class Level:
@@ -249,7 +249,7 @@ def filled(sides: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(rows, np.uint8).reshape(len(sides), width)
 
 
-_AROUND = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+_AROUND = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array([back[n - p:n - p + BEFORE] for p in at], pa.binary()), pa.array([text[p:p + LENGTH] for p in at], pa.binary())], schema=_AROUND)
 
 
-_RANGES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int64()), ("until", pa.int64())])
+_RANGES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("until", pa.int32())])
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if ids:
         k1, k2, pos = np.concatenate(ids, axis=1)
         row, start, end = family.ranges(pos)
-        yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(start), pa.array(end)], schema=_RANGES)
+        yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=_RANGES)
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests = np.frombuffer(b"".join(hashlib.blake2b(text[s:s + LENGTH], digest_size=16).digest() for s in at), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(at), batch.column("k1")[row].as_py())), pa.array(np.full(len(at), batch.column("k2")[row].as_py())),
-                pa.array(at, pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names=["k1", "k2", "pos", "h1", "h2"])
+                pa.array(at, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names=["k1", "k2", "pos", "h1", "h2"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = docs.select(F.col(id_col).alias("doc_id"), data.alias("b")).withColumns({"k1": F.xxhash64("b"), "k2": F.xxhash64(F.lit("second"), "b")})
-    scanned = stored(docs.where(F.length("b") >= LENGTH).select("k1", "k2", "b").mapInArrow(_scan, "k1 long, k2 long, gram long, pos long, until long"), f"{name}_anchors")
+    scanned = stored(docs.where(F.length("b") >= LENGTH).select("k1", "k2", "b").mapInArrow(_scan, "k1 long, k2 long, gram long, pos int, until int"), f"{name}_anchors")
     places, itself = scanned.where("gram IS NOT NULL"), F.xxhash64("k1", "k2", "pos")
     # A part counts when it stands at two places of different texts, or of one.
     grams = stored(places.groupBy("gram").agg(F.count("*").alias("n"), F.min(itself).alias("x"), F.max(itself).alias("y")).where("x <> y").select("gram", "n"), f"{name}_parts")
@@ -347,10 +347,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return around.select("k1", "k2", "b", "copies", own.alias("places")).where(F.size("places") > 0)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // ENTRIES_PER_TASK)
-    found = (chosen(False).mapInArrow(_surroundings, "gram long, k1 long, k2 long, pos long, left binary, right binary")
-             .repartition(tasks, "gram").mapInArrow(_indexed, "k1 long, k2 long, pos long, until long"))
+    found = (chosen(False).mapInArrow(_surroundings, "gram long, k1 long, k2 long, pos int, left binary, right binary")
+             .repartition(tasks, "gram").mapInArrow(_indexed, "k1 long, k2 long, pos int, until int"))
     if hottest > hot:
-        strings = stored(chosen(True).mapInArrow(_strings, "k1 long, k2 long, pos long, h1 long, h2 long"), f"{name}_strings")
+        strings = stored(chosen(True).mapInArrow(_strings, "k1 long, k2 long, pos int, h1 long, h2 long"), f"{name}_strings")
         repeated = strings.groupBy("h1", "h2").agg(F.min(itself).alias("x"), F.max(itself).alias("y")).where("x <> y").select("h1", "h2")
         found = found.unionByName(strings.join(repeated, ["h1", "h2"]).select("k1", "k2", "pos", (F.col("pos") + LENGTH).alias("until")))
     found = found.unionByName(scanned.where("gram IS NULL").select("k1", "k2", "pos", "until"))
