@@ -4,7 +4,7 @@ A byte goes when a string of ``LENGTH`` bytes that covers it starts anywhere
 else too, in the same text or another. Suffixes are taken at anchors: of every
 ``LENGTH``-byte string, the place of the least hash of its ``GRAM``-byte parts,
 which is the same place wherever the string occurs, so equal strings meet at
-equal anchors, and one byte in some seventy starts a suffix.
+equal anchors, and one byte in some ninety starts a suffix.
 
 1. A scan of each text finds its anchors. Anchors whose part occurs once in the
    corpus can't lie in a repeat and go no further (counted before the shuffle).
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import ship, stored
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 32
 #: Places of a part within a string, and bytes that may lie before an anchor.
 PLACES = LENGTH - GRAM + 1
 BEFORE = PLACES - 1
