@@ -23,6 +23,8 @@ from scorelake.functions import jvm
 _WORD_CODE_BASE = 0x100
 _BMP_WORD_LIMIT = 0xD800 - _WORD_CODE_BASE - 1
 _SUPPLEMENTARY_BASE = 0x10000
+# Distinct words of one pair that get a code point each.
+WORD_LIMIT = 0x110000 - _SUPPLEMENTARY_BASE - 1
 _HAS_SUPPLEMENTARY = r"[\x{10000}-\x{10ffff}]"
 
 

@@ -31,7 +31,7 @@ WHITESPACE_CLASS = (
 # contains whitespace is not a control token.
 CONTROL_TOKEN = rf"<[^<>{WHITESPACE_CLASS}]+>"
 # LATIN SMALL LETTER I + COMBINING DOT ABOVE -> i.
-DECOMPOSED_DOTTED_I = "i̇"
+DECOMPOSED_DOTTED_I = "i\u0307"
 # Turkish casing before the ordinary lowercase.
 TURKISH_UPPER = "Iİ"
 TURKISH_LOWER = "ıi"
@@ -133,6 +133,12 @@ def clean_transcript_artifacts(c: Column | str) -> Column:
     return repair_dotted_i(remove_control_tokens(nfc(c)))
 
 
+def root_lower(c: Column | str) -> Column:
+    """Lowercase of every locale but the Turkic ones: ``I`` -> ``i`` and ``İ`` -> ``i``
+    + U+0307 are spelled out, because the JVM's own lowercase follows its locale there."""
+    return F.lower(F.replace(F.translate(_col(c), "I", "i"), F.lit("İ"), F.lit(DECOMPOSED_DOTTED_I)))
+
+
 def turkish_lower(c: Column | str) -> Column:
     """``I`` -> ``ı``, ``İ`` -> ``i``, then the ordinary lowercase."""
     return F.lower(F.translate(_col(c), TURKISH_UPPER, TURKISH_LOWER))
@@ -160,8 +166,7 @@ def normalize_text(c: Column | str) -> Column:
 
 def whisper_prepare(clean: Column | str) -> Column:
     """C9, first half: lowercase, delete bracketed then parenthesised spans."""
-    s = F.lower(_col(clean))
-    s = F.regexp_replace(s, WHISPER_BRACKETED, "")
+    s = F.regexp_replace(root_lower(clean), WHISPER_BRACKETED, "")
     return F.regexp_replace(s, WHISPER_PARENTHESISED, "")
 
 
@@ -169,7 +174,7 @@ def whisper_finish(composed: Column | str) -> Column:
     """C9, second half (after NFKC): marks/symbols/punctuation -> space,
     lowercase, collapse whitespace, strip."""
     s = F.regexp_replace(_col(composed), WHISPER_MARK_SYMBOL_PUNCT, " ")
-    return collapse_whitespace(F.lower(s))
+    return collapse_whitespace(root_lower(s))
 
 
 def whisper_normalize_cleaned(clean: Column | str) -> Column:
