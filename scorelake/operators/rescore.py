@@ -2,7 +2,8 @@
 
 Every stored run is read, repaired and rescored together, then grouped by
 run. A row that is rescorable (reference and prediction present, no error)
-gets fresh counts and rates; any other row keeps its stored fields.
+gets fresh counts and rates; any other row keeps its stored fields. Lines that
+cannot be parsed are carried along and counted, never dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +13,16 @@ from pyspark.sql import functions as F
 
 from scorelake.operators.score import COUNT_COLUMNS, RATE_COLUMNS, is_rescorable, score_records
 from scorelake.operators.summary import summarize
-from scorelake.sources.records import parsed_records, read_record_lines, recover_records
+from scorelake.sources.records import (
+    CORRUPT,
+    parsed_records,
+    quarantined,
+    read_quarantine,
+    read_record_lines,
+    read_summaries,
+    recover_records,
+    rewrite_store,
+)
 
 
 def rescore_records(records: DataFrame) -> DataFrame:
@@ -31,12 +41,27 @@ def rescore_records(records: DataFrame) -> DataFrame:
     return scored.select(*keep, *fresh)
 
 
+def summarize_rescored(records: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """One row per run: only rescorable rows count as scored (a kept row's old
+    rates do not), and ``quarantined`` lines are counted."""
+    lost = quarantine.groupBy("run_name").agg(F.count(F.lit(1)).alias("quarantined"))
+    counts = ("rows", "scored_rows", "error_rows", "quarantined")
+    return summarize(records, scored=is_rescorable()).join(lost, "run_name", "full_outer").fillna(0, list(counts))
+
+
 def rescore_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored lines -> (rescored records, per-run summary)."""
-    records = rescore_records(parsed_records(recover_records(lines)))
-    return records, summarize(records)
+    """Stored lines -> (rescored records, per-run summary). Both are lazy; to use
+    both, rescore a store, which computes the records once."""
+    recovered = recover_records(lines)
+    records = rescore_records(parsed_records(recovered))
+    return records, summarize_rescored(records, quarantined(recovered))
 
 
 def rescore_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """E5 over a whole records store (all runs, one job)."""
-    return rescore_lines(read_record_lines(spark, path).drop("file_path"))
+    """E5 over a whole records store, on storage: records, quarantined lines and
+    summaries become the store's new version, and are read back from it."""
+    recovered = recover_records(read_record_lines(spark, path).drop("file_path"))
+    bad = quarantined(recovered).select("run_name", F.col(CORRUPT).alias("value"))
+    rewrite_store(path, rescore_records(parsed_records(recovered)), bad.unionByName(read_quarantine(spark, path)), summarize_rescored)
+    records = parsed_records(recover_records(read_record_lines(spark, path).drop("file_path")))
+    return records, read_summaries(spark, path)

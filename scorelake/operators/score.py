@@ -26,6 +26,9 @@ COUNT_COLUMNS = (
     "whisper_reference_chars",
 )
 RATE_COLUMNS = ("wer", "cer", "whisper_wer", "whisper_cer")
+# Distances that score_records can compute, in the order of RATE_COLUMNS.
+METRICS = ("word", "char", "whisper_word", "whisper_char")
+VOCABULARY_ERROR = f"ValueError: more than {metrics.WORD_LIMIT} distinct words in one record"
 
 
 def is_scored() -> Column:
@@ -43,20 +46,7 @@ def is_rescorable() -> Column:
     return F.col("reference").isNotNull() & F.col("prediction").isNotNull() & F.col("error").isNull()
 
 
-def _distances(ref_norm: str, hyp_norm: str, ref_tokens: str, ref_codes: str, hyp_codes: str,
-               vocabulary: str) -> tuple[Column, Column, Column, Column]:
-    same = F.col(ref_norm) == F.col(hyp_norm)
-    word_errors = F.when(same, F.lit(0)).otherwise(metrics.coded_word_distance(ref_codes, hyp_codes, vocabulary))
-    char_errors = F.when(same, F.lit(0)).otherwise(metrics.char_edit_distance(ref_norm, hyp_norm))
-    return (
-        word_errors.cast("bigint"),
-        F.size(ref_tokens).cast("bigint"),
-        char_errors.cast("bigint"),
-        F.char_length(ref_norm).cast("bigint"),
-    )
-
-
-def score_records(records: DataFrame, empty_reference: str = "error") -> DataFrame:
+def score_records(records: DataFrame, empty_reference: str = "error", metrics_wanted: tuple[str, ...] = METRICS) -> DataFrame:
     """Add the eight count columns and the four rates to a records table.
 
     ``records`` needs ``reference``, ``prediction`` and ``error`` (string,
@@ -65,9 +55,16 @@ def score_records(records: DataFrame, empty_reference: str = "error") -> DataFra
     normalises to nothing under either normaliser turns the row into an
     error row) or ``'convention'`` (0 if the hypothesis is empty too, else
     100).
+
+    ``metrics_wanted`` names the distances to compute; the counts and rates of
+    the others are NULL, and their alignments are not in the plan. A record
+    with more distinct words than there are code points becomes an error row.
     """
     if empty_reference not in ("error", "convention"):
         raise ValueError("empty_reference must be 'error' or 'convention'")
+    if not set(metrics_wanted) <= set(METRICS):
+        raise ValueError(f"metrics_wanted must be among {', '.join(METRICS)}")
+    words = {"word": "word" in metrics_wanted, "whisper_word": "whisper_word" in metrics_wanted}
     out_cols = [c for c in records.columns if c not in COUNT_COLUMNS + RATE_COLUMNS]
     live = is_rescorable()
 
@@ -99,48 +96,58 @@ def score_records(records: DataFrame, empty_reference: str = "error") -> DataFra
         text.words("_wref").alias("_wref_w"),
         text.words("_whyp").alias("_whyp_w"),
     )
+    no_words = F.array().cast("array<string>")
     stage = stage.select(
         "*",
-        metrics.pair_vocabulary("_ref_w", "_hyp_w").alias("_voc"),
-        metrics.pair_vocabulary("_wref_w", "_whyp_w").alias("_wvoc"),
-    )
-    stage = stage.select(
-        "*",
-        metrics.word_codes("_ref_w", "_voc").alias("_ref_code"),
-        metrics.word_codes("_hyp_w", "_voc").alias("_hyp_code"),
-        metrics.word_codes("_wref_w", "_wvoc").alias("_wref_code"),
-        metrics.word_codes("_whyp_w", "_wvoc").alias("_whyp_code"),
+        (metrics.pair_vocabulary("_ref_w", "_hyp_w") if words["word"] else no_words).alias("_voc"),
+        (metrics.pair_vocabulary("_wref_w", "_whyp_w") if words["whisper_word"] else no_words).alias("_wvoc"),
     )
+    fits = (F.size("_voc") <= metrics.WORD_LIMIT) & (F.size("_wvoc") <= metrics.WORD_LIMIT)
+    code = {"_ref": "_voc", "_hyp": "_voc", "_wref": "_wvoc", "_whyp": "_wvoc"}
+    coded = [side for side, voc in code.items() if words["word" if voc == "_voc" else "whisper_word"]]
+    stage = stage.select("*", *[F.when(fits, metrics.word_codes(f"{side}_w", code[side])).alias(f"{side}_code") for side in coded])
+    present = F.col("_ref").isNotNull()
     empty_ref = (F.col("_ref") == "") | (F.col("_wref") == "")
+    valid = present & fits
     if empty_reference == "error":
-        valid = F.col("_ref").isNotNull() & ~empty_ref
-    else:
-        valid = F.col("_ref").isNotNull()
+        valid = valid & ~empty_ref
+
+    def distances(side: str, other: str, voc: str, kind: str) -> tuple[Column, Column]:
+        same = F.col(side) == F.col(other)
+        none = F.lit(None).cast("bigint")
+        word = F.when(same, F.lit(0)).otherwise(metrics.coded_word_distance(f"{side}_code", f"{other}_code", voc)) if f"{kind}word" in metrics_wanted else none
+        char = F.when(same, F.lit(0)).otherwise(metrics.char_edit_distance(side, other)) if f"{kind}char" in metrics_wanted else none
+        return word.cast("bigint"), char.cast("bigint")
 
     # Primary distances first, in their own projection. Where the Whisper
     # normaliser gives the same two strings (common: both drop punctuation),
     # its distances are the same numbers and the alignment is not redone.
-    we, rw, ce, rc = _distances("_ref", "_hyp", "_ref_w", "_ref_code", "_hyp_code", "_voc")
+    we, ce = distances("_ref", "_hyp", "_voc", "")
     stage = stage.select("*", F.when(valid, we).alias("_we"), F.when(valid, ce).alias("_ce"))
     mirror = (F.col("_wref") == F.col("_ref")) & (F.col("_whyp") == F.col("_hyp"))
-    wwe, wrw, wce, wrc = _distances("_wref", "_whyp", "_wref_w", "_wref_code", "_whyp_code", "_wvoc")
+    wwe, wce = distances("_wref", "_whyp", "_wvoc", "whisper_")
+    if {"word", "whisper_word"} <= set(metrics_wanted):
+        wwe = F.when(mirror, F.col("_we")).otherwise(wwe)
+    if {"char", "whisper_char"} <= set(metrics_wanted):
+        wce = F.when(mirror, F.col("_ce")).otherwise(wce)
+    lengths = {"reference_words": F.size("_ref_w"), "reference_chars": F.char_length("_ref"),
+               "whisper_reference_words": F.size("_wref_w"), "whisper_reference_chars": F.char_length("_wref")}
+    wanted = {"reference_words": "word", "reference_chars": "char", "whisper_reference_words": "whisper_word", "whisper_reference_chars": "whisper_char"}
     counts = {
-        "word_errors": F.col("_we"), "reference_words": rw, "char_errors": F.col("_ce"), "reference_chars": rc,
-        "whisper_word_errors": F.when(mirror, F.col("_we")).otherwise(wwe),
-        "whisper_reference_words": wrw,
-        "whisper_char_errors": F.when(mirror, F.col("_ce")).otherwise(wce),
-        "whisper_reference_chars": wrc,
+        "word_errors": F.col("_we"), "char_errors": F.col("_ce"), "whisper_word_errors": wwe, "whisper_char_errors": wce,
+        **{name: expr.cast("bigint") if wanted[name] in metrics_wanted else F.lit(None).cast("bigint") for name, expr in lengths.items()},
     }
     # Stage 4: integers (all four distances or none). They leave through a
     # one-row ``inline`` (a Generate): predicates on its output columns are
     # not pushed below it, so a later ``where(wer IS NOT NULL)`` cannot
     # inline and re-run the normalisation UDFs and distances in a Filter.
     outcome = F.struct(
-        F.when(F.col("_ref").isNotNull() & empty_ref & F.lit(empty_reference == "error"),
-               F.lit(EMPTY_REFERENCE_ERROR)).otherwise(F.col("error")).alias("error"),
+        F.when(present & ~fits, F.lit(VOCABULARY_ERROR))
+        .when(present & empty_ref & F.lit(empty_reference == "error"), F.lit(EMPTY_REFERENCE_ERROR))
+        .otherwise(F.col("error")).alias("error"),
         F.size("_hyp_w").alias("_hyp_n"), F.char_length("_hyp").alias("_hyp_c"),
         F.size("_whyp_w").alias("_whyp_n"), F.char_length("_whyp").alias("_whyp_c"),
-        *[F.when(valid, expr).alias(name) for name, expr in counts.items()],
+        *[F.when(valid, counts[name]).alias(name) for name in COUNT_COLUMNS],
     )
     stage = stage.select(
         *[c for c in out_cols if c != "error"], F.inline(F.array(outcome))
@@ -159,9 +166,9 @@ def score_records(records: DataFrame, empty_reference: str = "error") -> DataFra
             "whisper_wer": metrics.convention_rate("whisper_word_errors", "whisper_reference_words", "_whyp_n"),
             "whisper_cer": metrics.convention_rate("whisper_char_errors", "whisper_reference_chars", "_whyp_c"),
         }
-    has_counts = F.col("word_errors").isNotNull()
+    errors = dict(zip(RATE_COLUMNS, ("word_errors", "char_errors", "whisper_word_errors", "whisper_char_errors")))
     return stage.select(
         *out_cols,
         *COUNT_COLUMNS,
-        *[F.when(has_counts, expr).alias(name) for name, expr in rates.items()],
+        *[F.when(F.col(errors[name]).isNotNull(), expr).alias(name) for name, expr in rates.items()],
     )

@@ -23,9 +23,11 @@ SUMMARY_RATES = {
 }
 
 
-def summary_aggregates() -> list[Column]:
-    """E1 + E2 as aggregate expressions (usable in batch and streaming)."""
-    scored = is_scored()
+def summary_aggregates(scored: Column | None = None) -> list[Column]:
+    """E1 + E2 as aggregate expressions (usable in batch and streaming).
+
+    ``scored`` says which rows count as scored (default: both primary rates present)."""
+    scored = is_scored() if scored is None else scored
     return [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(scored).alias("scored_rows"),
@@ -41,9 +43,10 @@ def with_summary_rates(sums: DataFrame) -> DataFrame:
     )
 
 
-def summarize(records: DataFrame, by: tuple[str, ...] = ("run_name",), include_counts: bool = True) -> DataFrame:
+def summarize(records: DataFrame, by: tuple[str, ...] = ("run_name",), include_counts: bool = True,
+              scored: Column | None = None) -> DataFrame:
     """One row per group: rows, scored_rows, error_rows, mean_* (and the sums)."""
-    out = with_summary_rates(records.groupBy(*by).agg(*summary_aggregates()))
+    out = with_summary_rates(records.groupBy(*by).agg(*summary_aggregates(scored)))
     if not include_counts:
         out = out.drop(*COUNT_COLUMNS)
     return out

@@ -1,4 +1,4 @@
-"""Evaluate one run end to end: the reference's single-run lifecycle as one Spark plan.
+"""Evaluate one run, or all pending runs, end to end.
 
 spec (A2) -> column check before any job (A4) -> source rows with their
 index (A6) and optional limit (A7) -> run-constant columns (B1) ->
@@ -8,17 +8,27 @@ scoring (D5-D8) -> records sink (A8) and summary sink (A9).
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.operators.inference import transcribe_batch
+from scorelake.operators.inference import TRANSCRIBERS, Registry, transcribe_batch
 from scorelake.operators.score import score_records
 from scorelake.operators.summary import summarize
-from scorelake.plans.matrix import make_run_name
-from scorelake.sources.catalog import DatasetSpec, parse_dataset_spec
-from scorelake.sources.records import RECORD_SCHEMA, write_records, write_summaries
+from scorelake.plans.matrix import pending_utterances
+from scorelake.sources.catalog import DatasetSpec, language_hint, parse_dataset_spec
+from scorelake.sources.records import (
+    append_records,
+    parsed_records,
+    read_record_lines,
+    read_summaries,
+    recover_records,
+    store_exists,
+    write_records,
+    write_summaries,
+)
 from scorelake.sources.tables import first_n_rows
 
 
@@ -44,48 +54,106 @@ def with_run_columns(df: DataFrame, engine: str, model: str, spec: DatasetSpec,
     )
 
 
-def reference_text(col: str) -> Column:
-    """The reference as text; a missing value becomes the text ``None``
-    (what ``str()`` gives), exactly as the reference records it."""
-    return F.coalesce(F.col(col).cast("string"), F.lit("None"))
+# The error of a row whose reference is missing.
+MISSING_REFERENCE = "ValueError: the reference is missing"
 
 
-def evaluate_run(source: DataFrame, engine: str, model: str, dataset: str, name: str | None = None,
+def with_reference(df: DataFrame, reference: str) -> DataFrame:
+    """``reference`` as text. Where it is missing, the row becomes an error
+    row with its prediction, instead of being scored against the word ``None``."""
+    text = F.col(reference).cast("string")
+    return df.select(
+        *[c for c in df.columns if c not in (reference, "error")],
+        F.when(F.col("error").isNull(), text).alias("reference"),
+        F.coalesce("error", F.when(text.isNull(), F.lit(MISSING_REFERENCE))).alias("error"))
+
+
+RUN_RECORD = ("run_name", "engine", "model", "dataset", "hf_dataset", "dataset_config", "split", "audio_column",
+              "reference_column", "row_index", "prediction", "reference", "error", "elapsed_seconds")
+
+
+def run_name_now(engine: str, model: str, spec: DatasetSpec) -> str:
+    """A13 for one run on the driver, no job: same rule as :func:`make_run_name`."""
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%d-%H%M%S")
+    return re.sub("[^A-Za-z0-9_.-]+", "-", "-".join((engine, model, spec.name, spec.split, stamp))).strip("-")
+
+
+def evaluate_run(source: DataFrame, engine: str, model: str, dataset: str, output_root: str, name: str | None = None,
                  limit: int | None = None, options: dict[str, str] | None = None,
-                 output_root: str | None = None, empty_reference: str = "error") -> tuple[DataFrame, DataFrame]:
+                 empty_reference: str = "error") -> tuple[DataFrame, DataFrame]:
     """Records and summary of one run over ``source`` (which must carry a
     ``row_index`` column, e.g. from :func:`scorelake.sources.tables.with_row_index`).
 
-    With ``output_root`` the records go to ``<root>/records`` (partitioned by
-    run) and the summary to ``<root>/summaries/run_name=<run>``.
+    The records go to ``<output_root>/records``, the summary, made from the
+    written records (inference runs once), to ``<output_root>/summaries``; both
+    are read back.
     """
     if limit is not None and limit < 1:
         raise ValueError("--limit must be >= 1")
     spec = parse_dataset_spec(dataset)
     check_columns(source, spec)
-    if name is None:
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        name = source.sparkSession.range(1).select(
-            make_run_name(F.lit(engine), F.lit(model), F.lit(spec.name), F.lit(spec.split),
-                          F.lit(now))).first()[0]
+    name = name or run_name_now(engine, model, spec)
     rows = first_n_rows(source, limit).select(
-        "row_index", F.col(spec.audio_column).alias("_audio"),
-        reference_text(spec.reference_column).alias("_reference"))
-    out = transcribe_batch(rows, engine, model, audio_col="_audio", options=options)
-    records = with_run_columns(out, engine, model, spec, name).select(
-        "run_name", "engine", "model", "dataset", "hf_dataset", "dataset_config", "split", "audio_column",
-        "reference_column", "row_index", "prediction",
-        F.when(F.col("error").isNull(), F.col("_reference")).alias("reference"),
-        "error", "elapsed_seconds")
-    records = score_records(records, empty_reference=empty_reference)
-    if output_root is None:
-        return records, summarize(records)
-    # Inference runs once: the summary is built from the written records
-    # (which also cuts the lineage at a table in shared storage).
-    store = f"{output_root.rstrip('/')}/records"
-    write_records(records, store)
-    stored = source.sparkSession.read.schema(RECORD_SCHEMA).json(f"{store}/run_name={name}")
-    stored = stored.select(F.lit(name).alias("run_name"), "*")
-    summary = summarize(stored)
-    write_summaries(summary, f"{output_root.rstrip('/')}/summaries/run_name={name}")
-    return stored, summary
+        "row_index", F.col(spec.audio_column).alias("_audio"), F.col(spec.reference_column).alias("_reference"))
+    hint = language_hint(F.lit(engine), F.lit(model))
+    out = with_reference(transcribe_batch(rows, engine, model, audio_col="_audio", options=options, language=hint), "_reference")
+    records = score_records(with_run_columns(out, engine, model, spec, name).select(*RUN_RECORD), empty_reference=empty_reference)
+    write_records(records, f"{output_root.rstrip('/')}/records")
+    return _stored(source.sparkSession, output_root, [name])
+
+
+def _stored(spark: SparkSession, output_root: str, names: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    root = output_root.rstrip("/")
+    lines = read_record_lines(spark, f"{root}/records").drop("file_path")
+    if names is not None:
+        lines = lines.where(F.col("run_name").isin(names))
+    stored = parsed_records(recover_records(lines))
+    write_summaries(summarize(stored), f"{root}/summaries")
+    summaries = read_summaries(spark, f"{root}/summaries")
+    return stored, summaries.where(F.col("run_name").isin(names)) if names is not None else summaries
+
+
+def transcribe_pending(work: DataFrame, registry: Registry = TRANSCRIBERS, audio_col: str = "audio", reference_col: str = "transcription",
+                       empty_reference: str = "error") -> DataFrame:
+    """Scored records of a work list: rows of :func:`pending_utterances` with the
+    run's ``name``, ``engine`` and ``model`` and optionally ``options``, next to
+    the utterance's audio and reference. One job for all runs."""
+    options = F.col("options") if "options" in work.columns else None
+    keep = [c for c in work.columns if c != "options"]
+    out = transcribe_batch(work.select(*keep, *(["options"] if options is not None else [])), F.col("engine"), F.col("model"), audio_col=audio_col,
+                           options=options, language=language_hint(F.col("engine"), F.col("model")), registry=registry)
+    return score_records(with_reference(out, reference_col).withColumnRenamed("name", "run_name").drop("options"), empty_reference=empty_reference)
+
+
+def run_pending(jobs: DataFrame, utterances: DataFrame, output_root: str, registry: Registry = TRANSCRIBERS,
+                reference_col: str = "transcription", force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """F1 -> F2 -> I3 -> D8 -> A8 -> A9 in one job: every utterance that a run in
+    ``jobs`` has not stored yet (all of them with ``force``).
+
+    Stored records are the resume mark: what a crashed run had written stays,
+    and only the rest is transcribed. New records are appended to the store, so
+    a row that failed before has two records; the one without an error counts.
+    """
+    spark = jobs.sparkSession
+    root = output_root.rstrip("/")
+    stored = _store_or_empty(spark, f"{root}/records")
+    nothing = stored.where("false")
+    work = pending_utterances(jobs.select("name", "dataset", "engine", "model"), utterances, nothing if force else stored)
+    records = transcribe_pending(work, registry, reference_col=reference_col)
+    append_records(records, f"{root}/records")
+    final = settled(_store_or_empty(spark, f"{root}/records", every_column=True))
+    write_summaries(summarize(final), f"{root}/summaries")
+    return final, read_summaries(spark, f"{root}/summaries")
+
+
+def settled(records: DataFrame) -> DataFrame:
+    """One record per run and utterance: one without an error, if there is one."""
+    fields = [c for c in records.columns if c not in ("run_name", "row_index")]
+    best = F.min_by(F.struct(*fields), F.struct(F.col("error").isNotNull(), F.col("error"), F.col("prediction")))
+    return records.groupBy("run_name", "row_index").agg(best.alias("r")).select("run_name", "row_index", "r.*")
+
+
+def _store_or_empty(spark: SparkSession, path: str, every_column: bool = False) -> DataFrame:
+    lines = read_record_lines(spark, path).drop("file_path") if store_exists(spark, path) else spark.createDataFrame([], "run_name string, value string")
+    records = parsed_records(recover_records(lines))
+    return records if every_column else records.select("run_name", "row_index", "error")

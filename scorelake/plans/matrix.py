@@ -1,8 +1,8 @@
 """Run planning: job matrix, skip-if-done, resume work list, failures, model aliases.
 
 (F1, F2, F4, F5, F6, A13, A14.) The model catalog is a fixed literal array
-exploded onto each dataset row, so the matrix needs no join; joins against
-data-sized tables broadcast only sides whose size is checked first.
+exploded onto each dataset row, so the matrix needs no join; other joins are
+left to the optimiser, which knows the sizes at run time.
 """
 
 from __future__ import annotations
@@ -11,10 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.operators.score import is_error
-from scorelake.sources.catalog import MATRIX_MODELS, OMNILINGUAL_MODELS, checkpoint_files, model_aliases
-
-# A planning side is broadcast only below this many rows (checked by count).
-MAX_BROADCAST_ROWS = 100_000
+from scorelake.sources.catalog import MATRIX_MODELS, OMNILINGUAL_MODELS, QWEN3_ASR_MODELS
 
 
 def _col(c: Column | str) -> Column:
@@ -87,32 +84,30 @@ def run_matrix(datasets: DataFrame, spec_col: str = "dataset", limit: int | None
     )
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def pending_runs(matrix: DataFrame, completed_names: DataFrame, force: bool = False) -> DataFrame:
     """F2 at run grain: jobs without a completed summary (all jobs with ``force``)."""
     if force:
         return matrix
-    done = completed_names.select(F.col("name")).distinct()
-    return matrix.join(_maybe_broadcast(done), "name", "left_anti")
+    return matrix.join(completed_names.select("name").distinct(), "name", "left_anti")
 
 
 def pending_utterances(runs: DataFrame, utterances: DataFrame, stored: DataFrame,
                        retry_errors: bool = True) -> DataFrame:
     """F2 at row grain: (run, utterance) pairs still to transcribe.
 
-    ``runs(name, dataset, ...)`` x ``utterances(dataset, row_index, ...)`` on
-    ``dataset`` (an equi-join; the run side is small and broadcast after a
-    size check), minus ``stored(run_name, row_index, error)`` already
-    written. With ``retry_errors`` a stored error row is queued again.
+    ``runs(name, dataset, ...)`` for each of ``utterances(dataset, row_index,
+    ...)``, minus ``stored(run_name, row_index, error)`` already written. With
+    ``retry_errors`` a stored error row is queued again. One row per utterance
+    is joined, with the runs of its dataset and the runs that have it already
+    as arrays; it becomes one row per pending run only afterwards.
     """
     keep = stored.where(~is_error()) if retry_errors else stored
-    done = keep.select(F.col("run_name").alias("name"), "row_index")
-    work = utterances.join(_maybe_broadcast(runs), "dataset")
-    return work.join(done, ["name", "row_index"], "left_anti")
+    done = keep.groupBy("row_index").agg(F.collect_set("run_name").alias("_done"))
+    fields = [c for c in runs.columns if c != "dataset"]
+    per_dataset = runs.groupBy("dataset").agg(F.collect_list(F.struct(*fields)).alias("_runs"))
+    work = utterances.join(per_dataset, "dataset").join(done, "row_index", "left")
+    left = F.filter("_runs", lambda run: ~F.coalesce(F.array_contains("_done", run["name"]), F.lit(False)))
+    return work.select(*utterances.columns, F.inline(left))
 
 
 def failed_runs(records: DataFrame) -> DataFrame:
@@ -132,48 +127,32 @@ def first_failure(failures: DataFrame, order_col: str) -> DataFrame:
 
 
 def resolve_models(requests: DataFrame, engine_col: str = "engine", model_col: str = "model") -> DataFrame:
-    """exact alias or checkpoint URL; else a ``.pt`` path ending in a known
-    checkpoint file name (first in catalog order); else an error listing names.
+    """exact name, alias or checkpoint URL; else a ``.pt`` path ending in a
+    known checkpoint file name; else an error that lists the names.
 
-    Engines without an alias table pass the model through unchanged.
+    The names are fixed, so they are branches of one expression and nothing is
+    joined. The first branch in catalog order wins. Engines without names of
+    their own pass the model through unchanged.
     """
-    spark = requests.sparkSession
-    aliases = F.broadcast(model_aliases(spark)).select(
-        F.col("engine").alias("_a_engine"), F.col("alias").alias("_alias"), F.col("model_name").alias("_exact"))
-    keyed = requests.join(
-        aliases, (F.col(engine_col) == F.col("_a_engine")) & (F.col(model_col) == F.col("_alias")), "left")
-    # Suffix match against the 8 checkpoint file names (a fixed, broadcast
-    # table). The names are suffix-free (each starts with the same prefix and
-    # contains it once), so at most one matches and "first in catalog order"
-    # needs no extra step; a test pins that property.
-    files = F.broadcast(checkpoint_files(spark)).select("file_name", F.col("model_name").alias("_by_file"))
-    best = keyed.join(
-        files,
-        (F.col(engine_col) == "omnilingual") & F.col("_exact").isNull()
-        & F.col(model_col).endswith(".pt") & F.col(model_col).endswith(F.col("file_name")),
-        "left",
-    )
-    omni = ", ".join(name for name, *_ in OMNILINGUAL_MODELS)
-    qwen = "Qwen3-ASR-0.6B, Qwen3-ASR-1.7B"
-    resolved = F.coalesce(F.col("_exact"), F.col("_by_file"))
-    engine = F.col(engine_col)
-    known_engine = engine.isin("omnilingual", "qwen3_asr_transformers", "qwen3_asr_vllm")
-    error = (
-        F.when(~known_engine | resolved.isNotNull(), F.lit(None).cast("string"))
-        .when(engine == "omnilingual",
-              F.concat(F.lit("Unsupported omnilingual model '"), F.col(model_col), F.lit(f"'. Supported models: {omni}")))
-        .otherwise(F.concat(F.lit("Unsupported Qwen3-ASR model '"), F.col(model_col),
-                            F.lit(f"'. Supported models: {qwen}")))
-    )
-    return best.select(
-        *requests.columns,
-        F.when(known_engine, resolved).otherwise(F.col(model_col)).alias("resolved_model"),
-        error.alias("resolution_error"),
-    )
+    engine, model = F.col(engine_col), F.col(model_col)
+    omni, qwen = engine == "omnilingual", engine.isin("qwen3_asr_transformers", "qwen3_asr_vllm")
+    cases = [(omni & model.isin(name, url), name) for name, url, *_ in OMNILINGUAL_MODELS]
+    cases += [(qwen & model.isin(short, full), full) for short, full in QWEN3_ASR_MODELS]
+    cases += [(omni & model.endswith(url.rsplit("/", 1)[-1]), name) for name, url, *_ in OMNILINGUAL_MODELS]
+    resolved = F.when(~(omni | qwen), model)
+    for condition, name in cases:
+        resolved = resolved.when(condition, F.lit(name))
+
+    def unknown(kind: str, names: list[str]) -> Column:
+        return F.concat(F.lit(f"Unsupported {kind} model '"), model, F.lit(f"'. Supported models: {', '.join(names)}"))
+
+    error = (F.when(omni & resolved.isNull(), unknown("omnilingual", [name for name, *_ in OMNILINGUAL_MODELS]))
+             .when(qwen & resolved.isNull(), unknown("Qwen3-ASR", [short for short, _ in QWEN3_ASR_MODELS])))
+    return requests.select("*", resolved.alias("resolved_model"), error.alias("resolution_error"))
 
 
 def rank_runs(summary: DataFrame, by: str = "dataset", metric: str = "mean_wer") -> DataFrame:
     """Optional: rank runs within each dataset by a corpus rate (the summary
     has one row per run, so the window partitions are tiny)."""
-    w = Window.partitionBy(by).orderBy(F.col(metric).asc_nulls_last(), F.col("run_name"))
+    w = Window.partitionBy(by).orderBy(F.col(metric).asc_nulls_last())
     return summary.select("*", F.rank().over(w).alias("rank"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import text
 from scorelake.plans.matrix import job_name
 from scorelake.plans.parallel import spread
-from scorelake.sources.tables import first_n_rows, read_table, with_row_index
+from scorelake.sources.tables import read_first_rows, read_table, table_path, with_row_index
 
 # Fixed values: (engine, model, drop_mod, sub_mod) of the three synthetic runs.
 PAIR_RUNS = (
@@ -47,16 +47,20 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, limit: int | None = Non
     """Records ``(run_name, engine, model, dataset, split, conv_id, turn, row_index,
     reference, prediction, error)``; with ``limit``, only the first source rows
     (applied right after the scan, before any text work)."""
-    conv = with_row_index(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return pairs_from(spread(first_n_rows(conv, limit)))
+    columns = ["conv_id", "turn", "role", "text"]
+    if limit is not None:
+        conv = read_first_rows(spark, table_path(sf_dir, "conversations"), limit, columns)
+        return pairs_from(conv.repartition(spark.sparkContext.defaultParallelism))
+    table = read_table(spark, sf_dir, "conversations").select(*columns)
+    return pairs_from(spread(with_row_index(table)))
 
 
-def pairs_from(conv: DataFrame) -> DataFrame:
-    """The pair records for turns ``(conv_id, turn, role, text, row_index)``;
+def pairs_from(conv: DataFrame, place: tuple[str, ...] = ("row_index",)) -> DataFrame:
+    """The pair records for turns ``(conv_id, turn, role, text, *place)``;
     batch or streaming."""
-    base = conv.select("conv_id", "turn", "role", "text", "row_index",
+    base = conv.select("conv_id", "turn", "role", "text", *place,
                        text.normalize_text("text").alias("_norm"))
-    base = base.select("conv_id", "turn", "role", "text", "row_index", text.words("_norm").alias("_words"))
+    base = base.select("conv_id", "turn", "role", "text", *place, text.words("_norm").alias("_words"))
     runs = base.select("*", F.explode(_runs_array()).alias("_run"))
     p = lambda i: i + 1  # noqa: E731  1-based word position
     hyp = F.array_join(
@@ -76,7 +80,7 @@ def pairs_from(conv: DataFrame) -> DataFrame:
         F.col("_run.model").alias("model"),
         F.col("role").alias("dataset"),
         F.lit(PAIR_SPLIT).alias("split"),
-        "conv_id", "turn", "row_index",
+        "conv_id", "turn", *place,
         F.when(~failed, F.col("text")).alias("reference"),
         F.when(failed, F.lit("")).otherwise(hyp).alias("prediction"),
         F.when(failed, F.lit(DECODE_FAILURE)).alias("error"),

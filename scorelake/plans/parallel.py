@@ -4,25 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from scorelake.sources.tables import file_count
+
 # Tasks per core for CPU-bound row work (edit distances are quadratic in
 # text length, so more, smaller tasks even out long rows).
 TASKS_PER_CORE = 4
 
 
 def spread(df: DataFrame, tasks_per_core: int = TASKS_PER_CORE) -> DataFrame:
-    """Round-robin repartition when the scan yields fewer tasks than cores.
+    """Round-robin repartition when the scan has fewer files than there are cores.
 
     A large input already arrives in many splits and is left as it is (no
     shuffle). A small file gives a single split; then an even spread across
     ``defaultParallelism * tasks_per_core`` tasks is far cheaper than running
     every quadratic distance in one task. Round-robin repartition sorts
-    locally first, so a retried task sees the same rows.
+    locally first, so a retried task sees the same rows. The result's rows are
+    the same either way, and nothing runs here.
     """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # no RDD access (e.g. a remote session): leave the plan as it is
-        return df
-    return df.repartition(cores * tasks_per_core)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if file_count(df) >= cores else df.repartition(cores * tasks_per_core)

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from typing import Any
 
-from scorelake.operators.inference import Transcriber, register_transcriber
+import numpy as np
+
+from scorelake.operators.inference import ENGINES, Registry, Transcriber, register_transcriber
 
 STUB_ENGINE = "echo"
 
@@ -26,4 +28,33 @@ class EchoTranscriber(Transcriber):
         return " ".join(kept).strip()
 
 
+class ProbeTranscriber(Transcriber):
+    """Answers with the number of samples and a checksum of the audio it was given."""
+
+    def load(self) -> None:
+        self.loaded = True
+
+    def transcribe(self, audio: Any) -> str:
+        samples = np.asarray(audio["array"], dtype=np.float32)
+        return f"{samples.shape[0]}:{int(np.floor(samples.astype(np.float64) * 1024).sum())}"
+
+
+class OptionsTranscriber(Transcriber):
+    """Answers with its model and options."""
+
+    def load(self) -> None:
+        self.loaded = True
+
+    def transcribe(self, audio: Any) -> str:
+        return ",".join([self.model, *(f"{k}={v}" for k, v in sorted(self.options.items()))])
+
+
+def stub_registry(factory: str) -> Registry:
+    """Every engine answered by one stand-in."""
+    registry = Registry()
+    for engine in ENGINES:
+        registry.register(engine, factory)
+    return registry
+
+
 register_transcriber(STUB_ENGINE, "scorelake.plans.stub:EchoTranscriber")

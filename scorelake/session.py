@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every scorelake job relies on; safe to set at runtime on any session.
+# Settings of sessions that this package starts; queries never change a session.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -43,37 +43,30 @@ def local_session(cores: int = 8, app: str = "scorelake", shuffle_partitions: in
     return spark
 
 
-def apply_runtime_conf(spark: SparkSession) -> None:
-    for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, as the session states it.
 
-    On a cluster this must already be set to shared storage. Only when it is
-    unset (local tests, the bench) do we create one under the system temp dir.
+    Only a local session may leave it unset; it gets one temporary folder. On a
+    cluster that would be a disk of each executor's own, so it is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
-        if configured.startswith("file:"):
-            configured = configured[len("file:"):]
         return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="scorelake-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="scorelake-"))
 
 
+_LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``scorelake`` importable in executor Python workers (once per app).
 
-    Only code that runs in Python on executors needs it (``mapInPandas``
-    inference, the pandas-UDF fallback). The zip is written under the shared
-    checkpoint root and distributed by ``addPyFile``.
+    Only code that runs in Python on executors needs it. The archive leaves the
+    driver through Spark's own file distribution; no data goes this way.
     """
     import shutil
 
@@ -82,17 +75,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     staging = tempfile.mkdtemp(prefix="scorelake-pkg-")
-    archive = shutil.make_archive(os.path.join(staging, "scorelake"), "zip",
-                                  root_dir=os.path.dirname(pkg), base_dir="scorelake")
-    root = checkpoint_root(spark)
-    if "://" not in root:
-        target_dir = scratch_path(spark, "pyfiles")
-        os.makedirs(target_dir, exist_ok=True)
-        target = os.path.join(target_dir, "scorelake.zip")
-        shutil.copyfile(archive, target)
-    else:
-        target = archive  # addPyFile uploads it through the driver's file server
-    sc.addPyFile(target)
+    sc.addPyFile(shutil.make_archive(os.path.join(staging, "scorelake"), "zip", root_dir=os.path.dirname(pkg), base_dir="scorelake"))
     _SHIPPED.add(sc.applicationId)
 
 

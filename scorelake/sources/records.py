@@ -1,23 +1,28 @@
 """Record and summary storage.
 
-Layout: ``<root>/run_name=<run>/part-*.json`` (JSON lines, NULL fields
-omitted, which is the reference's "absent key" rule), written with dynamic
-partition overwrite so one job can (re)write many runs. Reading goes through
-the text source, never straight through the JSON reader: a NUL-padded line
-must be repaired before it is parsed.
+A store is a folder of JSON lines, NULL fields omitted (the reference's
+"absent key" rule), in either layout: ``run_name=<run>/part-*.json``, or one
+``<run>.jsonl`` per run. A rewrite never touches what is there: it writes a
+``version=<n>`` folder (records, quarantined lines, summaries) and, last, an
+empty ``_DONE`` file in it. Readers take the newest version that has one, so
+they see the old state or the new one and nothing between; a crash leaves a
+version that nobody reads. Reading goes through the text source, never
+straight through the JSON reader: a NUL-padded line must be repaired before it
+is parsed.
 """
 
 from __future__ import annotations
 
-import uuid
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.text import WHITESPACE_CLASS
 
 CORRUPT = "_corrupt_record"
+EXTRA = "extra_fields"
 
 RECORD_FIELDS = [
     ("engine", T.StringType()),
@@ -47,7 +52,11 @@ RECORD_FIELDS = [
     ("whisper_reference_chars", T.LongType()),
 ]
 RECORD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in RECORD_FIELDS])
-_PARSE_SCHEMA = T.StructType(RECORD_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
+# Every field is read as text and cast afterwards: a field of the wrong type
+# costs that field, not the record.
+_LENIENT = T.StructType([T.StructField(n, T.StringType()) for n, _ in RECORD_FIELDS] + [T.StructField(CORRUPT, T.StringType())])
+# Rows of one run that go to one file.
+ROWS_PER_FILE = 250_000
 
 
 def record_columns(df: DataFrame) -> list[str]:
@@ -55,47 +64,119 @@ def record_columns(df: DataFrame) -> list[str]:
 
 
 def to_json_lines(records: DataFrame, keep: tuple[str, ...] = ("run_name",)) -> DataFrame:
-    """One JSON object per record (``value``), NULL fields omitted."""
-    cols = record_columns(records)
-    return records.select(*keep, F.to_json(F.struct(*cols)).alias("value"))
+    """One JSON object per record (``value``), NULL fields omitted, fields that
+    the schema does not know (``extra_fields``, a JSON object) kept."""
+    known = F.to_json(F.struct(*record_columns(records)))
+    if EXTRA in records.columns:
+        joined = F.concat(F.substring(known, F.lit(1), F.length(known) - 1), F.when(known == "{}", "").otherwise(","), F.expr(f"substring({EXTRA}, 2)"))
+        known = F.when(F.col(EXTRA).isNull(), known).otherwise(joined)
+    return records.select(*keep, known.alias("value"))
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Partitioned JSON-lines sink. Each task sorts its rows by
-    (run, row_index); no repartition by run, so a hot run is not funnelled
-    into one task. Readers restore order from ``row_index``."""
-    (records.select("run_name", *record_columns(records))
-     .sortWithinPartitions("run_name", "row_index")
-     .write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_name")
-     .json(path))
+def write_records(records: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite") -> None:
+    """Partitioned JSON-lines sink; runs that are written replace what they
+    had (``mode='append'``: are added to it). A run's rows are dealt out by blocks of
+    ``rows_per_file`` row indexes, so a hot run is many files of a sane size and
+    a small one is one file, however many tasks scored it."""
+    keep = [c for c in ("row_index",) if c in records.columns]
+    lines = to_json_lines(records, ("run_name", *[F.col(c).alias("_row") for c in keep]))
+    block = F.expr(f"_row div {rows_per_file}") if keep else F.lit(0)
+    order = ["run_name", *["_row" for _ in keep]]
+    (lines.repartition("run_name", block).sortWithinPartitions(*order).select("run_name", "value")
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
+     .partitionBy("run_name").text(path))
+
+
+def append_records(records: DataFrame, path: str) -> None:
+    """A8 without replacing what the runs have stored."""
+    write_records(records, path, mode="append")
+
+
+def store_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _hadoop(spark, path)
+    return fs.exists(hadoop(path))
 
 
 def write_summaries(summaries: DataFrame, path: str) -> None:
     """One JSON object per run (undefined rates are NULL, hence omitted)."""
-    summaries.write.mode("overwrite").json(path)
+    (summaries.repartition("run_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_name").json(path))
+
+
+def run_of(path: Column) -> Column:
+    """The run that a stored file belongs to, as a string: its partition folder's
+    value, else its stem; NULL for other files."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # paths are written as URIs
+    folder = F.regexp_extract(decoded, r"/run_name=([^/]*)/[^/]*$", 1)
+    stem = F.regexp_extract(decoded, r"/([^/]+)\.jsonl$", 1)
+    unescaped = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))  # Spark escapes folder names itself
+    return F.when(folder != "", unescaped).when(stem != "", stem)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.org.apache.hadoop.fs.Path, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The newest finished version folder of a store, if it has any."""
+    hadoop, fs = _hadoop(spark, path)
+    done = fs.globStatus(hadoop(f"{path.rstrip('/')}/version=*/_DONE")) or []
+    return max((d.getPath().getParent().toString() for d in done), default=None)
+
+
+def new_version(path: str) -> str:
+    return f"{path.rstrip('/')}/version={time.time_ns():020d}"
+
+
+def finish_version(spark: SparkSession, version: str) -> None:
+    """Make a version the one that readers see."""
+    hadoop, fs = _hadoop(spark, version)
+    fs.create(hadoop(f"{version}/_DONE"), False).close()
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    # Folders are searched for files: reading them as partitions would turn a run called 007 into 7.
+    found = spark.read.option("recursiveFileLookup", "true").text(path)
+    return found.select(run_of(F.col("_metadata.file_path")).alias("run_name"), "value", F.col("_metadata.file_path").alias("file_path")).where("run_name IS NOT NULL")
 
 
 def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A10: every stored line with its run (from the partition directory) and file."""
-    return (spark.read.option("basePath", path).text(path)
-            .select("run_name", "value", F.col("_metadata.file_path").alias("file_path")))
+    """A10: every stored line with its run and file, in either layout."""
+    version = current_version(spark, path)
+    return _lines(spark, f"{version}/records" if version else path)
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """``(run_name, value)``: lines that rewrites could not parse."""
+    version = current_version(spark, path)
+    if version is None:
+        return spark.createDataFrame([], "run_name string, value string")
+    return _lines(spark, f"{version}/quarantine").select("run_name", "value")
 
 
 def recover_records(lines: DataFrame) -> DataFrame:
     """Strip leading NULs, drop blank lines, parse.
 
-    Lines that still fail to parse are kept with their text in
-    ``_corrupt_record`` (quarantine) instead of aborting the job.
+    Fields are cast leniently; fields that the schema lacks are kept as a JSON
+    object in ``extra_fields``. Lines that are no JSON object are kept with
+    their text in ``_corrupt_record`` (quarantine) instead of ending the job.
     """
     keep = [c for c in lines.columns if c != "value"]
     repaired = lines.select(*keep, F.regexp_replace("value", r"^\x{0}+", "").alias("_line"))
     repaired = repaired.where(~F.col("_line").rlike(f"^[{WHITESPACE_CLASS}]*$"))
+    is_object = F.col("_line").rlike(rf"^[{WHITESPACE_CLASS}]*\{{")
     parsed = repaired.select(
-        *keep, F.from_json("_line", _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        .alias("_r"))
-    return parsed.select(*keep, "_r.*")
+        *keep, "_line", is_object.alias("_object"),
+        F.from_json(F.when(is_object, F.col("_line")), _LENIENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("_r"))
+    good = F.col("_object") & F.col(f"_r.{CORRUPT}").isNull() & F.col("_r").isNotNull()
+    known = F.array(*[F.lit(n) for n, _ in RECORD_FIELDS])
+    others = F.map_filter(F.from_json(F.when(good, F.col("_line")), "map<string,variant>"), lambda k, v: ~F.array_contains(known, k))
+    return parsed.select(
+        *keep, *[F.col(f"_r.{n}").try_cast(t).alias(n) for n, t in RECORD_FIELDS],
+        F.when(F.size(others) > 0, F.to_json(others)).alias(EXTRA),
+        F.when(~good, F.col("_line")).alias(CORRUPT))
 
 
 def quarantined(recovered: DataFrame) -> DataFrame:
@@ -106,40 +187,45 @@ def parsed_records(recovered: DataFrame) -> DataFrame:
     return recovered.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def rewrite_atomically(df: DataFrame, path: str, writer=write_records) -> None:
-    """Write the new version next to the old one, then swap directories.
+def rewrite_store(path: str, records: DataFrame, quarantine: DataFrame, summary) -> str:
+    """A new version of the store at ``path``; returns its folder.
 
-    Never overwrites a path that ``df`` may still be reading from: the new
-    data lands in a staging directory first; the old directory is only
-    renamed away after the write has succeeded, and removed last.
+    ``records`` and ``quarantine`` (``run_name, value``) may still read the
+    current version. ``summary`` builds the summaries from the written records,
+    so that what was computed for the records is not computed again.
     """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    token = uuid.uuid4().hex[:12]
-    staging = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.staging-{token}")
-    backup = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{token}")
-    try:
-        writer(df, staging.toString())
-    except Exception:
-        fs.delete(staging, True)
-        raise
-    had_old = fs.exists(target)
-    if had_old and not fs.rename(target, backup):
-        raise OSError(f"could not move {path} aside")
-    if not fs.rename(staging, target):
-        if had_old:
-            fs.rename(backup, target)
-        raise OSError(f"could not move staging data to {path}")
-    if had_old:
-        fs.delete(backup, True)
+    spark = records.sparkSession
+    version = new_version(path)
+    write_records(records, f"{version}/records")
+    (quarantine.select("run_name", "value").repartition("run_name").write.partitionBy("run_name").text(f"{version}/quarantine"))
+    written = parsed_records(recover_records(_lines(spark, f"{version}/records").drop("file_path")))
+    write_summaries(summary(written, _lines(spark, f"{version}/quarantine")), f"{version}/summaries")
+    finish_version(spark, version)
+    return version
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """A9 read back: one row per run, from a summary folder or a store's newest version."""
+    version = current_version(spark, path)
+    lines = _lines(spark, f"{version}/summaries" if version else path)
+    fields = ("rows bigint, scored_rows bigint, error_rows bigint, quarantined bigint, word_errors bigint, reference_words bigint, char_errors bigint, "
+              "reference_chars bigint, whisper_word_errors bigint, whisper_reference_words bigint, whisper_char_errors bigint, "
+              "whisper_reference_chars bigint, mean_wer double, mean_cer double, mean_whisper_wer double, mean_whisper_cer double")
+    return lines.select("run_name", F.from_json("value", fields).alias("s")).select("run_name", "s.*")
 
 
 def stored_runs(spark: SparkSession, path: str) -> DataFrame:
-    """the runs in a store with their files, in path order."""
-    lines = read_record_lines(spark, path)
-    return (lines.groupBy("run_name").agg(F.min("file_path").alias("first_file"),
-                                          F.count(F.lit(1)).alias("lines"))
+    """the runs in a store with their files, in path order; lists files, reads none."""
+    version = current_version(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{version}/records" if version else path)
+    uri = F.col("_metadata.file_path")
+    named = files.select(run_of(uri).alias("run_name"), uri.alias("path"), "length").where("run_name IS NOT NULL")
+    return (named.groupBy("run_name").agg(F.min("path").alias("first_file"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
             .orderBy("first_file"))
+
+
+def finished_runs(spark: SparkSession, path: str) -> DataFrame:
+    """F2's done marker: ``name`` of each run with a stored summary; lists files, reads none."""
+    version = current_version(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{version}/summaries" if version else path)
+    return files.select(run_of(F.col("_metadata.file_path")).alias("name")).where("name IS NOT NULL").distinct()

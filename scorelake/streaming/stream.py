@@ -4,7 +4,8 @@ The same column expressions as the batch path run on a stream. Records go
 to an append-only file sink (exactly-once with the checkpoint), so a crash
 keeps every finished micro-batch. The running summary keeps one small state
 row per run (counters and integer sums only), so it needs no watermark;
-each micro-batch's updated rows are merged into a summary table.
+each micro-batch writes a version of the summary table, and readers take the
+newest finished one.
 """
 
 from __future__ import annotations
@@ -13,22 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.operators.score import score_records
-from scorelake.plans.parallel import TASKS_PER_CORE
 from scorelake.operators.summary import summary_aggregates, with_summary_rates
+from scorelake.plans.parallel import TASKS_PER_CORE
 from scorelake.session import scratch_path
+from scorelake.sources.records import current_version, finish_version
+from scorelake.sources.tables import file_count, resolve_row_index
+
+# Bytes of new files in one micro-batch, for each core.
+BATCH_BYTES_PER_CORE = 512 * 1024 * 1024
 
 
-def read_turn_stream(spark: SparkSession, directory: str, file_glob: str = "*.parquet",
-                     max_files_per_trigger: int = 1) -> DataFrame:
-    """A stream of conversation turns (files matching ``file_glob`` arriving in
-    ``directory``) with a per-file source row index."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(directory).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .option("pathGlobFilter", file_glob).parquet(directory))
-    turns = stream.select("conv_id", "turn", "role", "text", F.col("_metadata.row_index").alias("row_index"))
-    # A micro-batch of one file is one split: spread its rows over the cores
-    # before the quadratic scoring work (a round-robin exchange per batch).
-    return turns.repartition(spark.sparkContext.defaultParallelism * TASKS_PER_CORE)
+def read_utterance_stream(spark: SparkSession, path: str, columns: list[str] | None = None,
+                          max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the rows of a parquet table: a folder that files arrive in, or one file.
+
+    Rows carry ``source_file`` and ``row_in_file``, which together are unique;
+    :func:`scorelake.sources.tables.resolve_row_index` turns them into the
+    batch ``row_index`` once the files are known. A micro-batch is bounded by
+    bytes, in proportion to the cluster.
+    """
+    source = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(source.schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES_PER_CORE * cores)
+    if not fs.getFileStatus(hadoop).isDirectory():
+        reader, path = reader.option("pathGlobFilter", hadoop.getName()), hadoop.getParent().toString()
+    rows = reader.parquet(path).select(
+        *(columns or source.columns), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("row_in_file"))
+    # A table of few files gives too few splits for quadratic scoring work.
+    return rows if file_count(source) >= cores else rows.repartition(cores * TASKS_PER_CORE)
 
 
 def write_record_stream(records: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
@@ -41,27 +60,27 @@ def write_record_stream(records: DataFrame, sink: str, checkpoint: str, availabl
 
 def write_running_summary(records: DataFrame, table: str, checkpoint: str, by: tuple[str, ...] = ("run_name",),
                           available_now: bool = True, state_partitions: int | None = None):
-    """H2: stateful per-run counters and sums, rewritten into ``table`` each micro-batch.
-
-    ``complete`` mode re-emits every run's state (one row per run), and the
-    batch writer replaces the table atomically per epoch. The state is one
-    row per run, so ``state_partitions`` (default: the cluster's cores) state
-    stores are plenty; Spark fixes this number in the checkpoint when the
-    query first starts. A hot run is no problem: the aggregate is partial
-    before the shuffle, so each task sends one row per run.
+    """H2: stateful per-run counters and sums; each micro-batch is a version of ``table``.
+
+    ``complete`` mode re-emits every run's state (one row per run). A version
+    becomes visible only when it is whole, and a repeated epoch replaces its
+    own. The state is one row per run, so ``state_partitions`` (default: the
+    cluster's cores) state stores are plenty; Spark fixes this number in the
+    checkpoint when the query first starts. A hot run is no problem: the
+    aggregate is partial before the shuffle, so each task sends one row per run.
     """
     spark = records.sparkSession
     sums = records.groupBy(*by).agg(*summary_aggregates())
 
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    def put(batch: DataFrame, epoch: int) -> None:
+        version = f"{table.rstrip('/')}/version={epoch:020d}"
+        batch.write.mode("overwrite").parquet(version)
+        finish_version(batch.sparkSession, version)
 
-    writer = (sums.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-              .foreachBatch(merge))
+    writer = sums.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    n = state_partitions or spark.sparkContext.defaultParallelism
     previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
     try:
         return writer.start()  # the query clones the session conf here
     finally:
@@ -69,22 +88,24 @@ def write_running_summary(records: DataFrame, table: str, checkpoint: str, by: t
 
 
 def read_running_summary(spark: SparkSession, table: str) -> DataFrame:
-    return with_summary_rates(spark.read.parquet(table))
+    return with_summary_rates(spark.read.parquet(current_version(spark, table)))
 
 
-def run_scored_stream(spark: SparkSession, directory: str, file_glob: str, to_records) -> DataFrame:
-    """Drive H1 to completion over everything in ``directory`` and read the sink."""
+def run_scored_stream(spark: SparkSession, path: str, to_records, columns: list[str] | None = None,
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """Drive H1 to completion over the table at ``path`` and read the sink, with ``row_index``."""
     sink = scratch_path(spark, "stream-records")
-    query = write_record_stream(score_records(to_records(read_turn_stream(spark, directory, file_glob))),
-                                sink, sink + "-checkpoint")
+    stream = read_utterance_stream(spark, path, columns, max_files_per_trigger)
+    query = write_record_stream(score_records(to_records(stream)), sink, sink + "-checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(sink)
+    return resolve_row_index(spark.read.parquet(sink), spark.read.parquet(path))
 
 
-def run_summary_stream(spark: SparkSession, directory: str, file_glob: str, to_records) -> DataFrame:
-    """Drive H2 to completion over everything in ``directory`` and read the summary."""
+def run_summary_stream(spark: SparkSession, path: str, to_records, columns: list[str] | None = None,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """Drive H2 to completion over the table at ``path`` and read the summary."""
     table = scratch_path(spark, "stream-summary")
-    query = write_running_summary(score_records(to_records(read_turn_stream(spark, directory, file_glob))),
-                                  table, table + "-checkpoint")
+    stream = read_utterance_stream(spark, path, columns, max_files_per_trigger)
+    query = write_running_summary(score_records(to_records(stream)), table, table + "-checkpoint")
     query.awaitTermination()
     return read_running_summary(spark, table)

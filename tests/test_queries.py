@@ -35,8 +35,8 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+def test_query_matches_oracle(spark, con, name, sf_dir=SF_SMALL):
+    df = entry.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     res = con.execute(entry.oracle_sql()[name])
@@ -77,10 +77,80 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
 
 
-def test_limit_applies_before_scoring(spark):
-    plan = QUERIES["first_n_rows"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    lines = plan.splitlines()
-    filt = next(i for i, l in enumerate(lines) if "Filter" in l and "2000" in l)
-    gens = [i for i, l in enumerate(lines) if "Generate inline" in l]
-    # Children print below parents: the limit filter must sit under the scoring Generate.
-    assert gens and all(filt > g for g in gens)
+def _distances(df):
+    return _plan(df).lower().count("levenshtein")
+
+
+def test_only_the_wanted_distances_are_planned(spark):
+    every = _distances(QUERIES["scored_records"](spark, SF_SMALL))
+    words = QUERIES["word_edit_distance"](spark, SF_SMALL)
+    assert _distances(words) < every and _distances(QUERIES["run_ranking"](spark, SF_SMALL)) < _distances(words)
+    assert "array_distinct" not in _plan(QUERIES["char_edit_distance"](spark, SF_SMALL))
+
+
+def test_queries_leave_the_session_alone(spark):
+    before = dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.shuffle.partitions")
+    for name in ("first_n_rows", "transcribe_batch", "stream_running_summary"):
+        QUERIES[name](spark, SF_SMALL)
+    after = dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.shuffle.partitions")
+    assert before == after
+
+
+# ---- tables of several files ----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """The small tables again, the turns in seven files in order, the rest in three each."""
+    import os
+
+    root = str(tmp_path_factory.mktemp("many"))
+    for t in TABLES:
+        df = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        df = df.repartitionByRange(7, "conv_id", "turn").sortWithinPartitions("conv_id", "turn") if t == "conversations" else df.repartition(3)
+        df.write.parquet(f"{root}/{t}.parquet")
+    assert len([f for f in os.listdir(f"{root}/conversations.parquet") if f.startswith("part-")]) == 7
+    return root
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_on_several_files(spark, con, many_files, name):
+    test_query_matches_oracle(spark, con, name, many_files)
+
+
+def test_limit_opens_only_the_files_it_needs(spark, many_files):
+    from scorelake.sources.tables import read_first_rows
+
+    path = f"{many_files}/conversations.parquet"
+    whole = sorted(tuple(r) for r in spark.read.parquet(path).select("conv_id", "turn").collect())
+    for limit in (1, 10, 30, 500):
+        head = read_first_rows(spark, path, limit, ["conv_id", "turn"])
+        rows = sorted(head.collect(), key=lambda r: r["row_index"])
+        assert [(r["conv_id"], r["turn"], r["row_index"]) for r in rows] == [(*w, i) for i, w in enumerate(whole[:limit])]
+        assert len(head.inputFiles()) == {1: 1, 10: 1, 30: 3}.get(limit, 7)
+
+
+def test_streams_of_several_batches(spark, many_files):
+    """One file a batch: the keys stay unique and the summary is that of the whole table."""
+    from scorelake.plans import queries as q
+    from scorelake.streaming.stream import run_scored_stream, run_summary_stream
+
+    path = f"{many_files}/conversations.parquet"
+    got = run_scored_stream(spark, path, q._stream_records, q._TURN, max_files_per_trigger=1)
+    keys = ["run_name", "row_index", "conv_id", "turn", "wer"]
+    want = QUERIES["scored_records"](spark, many_files).where("run_name <> 'edge-cases'")
+    assert sorted(map(repr, got.select(*keys).collect())) == sorted(map(repr, want.select(*keys).collect()))
+    assert got.select("run_name", "row_index").distinct().count() == got.count()
+    summary = run_summary_stream(spark, path, q._stream_records, q._TURN, max_files_per_trigger=2)
+    want = QUERIES["corpus_summary"](spark, many_files).where("run_name <> 'edge-cases'")
+    assert sorted(map(repr, summary.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_spread_starts_no_job(spark, many_files):
+    from scorelake.plans.parallel import spread
+
+    spark.sparkContext.setJobGroup("spread", "none expected")
+    rows = spread(spark.read.schema("conv_id long").parquet(f"{many_files}/conversations.parquet"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows.rdd.getNumPartitions() == 32
