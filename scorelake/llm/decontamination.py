@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import ship
 
 WINDOW = 10
-#: Item text in one automaton: some 60 bytes of memory for each byte of a window.
+#: Item text in one automaton, which takes some 400 bytes of memory for each byte of it.
 BLOCK_BYTES = 500_000
 #: Bytes of words as they are (A-Z lower-cased); all others become spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
