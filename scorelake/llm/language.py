@@ -31,6 +31,8 @@ UNKNOWN = "und"
 BITS = 16
 #: Labelled rows that weights and temperature are fitted on, at most (twice that for a lucky hash).
 SAMPLE = 4000
+#: Labels whose counts are broadcast; more of them are joined by a shuffle.
+MOST_LABELS = 50_000
 FOLDS = 5
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-3, 1e-3
 _LETTERS: list[np.ndarray] = []
@@ -169,10 +171,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     frequency = np.zeros(1 << BITS)
     frequency[list(counted)] = list(counted.values())
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    # One row per label; the sample is dealt evenly over the labels.
+    # One row per label; the sample is dealt evenly over the labels. The counts
+    # go to the texts, whose labels are too uneven to be shuffled by them.
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.lit(float(sample) * (1 << 30) / max(1, sizes.count())) / F.col("n")
-    chosen = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) < share).select("text", "lang", "h")
+    labels = sizes.count()
+    share = F.lit(float(sample) * (1 << 30) / max(1, labels)) / F.col("n")
+    joined = rows.join(F.broadcast(sizes) if labels <= MOST_LABELS else sizes, "lang")
+    chosen = joined.where(F.pmod("h", F.lit(1 << 30)) < share).select("text", "lang", "h")
     found = chosen.mapInArrow(_sampled, "lang string, h long, at binary, counts binary").orderBy("h", "lang", "at").limit(2 * sample).collect()
     data = [(r["lang"], *weighted(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4"), idf)) for r in found if r["at"]]
     names = sorted({lang for lang, *_ in data})
