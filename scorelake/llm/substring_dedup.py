@@ -97,17 +97,19 @@ def sliding(values: np.ndarray, width: int, ufunc: np.ufunc, rest: int) -> np.nd
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and part hashes of the anchors of one chunk, and the places whose
-    surroundings occur again in the chunk; of those, the first stays an anchor."""
+    """Places and part hashes of the anchors of one chunk, and the ranges that are
+    known to occur again in the chunk: periods, and anchors with the same
+    surroundings, of which the first stays an anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none
+        return none, none, none.reshape(0, 2)
     hashes = Hashes(data)
     parts = hashes.all(GRAM)
     least = sliding(parts, PLACES, np.minimum, 2**64 - 1)
     edges = np.zeros(len(least) + 2 * BEFORE, np.uint64)
     edges[BEFORE:BEFORE + len(least)] = least
     at = np.flatnonzero(parts == sliding(edges, PLACES, np.maximum, 0))
+    at, periods = without_periods(data, at, parts)
     whole = at[(at >= BEFORE) & (at + LENGTH <= len(data))]
     around = hashes.at(whole - BEFORE, BEFORE + LENGTH)
     _, first, group, count = np.unique(around, return_index=True, return_inverse=True, return_counts=True)
@@ -121,7 +123,32 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     repeated = whole[again]
     gone = whole[again[first[group[again]] != again]]
     at = at[~np.isin(at, gone)] if len(gone) else at
-    return at, parts[at].view(np.int64), repeated
+    return at, parts[at].view(np.int64), joined(np.concatenate([periods, np.stack([repeated - BEFORE, repeated + LENGTH], axis=1)]))
+
+
+def without_periods(data: np.ndarray, at: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors without most of those in long periodic stretches, and the stretches.
+
+    In a stretch every period has an anchor with the same part. A string inside
+    it, short of its first and last anchor, stands a period further on too, so
+    it is known to repeat. Every other string that has an equal one shares with
+    it one of the anchors that stay: the first three (strings of each phase
+    start there), the last two (strings that show the stretch's end) and those
+    that are leftmost in strings that reach just to its end.
+    """
+    chained = (parts[at[1:]] == parts[at[:-1]]) & (np.diff(at) <= GRAM)
+    edges = np.diff(np.r_[False, chained, False].astype(np.int8))
+    keep, stretches = np.ones(len(at), bool), []
+    for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
+        places = at[a:b + 1]
+        period, last = int(places[1] - places[0]), int(places[-1])
+        text = data[places[0]:last + GRAM]
+        if len(text) < LENGTH + 2 * period or (np.diff(places) != period).any() or (text[period:] != text[:-period]).any():
+            continue
+        keep[a + 3:b - 1] = False
+        keep[a:b + 1] |= (places >= last - PLACES - period) & (places <= last - PLACES + 2 * period)
+        stretches.append((int(places[0]) + 1, last + GRAM - 1))
+    return at[keep], np.array(stretches, np.int64).reshape(-1, 2)
 
 
 def joined(ranges: np.ndarray) -> np.ndarray:
@@ -143,8 +170,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("b")):
             data = np.frombuffer(text.as_buffer(), np.uint8)
             for start in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
-                at, grams, repeated = anchors(data[start:start + CHUNK + LENGTH - 1])
-                ranges = joined(np.stack([repeated - BEFORE, repeated + LENGTH], axis=1)) + start
+                at, grams, ranges = anchors(data[start:start + CHUNK + LENGTH - 1])
+                ranges = ranges + start
                 n, m = len(at), len(ranges)
                 if n + m:
                     yield pa.RecordBatch.from_arrays([

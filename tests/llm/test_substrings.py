@@ -74,6 +74,31 @@ def test_random_texts(spark, seed, monkeypatch):
     assert result(S.remove_repeats(df)) == expected(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_periodic_stretches(spark, seed, monkeypatch):
+    """Stretches of every phase and length, alone, cut off, and inside other text."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(70):
+        unit = rng.choice([" the", "a", "abcdefg", "0123456789abcdefghijklmnopqrstu"[:rng.choice([29, 31])], "x" * 20 + "y" * 20])
+        stretch = (unit * 900)[rng.randrange(len(unit)):][:rng.choice([150, 199, 200, 201, 203, 208, 230, 263, 400, 900])]
+        ends = ["", "q", "".join(rng.choice("uvwxyz") for _ in range(rng.randint(0, 300)))]
+        rows.append((i, rng.choice(ends) + stretch + rng.choice(ends) + rng.choice(["", stretch[:rng.randint(0, 300)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(S.remove_repeats(df)) == expected(rows)
+    for _, text in rows[::9]:  # a stretch alone: what the scan knows is right
+        data = np.frombuffer((text * 4).encode(), np.uint8)
+        for start, end in S.anchors(data)[2]:
+            assert end - start >= S.LENGTH and all(data.tobytes().find(data[i:i + S.LENGTH].tobytes()) != i or data.tobytes().find(data[i:i + S.LENGTH].tobytes(), i + 1) > 0
+                                                   for i in (start, end - S.LENGTH))
+
+
+def test_a_long_stretch_has_few_anchors():
+    for unit in ("a", " the", "abcdefghijk"):
+        at, _, ranges = S.anchors(np.frombuffer(("head. " + unit * 5000 + " tail").encode(), np.uint8))
+        assert len(at) < 60 and (ranges[:, 1] - ranges[:, 0]).max() > 4000
+
+
 def test_levels_meet_each_other_in_small_batches(monkeypatch):
     """Three batches in one family find what one batch finds."""
     rng = random.Random(5)
