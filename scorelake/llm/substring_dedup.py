@@ -43,8 +43,9 @@ LENGTH, GRAM = 200, 32
 #: Places of a part within a string, and bytes that may lie before an anchor.
 PLACES = LENGTH - GRAM + 1
 BEFORE = PLACES - 1
-HOT = 20_000
 ENTRIES_PER_TASK, BATCH = 60_000, 16_384
+#: A part with more anchors than a task's share can't meet in one task.
+HOT = ENTRIES_PER_TASK
 #: Bytes of a text that are scanned at once.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
