@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import (chat, decontamination, language, packing, secrets, simhash, substring_dedup, token_store, url_filter,
+from scorelake.llm import (chat, decontamination, fill_in_middle, language, packing, secrets, simhash, substring_dedup, token_store, url_filter,
                            vector_neighbours)
 from scorelake.llm.common import documents
 
@@ -56,5 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_decontamination, op4_urls, op5_vectors, op6_chat, op7_secrets, op8_simhash, op9_token_store, op10_packing)}
-ORACLES = {"op4_urls": url_filter.oracle_sql()}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transform(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_decontamination, op4_urls, op5_vectors, op6_chat, op7_secrets, op8_simhash, op9_token_store, op10_packing,
+                                   op11_fill_in_middle)}
+ORACLES = {"op4_urls": url_filter.oracle_sql(), "op11_fill_in_middle": fill_in_middle.ORACLE_SQL}
