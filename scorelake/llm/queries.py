@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import (chat, decontamination, fill_in_middle, language, packing, secrets, simhash, substring_dedup, token_store, url_filter,
+from scorelake.llm import (chat, decontamination, fill_in_middle, hard_negatives, language, packing, secrets, simhash, substring_dedup, token_store, url_filter,
                            vector_neighbours)
 from scorelake.llm.common import documents
 
@@ -60,6 +60,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transform(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_decontamination, op4_urls, op5_vectors, op6_chat, op7_secrets, op8_simhash, op9_token_store, op10_packing,
-                                   op11_fill_in_middle)}
-ORACLES = {"op4_urls": url_filter.oracle_sql(), "op11_fill_in_middle": fill_in_middle.ORACLE_SQL}
+                                   op11_fill_in_middle, op12_hard_negatives)}
+ORACLES = {"op4_urls": url_filter.oracle_sql(), "op11_fill_in_middle": fill_in_middle.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
