@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import (chat, decontamination, fill_in_middle, hard_negatives, language, packing, secrets, simhash, substring_dedup, token_store, url_filter,
+from scorelake.llm import (chat, decontamination, fill_in_middle, hard_negatives, language, language_model, packing, secrets, simhash, substring_dedup, token_store, url_filter,
                            vector_neighbours)
 from scorelake.llm.common import documents
 
@@ -65,6 +65,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_decontamination, op4_urls, op5_vectors, op6_chat, op7_secrets, op8_simhash, op9_token_store, op10_packing,
-                                   op11_fill_in_middle, op12_hard_negatives)}
+                                   op11_fill_in_middle, op12_hard_negatives, op13_language_model)}
 ORACLES = {"op4_urls": url_filter.oracle_sql(), "op11_fill_in_middle": fill_in_middle.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
