@@ -30,32 +30,52 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def audio_input(audio: Column | str, stereo: bool = False) -> Column:
+def audio_input(audio: Column | str, layout: T.DataType = AUDIO_STRUCT) -> Column:
     """B2: which part of an audio value a transcriber receives.
 
-    ``array`` + ``sampling_rate`` if both are present; else non-empty
-    ``bytes``; else non-empty ``path``; else the value as it is. Result:
-    ``struct(kind, array, frames, sampling_rate, bytes, path)`` with only the
-    chosen part filled (``kind='value'`` keeps every field). With ``stereo``,
-    ``array`` holds frames (one array of channels each) and becomes ``frames``.
+    The column's type decides, when the query is planned: a path (string), the
+    bytes of a file (binary), samples or frames without a rate (array), or a
+    struct with any of ``array``, ``sampling_rate``, ``bytes`` and ``path``. Of a
+    struct, ``array`` + ``sampling_rate`` are taken if both are present; else
+    non-empty ``bytes``; else non-empty ``path``; else the value as it is.
+
+    Result: ``struct(kind, array, frames, sampling_rate, bytes, path)`` with only
+    the chosen part filled. ``kind='value'`` keeps every field, ``kind='samples'``
+    is a plain array and ``kind='none'`` a NULL value. Samples are in ``array``, frames (one array of channels each)
+    in ``frames``.
     """
     a = _col(audio)
-    mono = F.lit(None).cast("array<float>") if stereo else a["array"]
-    frames = a["array"] if stereo else F.lit(None).cast("array<array<float>>")
-    has_array = a["array"].isNotNull() & a["sampling_rate"].isNotNull()
-    has_bytes = a["bytes"].isNotNull() & (F.length(a["bytes"]) > 0)
-    has_path = a["path"].isNotNull() & (F.length(a["path"]) > 0)
-    kind = (F.when(has_array, F.lit("array")).when(has_bytes, F.lit("bytes"))
-            .when(has_path, F.lit("path")).otherwise(F.lit("value")))
-    whole = kind == "value"
+    null = {"array": F.lit(None).cast("array<float>"), "sampling_rate": F.lit(None).cast("int"), "bytes": F.lit(None).cast("binary"), "path": F.lit(None).cast("string")}
+    types = {"array": None}
+    if isinstance(layout, T.StructType):
+        types = {f.name: f.dataType for f in layout.fields if f.name in null}
+        given = {name: a[name].cast(null_type) if null_type else a[name] for name, null_type in (("sampling_rate", "int"), ("bytes", "binary"), ("path", "string"), ("array", None)) if name in types}
+    elif isinstance(layout, T.StringType):
+        given = {"path": a}
+    elif isinstance(layout, T.BinaryType):
+        given = {"bytes": a}
+    elif isinstance(layout, T.ArrayType):
+        types, given = {"array": layout}, {"array": a}
+    else:
+        raise ValueError(f"an audio column holds a path, bytes, samples, or a struct of them, not {layout.simpleString()}")
+    field = {**null, **given}
+    array_type = types.get("array")
+    if array_type is not None and not isinstance(array_type, T.ArrayType):
+        raise ValueError(f"audio samples are an array, not {array_type.simpleString()}")
+    if array_type is not None and isinstance(array_type.elementType, T.ArrayType):
+        mono, frames = null["array"], field["array"].cast("array<array<float>>")
+    else:
+        mono, frames = field["array"].cast("array<float>"), F.lit(None).cast("array<array<float>>")
+    if isinstance(layout, T.StructType):
+        kind = (F.when(a.isNull(), "none").when(field["array"].isNotNull() & field["sampling_rate"].isNotNull(), "array")
+                .when(F.length(field["bytes"]) > 0, "bytes").when(F.length(field["path"]) > 0, "path").otherwise("value"))
+    else:
+        kind = F.when(a.isNull(), "none").otherwise({T.StringType: "path", T.BinaryType: "bytes"}.get(type(layout), "samples"))
+    kept = lambda part, value: F.when(kind.isin(part, "value"), value)
+    samples = kind.isin("array", "samples", "value")
     return F.struct(
-        kind.alias("kind"),
-        F.when(has_array | whole, mono).alias("array"),
-        F.when(has_array | whole, frames).alias("frames"),
-        F.when(has_array | whole, a["sampling_rate"]).alias("sampling_rate"),
-        F.when((kind == "bytes") | whole, a["bytes"]).alias("bytes"),
-        F.when((kind == "path") | whole, a["path"]).alias("path"),
-    )
+        kind.alias("kind"), F.when(samples, mono).alias("array"), F.when(samples, frames).alias("frames"),
+        kept("array", field["sampling_rate"]).alias("sampling_rate"), kept("bytes", field["bytes"]).alias("bytes"), kept("path", field["path"]).alias("path"))
 
 
 def downmix(frames: Column | str) -> Column:

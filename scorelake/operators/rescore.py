@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from scorelake.operators.score import COUNT_COLUMNS, RATE_COLUMNS, is_rescorable, score_records
 from scorelake.operators.summary import summarize
+from scorelake.sources.commits import state
 from scorelake.sources.records import (
     CORRUPT,
     parsed_records,
     quarantined,
     read_quarantine,
     read_record_lines,
+    read_records,
     read_summaries,
     recover_records,
     rewrite_store,
@@ -59,9 +61,9 @@ def rescore_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rescore_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """E5 over a whole records store, on storage: records, quarantined lines and
-    summaries become the store's new version, and are read back from it."""
-    recovered = recover_records(read_record_lines(spark, path).drop("file_path"))
+    summaries take the place of what was read, in one commit, and are read back."""
+    now = state(spark, path)
+    recovered = recover_records(read_record_lines(spark, path, now).drop("file_path", "batch"))
     bad = quarantined(recovered).select("run_name", F.col(CORRUPT).alias("value"))
-    rewrite_store(path, rescore_records(parsed_records(recovered)), bad.unionByName(read_quarantine(spark, path)), summarize_rescored)
-    records = parsed_records(recover_records(read_record_lines(spark, path).drop("file_path")))
-    return records, read_summaries(spark, path)
+    rewrite_store(path, rescore_records(parsed_records(recovered)), bad.unionByName(read_quarantine(spark, path, now)), summarize_rescored, now)
+    return read_records(spark, path).drop("batch"), read_summaries(spark, path)

@@ -4,12 +4,21 @@ spec (A2) -> column check before any job (A4) -> source rows with their
 index (A6) and optional limit (A7) -> run-constant columns (B1) ->
 transcription with row-level errors (I1-I4) -> reference text (B6) ->
 scoring (D5-D8) -> records sink (A8) and summary sink (A9).
+
+Pending runs are worked off in units: some runs' files of the source, one
+Spark job and one commit each, so that a killed job keeps every finished unit
+(F2, H1). Within a unit each run scans the rows that it lacks with its own
+model; audio goes from the scan to the transcriber and through no exchange.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +27,12 @@ from scorelake.operators.inference import TRANSCRIBERS, Registry, transcribe_bat
 from scorelake.operators.score import score_records
 from scorelake.operators.summary import summarize
 from scorelake.plans.matrix import pending_utterances
+from scorelake.session import scratch_path
 from scorelake.sources.catalog import DatasetSpec, language_hint, parse_dataset_spec
-from scorelake.sources.records import (
-    append_records,
-    parsed_records,
-    read_record_lines,
-    read_summaries,
-    recover_records,
-    store_exists,
-    write_records,
-    write_summaries,
-)
+from scorelake.sources.commits import commit
+from scorelake.sources.records import finished_runs, read_failures, read_records, read_summaries, runs_of_batch, write_batch, write_records, write_summaries
 from scorelake.sources.tables import first_n_rows
+from scorelake.sources.utterances import FileUtterances, TableUtterances
 
 
 def check_columns(df: DataFrame, spec: DatasetSpec) -> None:
@@ -102,58 +105,179 @@ def evaluate_run(source: DataFrame, engine: str, model: str, dataset: str, outpu
     return _stored(source.sparkSession, output_root, [name])
 
 
-def _stored(spark: SparkSession, output_root: str, names: list[str] | None) -> tuple[DataFrame, DataFrame]:
+def _stored(spark: SparkSession, output_root: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
     root = output_root.rstrip("/")
-    lines = read_record_lines(spark, f"{root}/records").drop("file_path")
-    if names is not None:
-        lines = lines.where(F.col("run_name").isin(names))
-    stored = parsed_records(recover_records(lines))
+    stored = read_records(spark, f"{root}/records").drop("batch").where(F.col("run_name").isin(names))
     write_summaries(summarize(stored), f"{root}/summaries")
-    summaries = read_summaries(spark, f"{root}/summaries")
-    return stored, summaries.where(F.col("run_name").isin(names)) if names is not None else summaries
-
-
-def transcribe_pending(work: DataFrame, registry: Registry = TRANSCRIBERS, audio_col: str = "audio", reference_col: str = "transcription",
-                       empty_reference: str = "error") -> DataFrame:
-    """Scored records of a work list: rows of :func:`pending_utterances` with the
-    run's ``name``, ``engine`` and ``model`` and optionally ``options``, next to
-    the utterance's audio and reference. One job for all runs."""
-    options = F.col("options") if "options" in work.columns else None
-    keep = [c for c in work.columns if c != "options"]
-    out = transcribe_batch(work.select(*keep, *(["options"] if options is not None else [])), F.col("engine"), F.col("model"), audio_col=audio_col,
-                           options=options, language=language_hint(F.col("engine"), F.col("model")), registry=registry)
-    return score_records(with_reference(out, reference_col).withColumnRenamed("name", "run_name").drop("options"), empty_reference=empty_reference)
-
-
-def run_pending(jobs: DataFrame, utterances: DataFrame, output_root: str, registry: Registry = TRANSCRIBERS,
-                reference_col: str = "transcription", force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """F1 -> F2 -> I3 -> D8 -> A8 -> A9 in one job: every utterance that a run in
-    ``jobs`` has not stored yet (all of them with ``force``).
-
-    Stored records are the resume mark: what a crashed run had written stays,
-    and only the rest is transcribed. New records are appended to the store, so
-    a row that failed before has two records; the one without an error counts.
+    return stored, read_summaries(spark, f"{root}/summaries").where(F.col("run_name").isin(names))
+
+
+# ---- all pending runs ------------------------------------------------------------
+
+# Rows of a unit: enough to keep a cluster busy for minutes, few enough to do again.
+ROWS_PER_UNIT = 1_000_000
+# Runs of one unit (branches of one plan).
+RUNS_PER_UNIT = 32
+
+
+@dataclass(frozen=True)
+class Run:
+    """A job of the matrix; there are as many as models times datasets."""
+
+    name: str
+    dataset: str
+    engine: str
+    model: str
+    options: tuple[tuple[str, str], ...]
+    limit: int | None
+
+
+def planned_runs(jobs: DataFrame, limit: int | None = None) -> list[Run]:
+    """The jobs in their order, with what their arguments say: ``--limit`` bounds
+    the rows, any other argument becomes an option of the transcriber."""
+    order = [c for c in ("ordinal", "dataset", "model_ordinal", "name") if c in jobs.columns]
+    out = []
+    for job in jobs.orderBy(*order).collect():
+        given = dict(job["options"] or {}) if "options" in jobs.columns else {}
+        words = list(job["extra_args"] or []) if "extra_args" in jobs.columns else []
+        own = dict(zip(words[::2], words[1::2]))
+        limits = [int(x) for x in (own.pop("--limit", None), limit) if x is not None]
+        if any(x < 1 for x in limits):
+            raise ValueError("--limit must be >= 1")
+        given.update({k.lstrip("-").replace("-", "_"): v for k, v in own.items()})
+        out.append(Run(job["name"], job["dataset"], job["engine"], job["model"], tuple(sorted(given.items())), min(limits, default=None)))
+    return out
+
+
+def units(pending: list[tuple[Run, int, int]], rows_per_unit: int, one_run: bool) -> Iterator[list[tuple[Run, list[int]]]]:
+    """Deal ``(run, part, rows)``, in order, to units of about ``rows_per_unit``
+    rows (with ``one_run``, of one run)."""
+    unit: dict[Run, list[int]] = {}
+    size = 0
+    for run, part, rows in pending:
+        if unit and (size + rows > rows_per_unit or (run not in unit and (one_run or len(unit) == RUNS_PER_UNIT))):
+            yield list(unit.items())
+            unit, size = {}, 0
+        unit.setdefault(run, []).append(part)
+        size += rows
+    if unit:
+        yield list(unit.items())
+
+
+def unit_records(unit: list[tuple[Run, list[int]]], source, done: DataFrame, registry: Registry, empty_reference: str = "error") -> DataFrame:
+    """Scored records of a unit, and rows with a ``run_failure`` for models that do not load.
+
+    Every run is a branch of its own: a scan of its parts, minus the rows that
+    it has (``done``; no more than a unit's, hence broadcast), to the
+    transcriber. No row, and so no audio, is shuffled or copied.
+    """
+    out = []
+    for run, parts in unit:
+        rows = source.rows(run.dataset, parts)
+        if run.limit is not None:
+            rows = rows.where(F.col("row_index") < run.limit)
+        had = done.where((F.col("run_name") == run.name) & F.col("part").isin(parts)).select("row_index")
+        rows = rows.join(F.broadcast(had), "row_index", "left_anti")
+        heard = transcribe_batch(rows, run.engine if run.engine in registry.items() else F.lit(run.engine), run.model, audio_col="_audio", options=dict(run.options),
+                                 language=language_hint(F.lit(run.engine), F.lit(run.model)), registry=registry, many_models=False, load_failures="run_failure")
+        named = with_run_columns(with_reference(heard, "_reference"), run.engine, run.model, source.spec(run.dataset), run.name)
+        out.append(named.select(*RUN_RECORD, "run_failure"))
+    return score_records(reduce(DataFrame.unionByName, out), empty_reference=empty_reference)
+
+
+def run_pending(jobs: DataFrame, utterances: DataFrame | FileUtterances | TableUtterances, output_root: str, registry: Registry = TRANSCRIBERS,
+                reference_col: str = "transcription", force: bool = False, limit: int | None = None, stop_on_error: bool = False,
+                rows_per_unit: int = ROWS_PER_UNIT, most_units: int | None = None, empty_reference: str = "error") -> tuple[DataFrame, DataFrame]:
+    """F1 -> F2 -> I3 -> D8 -> A8 -> A9: every utterance that a run of ``jobs`` has not stored yet.
+
+    ``utterances`` are file scans by dataset (:class:`FileUtterances`) or a table
+    ``(dataset, row_index, audio, <reference_col>)``. A run with a stored summary
+    is finished and skipped. Of the others, stored records are the resume mark:
+    only what is missing, or failed, is transcribed again, in units that each
+    commit alone (``info['unit']`` in the store's ledger). With ``force`` all
+    runs start over, and a run's first unit replaces what it had. Jobs may carry
+    ``options`` and ``extra_args``; ``limit`` bounds each run to the first rows.
+
+    A model that does not load fails its run only: later units leave that run
+    out, it gets no summary, and :func:`run_failures` reports it. With
+    ``stop_on_error`` units hold one run, in job order, and the first failed run
+    ends the work. ``most_units`` ends it early, to be gone on with by another call.
+
+    Returns the settled records and the summaries of all runs in the store.
     """
     spark = jobs.sparkSession
     root = output_root.rstrip("/")
-    stored = _store_or_empty(spark, f"{root}/records")
-    nothing = stored.where("false")
-    work = pending_utterances(jobs.select("name", "dataset", "engine", "model"), utterances, nothing if force else stored)
-    records = transcribe_pending(work, registry, reference_col=reference_col)
-    append_records(records, f"{root}/records")
-    final = settled(_store_or_empty(spark, f"{root}/records", every_column=True))
-    write_summaries(summarize(final), f"{root}/summaries")
+    source = TableUtterances(utterances, reference_col=reference_col) if isinstance(utterances, DataFrame) else utterances
+    if isinstance(source, FileUtterances):
+        for name, scan in source.scans.items():
+            check_columns(scan, source.spec(name))
+    runs = planned_runs(jobs, limit)
+    finished = set() if force else {r["name"] for r in finished_runs(spark, f"{root}/summaries").collect()}
+    runs = [r for r in runs if r.name not in finished]
+    pending, done = pending_parts(spark, runs, source, f"{root}/records", force)
+    failed: set[str] = set()
+    begun: set[str] = set()
+    unfinished = {run.name for run, *_ in pending}
+    rows_left = Counter(run.name for run, *_ in pending)
+    for number, unit in enumerate(units(pending, rows_per_unit, stop_on_error)):
+        if (stop_on_error and failed) or number == most_units:
+            break
+        unit = [(run, parts) for run, parts in unit if run.name not in failed]
+        if not unit:
+            continue
+        batch = write_batch(unit_records(unit, source, done, registry, empty_reference), f"{root}/records")
+        names = {run.name for run, _ in unit}
+        fresh = names - begun if force else set()
+        commit(spark, f"{root}/records", "replace" if fresh else "append", batch, hide=fresh, info={"unit": str(number), "runs": ",".join(sorted(names))})
+        begun |= names
+        failed |= set(runs_of_batch(spark, f"{root}/records", batch, "failures"))
+        for run, parts in unit:
+            rows_left[run.name] -= len(parts)
+        unfinished = {name for name, n in rows_left.items() if n > 0} | failed
+    ended = [r.name for r in runs if r.name not in unfinished]
+    final = settled(read_records(spark, f"{root}/records"))
+    if ended:
+        write_summaries(summarize(final.where(F.col("run_name").isin(ended))), f"{root}/summaries")
     return final, read_summaries(spark, f"{root}/summaries")
 
 
+def pending_parts(spark: SparkSession, runs: list[Run], source, path: str, force: bool) -> tuple[list[tuple[Run, int, int]], DataFrame]:
+    """``(run, part, rows)`` with rows still to transcribe, in job order, and what
+    the runs have: ``(run_name, part, row_index)`` of stored rows without an
+    error, as a table of its own, which units read their part of.
+
+    Only keys are read. The list has an entry for each run and part of the
+    source that has work left.
+    """
+    nothing = spark.createDataFrame([], "run_name string, part long, row_index long")
+    keys = source.keys({r.dataset for r in runs})
+    if not runs or keys is None:
+        return [], nothing
+    table = spark.createDataFrame([(i, r.name, r.dataset, r.limit) for i, r in enumerate(runs)], "place int, name string, dataset string, most long")
+    stored = read_records(spark, path).where(F.col("run_name").isin([r.name for r in runs]) & F.col("error").isNull()).select("run_name", "row_index")
+    done = nothing
+    if not force:
+        where = scratch_path(spark, "stored-keys")
+        known = stored.distinct().join(F.broadcast(table.select(F.col("name").alias("run_name"), "dataset")), "run_name")
+        known.join(keys, ["dataset", "row_index"]).select("run_name", F.col("part").cast("long").alias("part"), "row_index").write.parquet(where)
+        done = spark.read.schema(nothing.schema).parquet(where)
+    work = pending_utterances(table, keys, done.select("run_name", "row_index", F.lit(None).cast("string").alias("error")))
+    counts = work.where(F.col("most").isNull() | (F.col("row_index") < F.col("most"))).groupBy("place", "part").agg(F.count("*").alias("n"), F.min("row_index").alias("first"))
+    return [(runs[r["place"]], r["part"], r["n"]) for r in counts.orderBy("place", "first").collect()], done
+
+
 def settled(records: DataFrame) -> DataFrame:
-    """One record per run and utterance: one without an error, if there is one."""
-    fields = [c for c in records.columns if c not in ("run_name", "row_index")]
-    best = F.min_by(F.struct(*fields), F.struct(F.col("error").isNotNull(), F.col("error"), F.col("prediction")))
+    """One record per run and utterance: of those without an error, if there are
+    any, the one that was stored last."""
+    fields = [c for c in records.columns if c not in ("run_name", "row_index", "batch")]
+    best = F.max_by(F.struct(*fields), F.struct(F.col("error").isNull(), "batch", "prediction"))
     return records.groupBy("run_name", "row_index").agg(best.alias("r")).select("run_name", "row_index", "r.*")
 
 
-def _store_or_empty(spark: SparkSession, path: str, every_column: bool = False) -> DataFrame:
-    lines = read_record_lines(spark, path).drop("file_path") if store_exists(spark, path) else spark.createDataFrame([], "run_name string, value string")
-    records = parsed_records(recover_records(lines))
-    return records if every_column else records.select("run_name", "row_index", "error")
+def run_failures(spark: SparkSession, output_root: str) -> DataFrame:
+    """``(run_name, error)`` of runs whose model did not load and that have not
+    been finished since; of several messages the first in order."""
+    root = output_root.rstrip("/")
+    finished = finished_runs(spark, f"{root}/summaries").withColumnRenamed("name", "run_name")
+    failures = read_failures(spark, f"{root}/records").groupBy("run_name").agg(F.min("error").alias("error"))
+    return failures.join(finished, "run_name", "left_anti")

@@ -448,6 +448,59 @@ FROM s""",
 })
 
 
+# ---- stores, units of work, failures, audio layouts -----------------------------
+
+def _store_life_sql() -> str:
+    """All rows of two runs, and of the replaced one those that it was replaced by."""
+    kept = "FROM recs WHERE run_name <> 'edge-cases' AND NOT (model = 'tiny' AND row_index % 3 = 0)"
+    extra = "CAST(0 AS BIGINT) AS quarantined, CAST(count(*) AS BIGINT) AS stored, CAST(count(DISTINCT row_index) AS BIGINT) AS distinct_rows"
+    return _with_records(_summary_select("run_name").replace("SELECT run_name,", f"SELECT run_name, {extra},").replace("FROM recs", kept))
+
+
+def _run_failures_sql() -> str:
+    """Models named LLM do not load; every other run has all turns of its role."""
+    pairs = _transcribe_pairs_cte().replace("SELECT 'echo-drop4-conversations-test' AS run_name,", "SELECT role || ':test' AS run_name,")
+    return ("WITH RECURSIVE " + _matrix_cte() + "," + _records_cte(pairs) + """
+SELECT jobs.name AS run_name, CAST(count(*) AS BIGINT) AS "rows", CAST(count(recs.error) AS BIGINT) AS error_rows,
+       min(string_split(jobs.dataset, ':')[1]) AS dataset, min('hub/' || string_split(jobs.dataset, ':')[1]) AS hf_dataset, 'default' AS dataset_config,
+       'test' AS split, 'sound' AS audio_column, 'said' AS reference_column, NULL AS error
+FROM recs JOIN jobs ON jobs.dataset = recs.run_name WHERE jobs.model NOT LIKE '%LLM%' GROUP BY jobs.name
+UNION ALL
+SELECT name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'OSError: no weights for ' || model FROM jobs WHERE model LIKE '%LLM%'""")
+
+
+def _audio_layouts_sql() -> str:
+    odd, path, rate = "vec_id % 2 = 1", "'audio/' || vec_id || '.wav'", "(8000 + vec_id % 3)"
+
+    def heard(shape: str, rate: str, values: str) -> str:
+        total = f"CAST(list_sum(list_transform({values}, lambda x: floor(CAST(x AS DOUBLE) * 1024))) AS BIGINT)"
+        return f"'array:' || {shape} || ':' || {rate} || ':' || {total}"
+
+    mono = "len(embedding)"
+    stereo, pairs = "(len(embedding) // 2) || 'x2'", "embedding[1:2 * (len(embedding) // 2)]"
+    layouts = {
+        "path": f"CASE WHEN vec_id % 5 <> 0 THEN 'path:' || {path} ELSE 'none' END",
+        "bytes": "CASE WHEN vec_id % 5 <> 0 THEN 'bytes:' || vec_id ELSE 'none' END",
+        "bytes_path": f"CASE WHEN {odd} THEN 'bytes:' || vec_id WHEN vec_id % 3 <> 0 THEN 'path:' || {path} ELSE 'value:path' END",
+        "samples_rate": heard(mono, f"CASE WHEN {odd} THEN {rate} ELSE 0 END", "embedding"),
+        "frames_all": heard(stereo, rate, pairs),
+        "samples": f"CASE WHEN {odd} THEN {heard(mono, '0', 'embedding')} ELSE 'none' END",
+        "frames": heard(stereo, "0", pairs),
+    }
+    return "\nUNION ALL\n".join(f"SELECT vec_id, '{name}' AS layout, {value} AS prediction, CAST(NULL AS VARCHAR) AS error FROM embeddings" for name, value in layouts.items())
+
+
+ORACLES.update({
+    "store_append_after_rescore": _store_life_sql(),
+    "run_failures": _run_failures_sql(),
+    "audio_layouts": _audio_layouts_sql(),
+    # 32 runs are a unit; the call after the interruption counts its units anew.
+    "run_ledger": "WITH " + _matrix_cte() + """,
+numbered AS (SELECT (row_number() OVER (ORDER BY dataset, model_ordinal, name) - 1) // 32 AS k FROM jobs)
+SELECT CAST(k + 1 AS BIGINT) AS "commit", 'append' AS operation, CAST(greatest(k - 1, 0) AS INTEGER) AS unit, CAST(count(*) AS INTEGER) AS runs FROM numbered GROUP BY k""",
+})
+
+
 # ---- step 6: streaming: same results as the batch queries (no edge rows) ----------
 
 _PAIRS_ONLY = "run_name <> 'edge-cases'"

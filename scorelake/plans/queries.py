@@ -7,6 +7,8 @@ appended to them). Column names match the oracle SQL in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,16 @@ from scorelake.operators.score import METRICS, is_rescorable, score_records
 from scorelake.operators.summary import summarize
 from scorelake.plans import evaluate, matrix
 from scorelake.plans.literals import edge_pairs, edge_texts
-from scorelake.plans.pairs import PAIR_SPLIT, conversation_pairs, pairs_from
+from scorelake.plans.pairs import PAIR_RUNS, PAIR_SPLIT, conversation_pairs, pairs_from
 from scorelake.plans.parallel import spread
 from scorelake.plans.stub import STUB_ENGINE, stub_registry
 from scorelake.session import scratch_path
 from scorelake.sources import catalog
 from scorelake.sources import records as store
+from scorelake.sources.commits import commits
 from scorelake.sources.records import parsed_records, recover_records, to_json_lines
 from scorelake.sources.tables import first_n_rows, read_split, read_table, source_row_count, table_path, with_row_index
+from scorelake.sources.utterances import FileUtterances
 from scorelake.streaming.stream import run_scored_stream, run_summary_stream
 
 
@@ -206,8 +210,7 @@ def q_record_sink_roundtrip(spark, sf_dir):
     """Records written to the sink and read back."""
     path = scratch_path(spark, "records")
     store.write_records(unscored(spark, sf_dir), path)
-    back = parsed_records(recover_records(store.read_record_lines(spark, path).drop("file_path")))
-    return back.select("run_name", "row_index", "engine", "model", "dataset", "split", "reference", "prediction", "error")
+    return store.read_records(spark, path).select("run_name", "row_index", "engine", "model", "dataset", "split", "reference", "prediction", "error")
 
 
 def q_summary_sink_roundtrip(spark, sf_dir):
@@ -433,17 +436,82 @@ def q_run_source_rows(spark, sf_dir):
     return named.drop("audio").withColumn("source_rows", F.lit(source_row_count(rows)).cast("bigint"))
 
 
-def q_run_pending_matrix(spark, sf_dir):
-    """The whole matrix in one job after a crash: a third of the utterances have
-    records already, and only the rest and the failed ones are transcribed."""
+def _role_datasets(spark, sf_dir) -> FileUtterances:
+    """Each role's turns as a dataset of its own on storage, its audio the plain bytes of the text."""
+    conv = read_table(spark, sf_dir, "conversations").select("role", F.encode(F.col("text"), "UTF-8").alias("sound"), F.col("text").alias("said"))
+    root = scratch_path(spark, "datasets")
+    conv.repartition("role").write.partitionBy("role").parquet(root)
+    roles = [r["role"] for r in conv.select("role").distinct().collect()]  # one row per dataset
+    names = {role: f"{role}:{PAIR_SPLIT}" for role in roles}
+    specs = {name: catalog.DatasetSpec(role, f"hub/{role}", "default", "sound", "said", PAIR_SPLIT) for role, name in names.items()}
+    return FileUtterances({name: spark.read.parquet(f"{root}/role={role}") for role, name in names.items()}, specs)
+
+
+def _interrupted_matrix(spark, sf_dir, factory: str = "scorelake.plans.stub:EchoTranscriber") -> str:
+    """The whole matrix, ended after its first unit and gone on with; returns its folder."""
     jobs = matrix.run_matrix(_dataset_specs(spark, sf_dir))
-    conv = with_row_index(read_table(spark, sf_dir, "conversations").select("role", "text"))
-    utterances = conv.select(F.concat_ws(":", "role", F.lit(PAIR_SPLIT)).alias("dataset"), "row_index",
-                             _spoken(F.col("text")).alias("audio"), F.col("text").alias("transcription"))
-    root, registry = scratch_path(spark, "matrix"), stub_registry("scorelake.plans.stub:EchoTranscriber")
-    evaluate.run_pending(jobs, utterances.where("row_index % 3 = 0"), root, registry)
-    _records, summaries = evaluate.run_pending(jobs, utterances, root, registry)
-    return summaries.drop("quarantined")
+    source, root, registry = _role_datasets(spark, sf_dir), scratch_path(spark, "matrix"), stub_registry(factory)
+    evaluate.run_pending(jobs, source, root, registry, most_units=1)
+    evaluate.run_pending(jobs, source, root, registry)
+    return root
+
+
+def q_run_pending_matrix(spark, sf_dir):
+    """The whole matrix in two calls: what the first one left, the second one does."""
+    return store.read_summaries(spark, f"{_interrupted_matrix(spark, sf_dir)}/summaries").drop("quarantined")
+
+
+def q_run_ledger(spark, sf_dir):
+    """The commits of that matrix: units of work, each with its runs."""
+    ledger = commits(spark, f"{_interrupted_matrix(spark, sf_dir)}/records")
+    return ledger.select("commit", "operation", F.col("info")["unit"].cast("int").alias("unit"), F.size(F.split(F.col("info")["runs"], ",")).alias("runs"))
+
+
+def q_run_failures(spark, sf_dir):
+    """A matrix in which some models do not load: their runs fail, the others are whole."""
+    root = _interrupted_matrix(spark, sf_dir, "scorelake.plans.stub:BrokenTranscriber")
+    rows = store.read_records(spark, f"{root}/records").groupBy("run_name").agg(
+        F.count("*").alias("rows"), F.count("error").alias("error_rows"), F.min("dataset").alias("dataset"), F.min("hf_dataset").alias("hf_dataset"),
+        F.min("dataset_config").alias("dataset_config"), F.min("split").alias("split"), F.min("audio_column").alias("audio_column"), F.min("reference_column").alias("reference_column"))
+    return rows.join(evaluate.run_failures(spark, root), "run_name", "full_outer")
+
+
+def q_audio_layouts(spark, sf_dir):
+    """Audio columns of every type, each through inference: paths, bytes, structs
+    with some of the fields, samples, and frames of two channels."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    path = F.concat(F.lit("audio/"), F.col("vec_id").cast("string"), F.lit(".wav"))
+    data, rate = F.encode(F.col("vec_id").cast("string"), "UTF-8"), (F.lit(8000) + F.col("vec_id") % 3).cast("long")
+    odd = F.col("vec_id") % 2 == 1
+    frames = audio.frames_from_interleaved("embedding", 2)
+    layouts = {
+        "path": F.when(F.col("vec_id") % 5 != 0, path),
+        "bytes": F.when(F.col("vec_id") % 5 != 0, data),
+        "bytes_path": F.struct(F.when(odd, data).alias("bytes"), F.when(F.col("vec_id") % 3 != 0, path).otherwise("").alias("path")),
+        "samples_rate": F.struct(F.col("embedding").cast("array<double>").alias("array"), F.when(odd, rate).alias("sampling_rate")),
+        "frames_all": F.struct(frames.alias("array"), rate.alias("sampling_rate"), data.alias("bytes"), path.alias("path"), F.lit(1.5).alias("seconds")),
+        "samples": F.when(odd, F.col("embedding")),
+        "frames": frames,
+    }
+    registry = stub_registry("scorelake.plans.stub:DescribingTranscriber")
+    heard = [transcribe_batch(emb.select("vec_id", F.lit(name).alias("layout"), value.alias("audio")), "omnilingual", "describe", registry=registry) for name, value in layouts.items()]
+    return reduce(DataFrame.unionByName, heard).select("vec_id", "layout", "prediction", "error")
+
+
+def q_store_append_after_rescore(spark, sf_dir):
+    """A store through its life: found files of some runs, rescored, another run
+    appended, one replaced by a part of its rows, and rescored again."""
+    path = scratch_path(spark, "store")
+    pairs = conversation_pairs(spark, sf_dir)
+    first, second, third = (F.col("model") == model for _, model, *_ in PAIR_RUNS)
+    lines = to_json_lines(pairs.where(first | second))
+    lines.write.partitionBy("run_name").text(path)
+    rescore_store(spark, path)
+    store.append_records(pairs.where(third), path)
+    store.write_records(pairs.where(first & (F.col("row_index") % 3 != 0)), path)
+    records, summaries = rescore_store(spark, path)
+    counted = records.groupBy("run_name").agg(F.count("*").alias("stored"), F.count_distinct("row_index").alias("distinct_rows"))
+    return summaries.join(counted, "run_name")
 
 
 # ---- step 6: streaming --------------------------------------------------------
@@ -507,6 +575,10 @@ QUERIES = {
     "inference_options": q_inference_options,
     "run_source_rows": q_run_source_rows,
     "run_pending_matrix": q_run_pending_matrix,
+    "run_ledger": q_run_ledger,
+    "run_failures": q_run_failures,
+    "audio_layouts": q_audio_layouts,
+    "store_append_after_rescore": q_store_append_after_rescore,
     "stream_scored_records": q_stream_scored_records,
     "stream_running_summary": q_stream_running_summary,
 }

@@ -49,6 +49,37 @@ class OptionsTranscriber(Transcriber):
         return ",".join([self.model, *(f"{k}={v}" for k, v in sorted(self.options.items()))])
 
 
+class DescribingTranscriber(Transcriber):
+    """Answers with the kind of value it was given and what is in it."""
+
+    def load(self) -> None:
+        self.loaded = True
+
+    def transcribe(self, audio: Any) -> str:
+        if audio is None:
+            return "none"
+        if isinstance(audio, str):
+            return f"path:{audio}"
+        if isinstance(audio, (bytes, bytearray)):
+            return f"bytes:{bytes(audio).decode('utf-8')}"
+        if isinstance(audio, dict) and audio["array"] is None:
+            return "value:" + ",".join(k for k in ("sampling_rate", "bytes", "path") if audio[k] is not None)
+        rate = int(audio["sampling_rate"]) if isinstance(audio, dict) and audio["sampling_rate"] is not None else 0
+        samples = audio["array"] if isinstance(audio, dict) else audio
+        frames = np.asarray([np.asarray(f, dtype=np.float64) for f in samples]) if len(samples) else np.zeros(0)
+        shape = "x".join(map(str, frames.shape))
+        return f"array:{shape}:{rate}:{int(np.floor(frames * 1024).sum())}"
+
+
+class BrokenTranscriber(EchoTranscriber):
+    """Does not load models of which the name holds ``LLM``."""
+
+    def load(self) -> None:
+        if "LLM" in self.model:
+            raise OSError(f"no weights for {self.model}")
+        super().load()
+
+
 def stub_registry(factory: str) -> Registry:
     """Every engine answered by one stand-in."""
     registry = Registry()

@@ -1,25 +1,27 @@
 """Record and summary storage.
 
 A store is a folder of JSON lines, NULL fields omitted (the reference's
-"absent key" rule), in either layout: ``run_name=<run>/part-*.json``, or one
-``<run>.jsonl`` per run. A rewrite never touches what is there: it writes a
-``version=<n>`` folder (records, quarantined lines, summaries) and, last, an
-empty ``_DONE`` file in it. Readers take the newest version that has one, so
-they see the old state or the new one and nothing between; a crash leaves a
-version that nobody reads. Reading goes through the text source, never
+"absent key" rule). Its state is what the commit log says
+(:mod:`scorelake.sources.commits`): a job writes its lines beside what is there,
+as ``kind=<kind>/run_name=<run>/part-*`` of a new batch, and one commit makes
+them part of the store, whether it appends, replaces runs or rewrites. Readers
+take committed batches only, so they see the old state or the new one and
+nothing between. Files of either layout that lie in a folder without a log
+(``run_name=<run>/part-*.json``, or one ``<run>.jsonl`` per run) are read too,
+until a rewrite takes their place. Reading goes through the text source, never
 straight through the JSON reader: a NUL-padded line must be repaired before it
 is parsed.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.text import WHITESPACE_CLASS
+from scorelake.sources import commits
+from scorelake.sources.commits import FOUND, State, batch_of, batch_path, children, commit, hadoop, new_batch
 
 CORRUPT = "_corrupt_record"
 EXTRA = "extra_fields"
@@ -73,34 +75,67 @@ def to_json_lines(records: DataFrame, keep: tuple[str, ...] = ("run_name",)) ->
     return records.select(*keep, known.alias("value"))
 
 
-def write_records(records: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite") -> None:
-    """Partitioned JSON-lines sink; runs that are written replace what they
-    had (``mode='append'``: are added to it). A run's rows are dealt out by blocks of
-    ``rows_per_file`` row indexes, so a hot run is many files of a sane size and
-    a small one is one file, however many tasks scored it."""
-    keep = [c for c in ("row_index",) if c in records.columns]
-    lines = to_json_lines(records, ("run_name", *[F.col(c).alias("_row") for c in keep]))
-    block = F.expr(f"_row div {rows_per_file}") if keep else F.lit(0)
-    order = ["run_name", *["_row" for _ in keep]]
-    (lines.repartition("run_name", block).sortWithinPartitions(*order).select("run_name", "value")
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
-     .partitionBy("run_name").text(path))
+def dealt_lines(lines: DataFrame, rows_per_file: int = ROWS_PER_FILE, by: tuple[str, ...] = ("run_name",)) -> DataFrame:
+    """Lines ``(*by, _row, value)`` dealt out by blocks of row indexes (``_row``),
+    so a hot run is many files of a sane size and a small one is one file,
+    however many tasks scored it."""
+    block = F.expr(f"_row div {rows_per_file}")
+    return lines.repartition(*by, block).sortWithinPartitions(*by, "_row").select(*by, "value")
+
+
+def _write_lines(lines: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, by: tuple[str, ...] = ("run_name",)) -> None:
+    lines.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*by).text(path)
 
 
-def append_records(records: DataFrame, path: str) -> None:
+def write_batch(records: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Scored records as a batch that no commit names yet; returns its id.
+
+    Rows with a ``run_failure`` are no records: they become lines of the kind
+    ``failures``, in the same job.
+    """
+    batch = new_batch()
+    row = F.col("row_index") if "row_index" in records.columns else F.lit(0).cast("long")
+    if "run_failure" in records.columns:
+        failure = F.col("run_failure").isNotNull()
+        lines = to_json_lines(records, ("run_name", row.alias("_row"), F.when(failure, "failures").otherwise("records").alias("kind"), "run_failure"))
+        value = F.when(F.col("kind") == "failures", F.to_json(F.struct(F.col("run_failure").alias("error")))).otherwise(F.col("value"))
+        _write_lines(dealt_lines(lines.select("kind", "run_name", "_row", value.alias("value")), rows_per_file, ("kind", "run_name")), batch_path(path, batch), rows_per_file, ("kind", "run_name"))
+    else:
+        _write_lines(dealt_lines(to_json_lines(records, ("run_name", row.alias("_row"))), rows_per_file), f"{batch_path(path, batch)}/kind=records", rows_per_file)
+    return batch
+
+
+def runs_of_batch(spark: SparkSession, path: str, batch: str, kind: str = "records") -> list[str]:
+    """The runs that a batch holds, from its folders."""
+    names = [n[len("run_name="):] for n in children(spark, f"{batch_path(path, batch)}/kind={kind}") if n.startswith("run_name=")]
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return [unescape(n) for n in names]
+
+
+def write_records(records: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """The runs that are written replace what they had, in one commit; returns its number."""
+    spark = records.sparkSession
+    batch = write_batch(records, path, rows_per_file)
+    return commit(spark, path, "replace", batch, hide=runs_of_batch(spark, path, batch))
+
+
+def append_records(records: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, info: dict[str, str] | None = None) -> int:
     """A8 without replacing what the runs have stored."""
-    write_records(records, path, mode="append")
+    return commit(records.sparkSession, path, "append", write_batch(records, path, rows_per_file), info=info)
 
 
-def store_exists(spark: SparkSession, path: str) -> bool:
-    hadoop, fs = _hadoop(spark, path)
-    return fs.exists(hadoop(path))
+def write_summaries(summaries: DataFrame, path: str) -> int:
+    """One JSON object per run (undefined rates are NULL, hence omitted); a
+    run's summary replaces the one before."""
+    spark, batch = summaries.sparkSession, new_batch()
+    write_summary_lines(summaries, batch_path(path, batch))
+    return commit(spark, path, "replace", batch, hide=runs_of_batch(spark, path, batch, "summaries"))
 
 
-def write_summaries(summaries: DataFrame, path: str) -> None:
-    """One JSON object per run (undefined rates are NULL, hence omitted)."""
-    (summaries.repartition("run_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_name").json(path))
+def write_summary_lines(summaries: DataFrame, batch: str) -> None:
+    """The summaries' lines as part of the batch in this folder."""
+    rest = [c for c in summaries.columns if c != "run_name"]
+    _write_lines(summaries.select("run_name", F.to_json(F.struct(*rest)).alias("value")).repartition("run_name"), f"{batch}/kind=summaries")
 
 
 def run_of(path: Column) -> Column:
@@ -113,47 +148,53 @@ def run_of(path: Column) -> Column:
     return F.when(folder != "", unescaped).when(stem != "", stem)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm.org.apache.hadoop.fs.Path, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def store_exists(spark: SparkSession, path: str) -> bool:
+    place, fs = hadoop(spark, path)
+    return fs.exists(place(path))
+
+
+def _folders(now: State, path: str, kind: str) -> list[str]:
+    """Where the state's lines of a kind lie."""
+    return [path if b == FOUND else f"{batch_path(path, b)}/kind={kind}" for b in now.holding(kind)
+            if b != FOUND or kind == "records" or not now.version or not any("records" in k for c, k in now.kinds.items() if c != FOUND)]
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The newest finished version folder of a store, if it has any."""
-    hadoop, fs = _hadoop(spark, path)
-    done = fs.globStatus(hadoop(f"{path.rstrip('/')}/version=*/_DONE")) or []
-    return max((d.getPath().getParent().toString() for d in done), default=None)
+def _files(spark: SparkSession, path: str, kind: str, read, columns: list[Column], now: State | None = None) -> DataFrame:
+    """``(run_name, batch, file_path, *columns)`` of the committed files of a kind."""
+    now = now or commits.state(spark, path)
+    folders = _folders(now, path.rstrip("/"), kind)
+    # Folders are searched for files: reading them as partitions would turn a run called 007 into 7.
+    if folders:
+        rows = read.option("recursiveFileLookup", "true").load(folders)
+    else:
+        rows = spark.createDataFrame([], "value string, length long").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+    uri = F.col("_metadata.file_path")
+    named = rows.select(run_of(uri).alias("run_name"), batch_of(uri).alias("batch"), uri.alias("file_path"), *columns)
+    return named.where(F.col("run_name").isNotNull() & commits.visible(now, F.col("run_name"), F.col("batch")))
 
 
-def new_version(path: str) -> str:
-    return f"{path.rstrip('/')}/version={time.time_ns():020d}"
+def _lines(spark: SparkSession, path: str, kind: str, now: State | None = None) -> DataFrame:
+    return _files(spark, path, kind, spark.read.format("text"), [F.col("value")], now)
 
 
-def finish_version(spark: SparkSession, version: str) -> None:
-    """Make a version the one that readers see."""
-    hadoop, fs = _hadoop(spark, version)
-    fs.create(hadoop(f"{version}/_DONE"), False).close()
+def read_record_lines(spark: SparkSession, path: str, now: State | None = None) -> DataFrame:
+    """A10: every stored line with its run, batch and file, in either layout."""
+    return _lines(spark, path, "records", now).select("run_name", "value", "batch", "file_path")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    # Folders are searched for files: reading them as partitions would turn a run called 007 into 7.
-    found = spark.read.option("recursiveFileLookup", "true").text(path)
-    return found.select(run_of(F.col("_metadata.file_path")).alias("run_name"), "value", F.col("_metadata.file_path").alias("file_path")).where("run_name IS NOT NULL")
+def read_quarantine(spark: SparkSession, path: str, now: State | None = None) -> DataFrame:
+    """``(run_name, value)``: lines that rewrites could not parse."""
+    return _lines(spark, path, "quarantine", now).select("run_name", "value")
 
 
-def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A10: every stored line with its run and file, in either layout."""
-    version = current_version(spark, path)
-    return _lines(spark, f"{version}/records" if version else path)
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """``(run_name, batch, error)``: models that could not be loaded, as tasks reported them."""
+    return _lines(spark, path, "failures").select("run_name", "batch", F.get_json_object("value", "$.error").alias("error"))
 
 
-def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """``(run_name, value)``: lines that rewrites could not parse."""
-    version = current_version(spark, path)
-    if version is None:
-        return spark.createDataFrame([], "run_name string, value string")
-    return _lines(spark, f"{version}/quarantine").select("run_name", "value")
+def read_records(spark: SparkSession, path: str, now: State | None = None) -> DataFrame:
+    """The stored records, parsed, with the ``batch`` that holds them."""
+    return parsed_records(recover_records(read_record_lines(spark, path, now).drop("file_path")))
 
 
 def recover_records(lines: DataFrame) -> DataFrame:
@@ -187,45 +228,48 @@ def parsed_records(recovered: DataFrame) -> DataFrame:
     return recovered.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def rewrite_store(path: str, records: DataFrame, quarantine: DataFrame, summary) -> str:
-    """A new version of the store at ``path``; returns its folder.
+def rewrite_store(path: str, records: DataFrame, quarantine: DataFrame, summary, read: State) -> int:
+    """New records, quarantined lines and summaries in place of the state
+    that was ``read``, in one commit; returns its number.
 
-    ``records`` and ``quarantine`` (``run_name, value``) may still read the
-    current version. ``summary`` builds the summaries from the written records,
-    so that what was computed for the records is not computed again.
+    ``records`` and ``quarantine`` (``run_name, value``) may still read that
+    state. ``summary`` builds the summaries from the written records, so that
+    what was computed for the records is not computed again. Records that were
+    appended meanwhile stay; if a run was replaced meanwhile, this fails.
     """
     spark = records.sparkSession
-    version = new_version(path)
-    write_records(records, f"{version}/records")
-    (quarantine.select("run_name", "value").repartition("run_name").write.partitionBy("run_name").text(f"{version}/quarantine"))
-    written = parsed_records(recover_records(_lines(spark, f"{version}/records").drop("file_path")))
-    write_summaries(summary(written, _lines(spark, f"{version}/quarantine")), f"{version}/summaries")
-    finish_version(spark, version)
-    return version
+    batch = write_batch(records, path)
+    folder = batch_path(path, batch)
+    _write_lines(quarantine.select("run_name", "value").repartition("run_name"), f"{folder}/kind=quarantine")
+    own = State(1, {batch: 1}, {batch: ["records", "quarantine"]})
+    write_summary_lines(summary(read_records(spark, path, own).drop("batch"), read_quarantine(spark, path, own)), folder)
+    return commit(spark, path, "rewrite", batch, drop=read.batches, read=read)
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """A9 read back: one row per run, from a summary folder or a store's newest version."""
-    version = current_version(spark, path)
-    lines = _lines(spark, f"{version}/summaries" if version else path)
-    fields = ("rows bigint, scored_rows bigint, error_rows bigint, quarantined bigint, word_errors bigint, reference_words bigint, char_errors bigint, "
-              "reference_chars bigint, whisper_word_errors bigint, whisper_reference_words bigint, whisper_char_errors bigint, "
-              "whisper_reference_chars bigint, mean_wer double, mean_cer double, mean_whisper_wer double, mean_whisper_cer double")
-    return lines.select("run_name", F.from_json("value", fields).alias("s")).select("run_name", "s.*")
+SUMMARY_FIELDS = (
+    "rows bigint, scored_rows bigint, error_rows bigint, quarantined bigint, word_errors bigint, reference_words bigint, char_errors bigint, "
+    "reference_chars bigint, whisper_word_errors bigint, whisper_reference_words bigint, whisper_char_errors bigint, "
+    "whisper_reference_chars bigint, mean_wer double, mean_cer double, mean_whisper_wer double, mean_whisper_cer double")
+
+
+def read_summaries(spark: SparkSession, path: str, now: State | None = None) -> DataFrame:
+    """A9 read back: one row per run, from a summary folder or a rescored store."""
+    return _lines(spark, path, "summaries", now).select("run_name", F.from_json("value", SUMMARY_FIELDS).alias("s")).select("run_name", "s.*")
+
+
+def _listed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return _files(spark, path, kind, spark.read.format("binaryFile"), [F.col("length")])
 
 
 def stored_runs(spark: SparkSession, path: str) -> DataFrame:
     """the runs in a store with their files, in path order; lists files, reads none."""
-    version = current_version(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{version}/records" if version else path)
-    uri = F.col("_metadata.file_path")
-    named = files.select(run_of(uri).alias("run_name"), uri.alias("path"), "length").where("run_name IS NOT NULL")
-    return (named.groupBy("run_name").agg(F.min("path").alias("first_file"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-            .orderBy("first_file"))
+    files = _listed(spark, path, "records")
+    # Batches are folders of their own: within them, files are ordered by their run's folder.
+    inner = F.when(F.col("batch") != "", F.regexp_extract("file_path", r"/kind=[^/]+/(.*)$", 1)).otherwise(F.col("file_path"))
+    return (files.groupBy("run_name").agg(F.min(F.struct(inner.alias("p"), "file_path")).alias("first"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+            .orderBy("first.p").select("run_name", F.col("first.file_path").alias("first_file"), "files", "bytes"))
 
 
 def finished_runs(spark: SparkSession, path: str) -> DataFrame:
     """F2's done marker: ``name`` of each run with a stored summary; lists files, reads none."""
-    version = current_version(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{version}/summaries" if version else path)
-    return files.select(run_of(F.col("_metadata.file_path")).alias("name")).where("name IS NOT NULL").distinct()
+    return _listed(spark, path, "summaries").select(F.col("run_name").alias("name")).distinct()

@@ -23,7 +23,7 @@ def file_count(df: DataFrame) -> int:
     return len(df._jdf.inputFiles())
 
 
-def _compact(path: Column) -> Column:
+def file_hash(path: Column) -> Column:
     return F.xxhash64(path)
 
 
@@ -35,7 +35,7 @@ def file_offsets(df: DataFrame) -> DataFrame:
     """
     counts = df.select(F.col("_metadata.file_path").alias("_path")).groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.select(_compact(F.col("_path")).alias("_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = counts.select(file_hash(F.col("_path")).alias("_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     unique = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_paths"), F.min("_offset").alias("_offset"))
     clash = F.raise_error(F.lit("two input paths have the same hash"))
     offsets = unique.select("_file", F.when(F.col("_paths") == 1, F.col("_offset")).otherwise(clash.cast("bigint")).alias("_offset"))
@@ -49,7 +49,7 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     own ``_metadata.row_index`` plus the number of rows in all files whose
     path sorts before it.
     """
-    scanned = df.select(*df.columns, _compact(F.col("_metadata.file_path")).alias("_file"),
+    scanned = df.select(*df.columns, file_hash(F.col("_metadata.file_path")).alias("_file"),
                         F.col("_metadata.row_index").alias("_row_in_file"))
     return scanned.join(file_offsets(df), "_file").select(
         *df.columns, (F.col("_offset") + F.col("_row_in_file")).alias(name))
@@ -60,7 +60,7 @@ def resolve_row_index(records: DataFrame, source: DataFrame, file_col: str = "so
     """``row_index`` of records that carry their source file and the row in it
     (a stream's records: a file's place is known only once the files before it are)."""
     rest = [c for c in records.columns if c not in (file_col, row_col, name)]
-    return records.withColumn("_file", _compact(F.col(file_col))).join(file_offsets(source), "_file").select(
+    return records.withColumn("_file", file_hash(F.col(file_col))).join(file_offsets(source), "_file").select(
         *rest, (F.col("_offset") + F.col(row_col)).alias(name))
 
 

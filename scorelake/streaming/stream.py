@@ -3,9 +3,9 @@
 The same column expressions as the batch path run on a stream. Records go
 to an append-only file sink (exactly-once with the checkpoint), so a crash
 keeps every finished micro-batch. The running summary keeps one small state
-row per run (counters and integer sums only), so it needs no watermark;
-each micro-batch writes a version of the summary table, and readers take the
-newest finished one.
+row per run (counters and integer sums only), so it needs no watermark; each
+micro-batch commits the runs that it changed to a summary store, which is
+written anew from time to time, so its files stay few.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.operators.score import score_records
+from scorelake.operators.score import COUNT_COLUMNS, score_records
 from scorelake.operators.summary import summary_aggregates, with_summary_rates
 from scorelake.plans.parallel import TASKS_PER_CORE
 from scorelake.session import scratch_path
-from scorelake.sources.records import current_version, finish_version
+from scorelake.sources.commits import GRACE_SECONDS, batch_path, commit, new_batch, remove_old_files, state
+from scorelake.sources.records import read_summaries, write_summaries, write_summary_lines
 from scorelake.sources.tables import file_count, resolve_row_index
 
 # Bytes of new files in one micro-batch, for each core.
@@ -58,37 +59,46 @@ def write_record_stream(records: DataFrame, sink: str, checkpoint: str, availabl
     return writer.start()
 
 
-def write_running_summary(records: DataFrame, table: str, checkpoint: str, by: tuple[str, ...] = ("run_name",),
-                          available_now: bool = True, state_partitions: int | None = None):
-    """H2: stateful per-run counters and sums; each micro-batch is a version of ``table``.
+# Micro-batches after which the summary store is written anew.
+COMPACT_EVERY = 50
 
-    ``complete`` mode re-emits every run's state (one row per run). A version
-    becomes visible only when it is whole, and a repeated epoch replaces its
-    own. The state is one row per run, so ``state_partitions`` (default: the
-    cluster's cores) state stores are plenty; Spark fixes this number in the
-    checkpoint when the query first starts. A hot run is no problem: the
-    aggregate is partial before the shuffle, so each task sends one row per run.
+
+def write_running_summary(records: DataFrame, table: str, checkpoint: str, available_now: bool = True,
+                          compact_every: int = COMPACT_EVERY, grace_seconds: float = GRACE_SECONDS):
+    """H2: stateful per-run counters and sums, kept in the summary store ``table``.
+
+    ``update`` mode emits the runs that a micro-batch changed, with their whole
+    sums; they replace what the store has of these runs, in one commit, so a
+    repeated epoch changes nothing. Every ``compact_every`` epochs the store
+    becomes one batch again, and files that nobody has needed for
+    ``grace_seconds`` go. The state is one row per run, dealt to as many
+    partitions as the session's ``spark.sql.shuffle.partitions`` says when the
+    query first starts; the aggregate is partial before the shuffle, so a hot
+    run is one row per task.
     """
-    spark = records.sparkSession
-    sums = records.groupBy(*by).agg(*summary_aggregates())
+    sums = records.groupBy("run_name").agg(*summary_aggregates())
 
     def put(batch: DataFrame, epoch: int) -> None:
-        version = f"{table.rstrip('/')}/version={epoch:020d}"
-        batch.write.mode("overwrite").parquet(version)
-        finish_version(batch.sparkSession, version)
+        write_summaries(batch, table)
+        if (epoch + 1) % compact_every == 0:
+            compact_summaries(batch.sparkSession, table, grace_seconds)
 
-    writer = sums.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put)
+    writer = sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
-        return writer.start()  # the query clones the session conf here
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    return writer.start()
+
+
+def compact_summaries(spark: SparkSession, table: str, grace_seconds: float = GRACE_SECONDS) -> None:
+    """One batch with every run's summary in place of those before, and no files older than the grace time."""
+    read, batch = state(spark, table), new_batch()
+    write_summary_lines(read_summaries(spark, table, read), batch_path(table, batch))
+    commit(spark, table, "rewrite", batch, drop=read.batches, read=read)
+    remove_old_files(spark, table, grace_seconds)
 
 
 def read_running_summary(spark: SparkSession, table: str) -> DataFrame:
-    return with_summary_rates(spark.read.parquet(current_version(spark, table)))
+    stored = read_summaries(spark, table)
+    return with_summary_rates(stored.select("run_name", "rows", "scored_rows", "error_rows", *COUNT_COLUMNS))
 
 
 def run_scored_stream(spark: SparkSession, path: str, to_records, columns: list[str] | None = None,

@@ -10,11 +10,12 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from scorelake.operators.inference import Registry, Transcriber, register_transcriber, transcribe_batch
-from scorelake.operators.rescore import rescore_store
+from scorelake.operators.rescore import rescore_store, summarize_rescored
 from scorelake.operators.score import score_records
 from scorelake.operators.summary import summarize
 from scorelake.plans import evaluate
 from scorelake.plans.matrix import run_matrix
+from scorelake.sources import commits
 from scorelake.sources import records as rec
 from scorelake.sources.catalog import parse_dataset_spec
 from scorelake.sources.tables import read_split, source_row_count
@@ -125,14 +126,108 @@ def test_rescoring_loses_nothing(spark, name):
     assert [r["name"] for r in rec.finished_runs(spark, path).collect()] == [run]
 
 
-def test_an_unfinished_version_is_not_read(spark):
+def row(i, run="r", **more):
+    return {"row_index": i, "reference": "a b", "prediction": "a b", **more}
+
+
+def frame(spark, rows):
+    schema = "run_name string, row_index long, reference string, prediction string, error string"
+    return spark.createDataFrame([(run, i, "a b", said, None) for run, i, said in rows], schema)
+
+
+def contents(spark, path):
+    return sorted((r["run_name"], r["row_index"], r["prediction"]) for r in rec.read_records(spark, path).collect())
+
+
+def test_a_batch_without_a_commit_is_not_read(spark):
+    """A job that crashed before its first commit, of any kind and in a store of found files or none."""
+    path = folder("results")
+    put(path, "r.jsonl", [json.dumps(row(i)) for i in range(6)])
+    for kind in ("records", "quarantine", "summaries", "failures"):
+        put(path, f"_batches/123-x/kind={kind}/run_name=r/part-0.txt", ["{}", '{"row_index": 77}'])
+    assert rec.read_record_lines(spark, path).count() == 6 and rec.read_quarantine(spark, path).count() == 0
+    assert [r["files"] for r in rec.stored_runs(spark, path).collect()] == [1]
+    empty = folder("nothing")
+    put(empty, "_batches/123-x/kind=records/run_name=r/part-0.txt", ["{}"])
+    assert rec.read_record_lines(spark, empty).count() == 0 and rec.read_summaries(spark, folder("no-folder")).count() == 0
+    records, summary = rescore_store(spark, path)
+    assert records.count() == 6 and summary.first()["rows"] == 6
+
+
+def test_append_after_a_rewrite(spark):
+    path = folder("results")
+    put(path, "r.jsonl", [json.dumps(row(i)) for i in range(3)])
+    rescore_store(spark, path)
+    rec.append_records(frame(spark, [("r", i, "x") for i in (3, 4, 5)]), path)
+    assert [(i, p) for _, i, p in contents(spark, path)] == [(0, "a b"), (1, "a b"), (2, "a b"), (3, "x"), (4, "x"), (5, "x")]
+    records, summary = rescore_store(spark, path)
+    assert records.count() == 6 and summary.first()["rows"] == 6
+
+
+def test_written_runs_replace_what_they_had(spark):
+    path = folder("results")
+    put(path, "a.jsonl", [json.dumps(row(i)) for i in range(4)])
+    put(path, "b.jsonl", [json.dumps(row(0))])
+    rec.write_records(frame(spark, [("a", 7, "new")]), path)
+    rec.append_records(frame(spark, [("a", 8, "more")]), path)
+    assert contents(spark, path) == [("a", 7, "new"), ("a", 8, "more"), ("b", 0, "a b")]
+    rec.write_records(frame(spark, [("a", 9, "last"), ("c:d e", 0, "x")]), path)
+    assert contents(spark, path) == [("a", 9, "last"), ("b", 0, "a b"), ("c:d e", 0, "x")]
+    rec.write_records(frame(spark, [("c:d e", 1, "y")]), path)
+    assert contents(spark, path) == [("a", 9, "last"), ("b", 0, "a b"), ("c:d e", 1, "y")]
+    assert {r["run_name"] for r in rec.stored_runs(spark, path).collect()} == {"a", "b", "c:d e"}
+
+
+def test_two_writers_at_once(spark):
+    """Additions both stay; of two rewrites of one state the second fails; a rewrite
+    keeps what was appended meanwhile and fails if a run was replaced meanwhile."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = folder("results")
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: rec.append_records(frame(spark, [("r", i, "x")]), path), range(6)))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6] and len(contents(spark, path)) == 6
+
+    def rewrite(read):
+        return rec.rewrite_store(path, rec.read_records(spark, path, read).drop("batch"), rec.read_quarantine(spark, path, read), summarize_rescored, read)
+
+    read = commits.state(spark, path)
+    rec.append_records(frame(spark, [("r", 6, "late")]), path)
+    rewrite(read)
+    assert [i for _, i, _ in contents(spark, path)] == list(range(7))
+    with pytest.raises(commits.ConflictError):
+        rewrite(read)
+    read = commits.state(spark, path)
+    rec.write_records(frame(spark, [("r", 99, "replaced")]), path)
+    with pytest.raises(commits.ConflictError):
+        rewrite(read)
+    assert contents(spark, path) == [("r", 99, "replaced")]
+
+
+def test_a_number_is_taken_once(spark):
+    path = folder("log") + "/_log/1.json"
+    assert commits.put_if_absent(spark, path, "one") and not commits.put_if_absent(spark, path, "two")
+    assert open(path).read() == "one" and os.listdir(os.path.dirname(path)) == ["1.json"]
+
+
+def test_many_commits_and_old_files(spark, monkeypatch):
+    """The state is the same from any stated list; files that no state needs go, others stay."""
+    monkeypatch.setattr(commits, "STATE_EVERY", 4)
     path = folder("results")
-    put(path, "r.jsonl", [json.dumps(GOOD)])
+    want = {}
+    for i in range(11):
+        run = f"r{i % 3}"
+        rec.write_records(frame(spark, [(run, i, "x")]), path)
+        want[run] = i
+        assert contents(spark, path) == sorted((r, n, "x") for r, n in want.items())
+    assert commits.commits(spark, path).count() == 11
     rescore_store(spark, path)
-    before = rec.current_version(spark, path)
-    put(path, f"version={9 * 10**19}/records/run_name=r/part-0.json", ["{}", "{}"])
-    assert rec.current_version(spark, path) == before
-    assert rec.read_record_lines(spark, path).count() == 1
+    put(path, "_batches/123-x/kind=records/run_name=r/part-0.txt", ["{}"])
+    assert commits.remove_old_files(spark, path, grace_seconds=3600) == 0
+    assert commits.remove_old_files(spark, path, grace_seconds=-5) == 23  # 11 batches, the stray one and 11 commits
+    assert contents(spark, path) == sorted((r, n, "x") for r, n in want.items())
+    rec.append_records(frame(spark, [("r0", 50, "y")]), path)
+    assert len(contents(spark, path)) == 4 and len(os.listdir(os.path.join(path, "_batches"))) == 2
 
 
 def test_files_follow_rows_not_tasks(spark):
