@@ -239,15 +239,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_vocabulary(counts: DataFrame) -> Vocabulary:
-    """From ``counts(word binary, c)`` of the training corpus: one row per class,
-    and the most frequent words (of equal counts, the lesser words), reach the driver."""
+    """From ``counts(word binary, c)`` of the training corpus: sums per class and
+    size of count, and the most frequent words, at most ``FREQUENT``, reach the driver."""
     tail = F.crc32(F.expr("substring(word, greatest(1, length(word) - 1), 2)")) % ENDINGS
-    sums = counts.groupBy(tail.cast("int").alias("tail")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    names, c = [bytes(w) for w in top.column("word").to_pylist()], top.column("c").to_numpy().astype(np.int64)
-    if END not in names and names:  # the end is counted once a text; a table of longer texts may not list it
-        own = counts.where(F.length("word") == 0).first()
-        names[-1:], c = [END], np.append(c[:-1], own["c"])
+    # Words by their class, and by the size of their count, in sixteenths of a power of two: as many rows as there are classes and sizes.
+    size = F.when(F.length("word") <= LONGEST, F.floor(F.log2("c") * 16)).otherwise(-1).cast("int")
+    sums = counts.groupBy(tail.cast("int").alias("tail"), size.alias("size")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    least, listed = None, 0
+    for s in sorted({r["size"] for r in sums if r["size"] >= 0}, reverse=True):
+        listed += sum(r["n"] for r in sums if r["size"] == s)
+        if listed > FREQUENT:
+            break
+        least = s
+    # Whole sizes only, so that no sort over all words has to find the last one.
+    top = counts.where(F.lit(False) if least is None else size >= least).toArrow()
+    pairs = sorted(zip((-int(c) for c in top.column("c").to_pylist()), (bytes(w) for w in top.column("word").to_pylist())))
+    names, c = [w for _, w in pairs], np.array([-minus for minus, _ in pairs], np.int64)
+    if END not in names and sums:  # the end is counted once a text, so some words may be more frequent
+        names.append(END)
+        c = np.append(c, counts.where(F.length("word") == 0).first()["c"])
     units = np.array([ending(w) for w in names], np.int64)
     mass = np.ones(UNITS)
     mass[:1 + OWN] = 1e-9  # units without a word; only classes keep room for unseen ones
