@@ -90,12 +90,12 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary: str,
 
     @F.pandas_udf("array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long>>")
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc, end, step = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * window
+        enc, end = encoder(vocabulary), np.array([end_id], np.uint32)
         for part in texts:
             out = []
-            for text in part:
-                ids = enc.encode(text) + end
-                out.append([{"start": at // 4, "length": (min(at + step, len(ids)) - at) // 4, "ids_crc32": zlib.crc32(ids[at:at + step]), "doc_tokens": len(ids) // 4} for at in range(0, len(ids), step)])
+            for own in enc.encode_all(part.tolist()):
+                ids = np.append(own, end).astype("<u4")
+                out.append([{"start": at, "length": min(window, len(ids) - at), "ids_crc32": zlib.crc32(ids[at:at + window]), "doc_tokens": len(ids)} for at in range(0, len(ids), window)])
             yield pd.Series(out, dtype=object)
 
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), pieces.asNondeterministic()(F.col(text_col)).alias("cut"))

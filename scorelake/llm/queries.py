@@ -48,8 +48,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, lengths = token_store.encode_documents(documents(spark, sf_dir))
-    return token_store.decode_blocks(blocks, lengths, with_ids=False)
+    return token_store.read_store(spark, token_store.write_store(documents(spark, sf_dir)), with_ids=False)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

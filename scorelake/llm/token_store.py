@@ -1,11 +1,12 @@
 """Token-ID output: canonical length-limited Huffman blocks, written and read back.
 
 ``encode_documents`` turns texts into ids (plus one end id), counts ids over
-the whole corpus, builds one canonical code of at most 16 bits and writes one
-row per block: whole documents in ascending id order, their code bits, and the
-bit offset of every 512th id. ``decode_blocks`` needs only a block and the
-code lengths; all of a block's checkpoints are decoded in step from one table
-of 2^16 entries.
+the whole corpus, builds one canonical code of at most 16 bits (more only if there are
+more ids) and writes one row per block: whole documents in ascending id order,
+their code bits, and the bit offset of every 512th id. The code lengths lie next
+to the blocks, so any session can read the store. ``decode_blocks`` needs a
+block and the code lengths; all of a block's checkpoints are decoded in step
+from one table of an entry for each value of the longest code.
 
 Cases: null and empty texts hold the end id alone; null document ids come
 first; repeated rows are all kept, next to each other; an empty table gives a
@@ -14,21 +15,25 @@ store without blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import ship, stored
-from scorelake.llm.tokens import default_vocabulary, id_type, token_bytes
+from scorelake.llm.common import scratch_dir, ship, stored
+from scorelake.llm.tokens import default_vocabulary, encoder, id_type
 
 END_ID = 0
-LONGEST = 16
+#: Bits of a code; the limit that decoding has.
+LONGEST, MOST_BITS = 16, 25
 BLOCK_IDS = 1 << 18
+#: Ids that one task puts in order and codes, about.
+TASK_IDS = 8 << 20
 CHECKPOINT = 512
 BLOCK_SCHEMA = "part int, block int, first long, n_ids long, bits binary, checkpoints binary, doc_ids array<long>, lengths array<long>"
 
@@ -40,8 +45,9 @@ def code_lengths(counts: dict[int, int], longest: int = LONGEST) -> np.ndarray:
     """
     ids = sorted(counts, key=lambda i: (counts[i], i))
     lengths = np.zeros(max(ids, default=-1) + 1, np.uint8)
-    if len(ids) > 1 << longest:
-        raise ValueError(f"{len(ids)} ids need codes of more than {longest} bits")
+    longest = max(longest, (len(ids) - 1).bit_length())
+    if longest > MOST_BITS:
+        raise ValueError(f"{len(ids)} ids need codes of more than {MOST_BITS} bits")
     if len(ids) == 1:
         lengths[ids[0]] = 1
     if len(ids) < 2:
@@ -79,11 +85,12 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of the next ``LONGEST`` bits: the id and its code's length."""
-    ids, used = np.zeros(1 << LONGEST, np.uint32), np.ones(1 << LONGEST, np.uint8)
+    """For each value of as many next bits as the longest code has: the id and its code's length."""
+    longest = max(LONGEST, int(lengths.max(initial=0)))
+    ids, used = np.zeros(1 << longest, np.uint32), np.ones(1 << longest, np.uint8)
     coded = np.flatnonzero(lengths)
     order = coded[np.lexsort((coded, lengths[coded]))]
-    spans = 1 << (LONGEST - lengths[order].astype(np.int64))
+    spans = 1 << (longest - lengths[order].astype(np.int64))
     filled = int(spans.sum())
     ids[:filled], used[:filled] = np.repeat(order, spans), np.repeat(lengths[order], spans)
     return ids, used
@@ -96,7 +103,7 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[
     n = lengths[ids].astype(np.int64)
     ends = np.cumsum(n)
     starts = ends - n
-    word, room = starts >> 5, 64 - (starts & 31) - n  # a code of 16 bits lies in 64 bits from its word on
+    word, room = starts >> 5, 64 - (starts & 31) - n  # a code of 25 bits lies in 64 bits from its word on
     value = codes[ids].astype(np.uint64) << room.astype(np.uint64)
     firsts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     joined, at = np.bitwise_or.reduceat(value, firsts), word[firsts]
@@ -109,43 +116,61 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[
 def unpack_bits(bits: bytes, checkpoints: np.ndarray, n_ids: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids of one block: every checkpoint's next id at each step."""
     ids, used = table
+    longest = len(ids).bit_length() - 1
     raw = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
     ahead = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]  # 32 bits from each byte on
     at, out = checkpoints.astype(np.int64), np.empty((CHECKPOINT, len(checkpoints)), np.uint32)
     last = len(ahead) - 1
     for step in range(min(CHECKPOINT, n_ids)):
-        key = (ahead[np.minimum(at >> 3, last)] >> (16 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        key = (ahead[np.minimum(at >> 3, last)] >> (32 - longest - (at & 7)).astype(np.uint32)) & np.uint32(len(ids) - 1)
         out[step] = ids[key]
         at += used[key]
     return out.T.reshape(-1)[:n_ids]
 
 
-def _id_counts(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+ENCODED = "row long, doc_id long, tie long, ids binary, counts binary"
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Ids of each text; and, in a last row of a task, how often it saw each id."""
+    enc, end = encoder(vocabulary), np.array([end_id], dtype)
+    total = np.zeros(end_id + 1, np.int64)
+    none = pa.nulls(1, pa.int64())
     for batch in batches:
-        if not len(batch):
-            continue
-        counts = np.bincount(np.concatenate([np.frombuffer(ids.as_buffer(), dtype) for ids in batch.column("ids")]), minlength=len(total))
-        counts[: len(total)] += total
-        total = counts
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-                     end_id: int = END_ID, name: str = "token_store") -> tuple[DataFrame, np.ndarray]:
-    """Write the store; returns its blocks, as read back, and the code lengths."""
+        for at in range(0, batch.num_rows, 5000):
+            part = batch.slice(at, 5000)
+            found = [np.append(ids.astype(dtype), end) for ids in enc.encode_all(part.column("text").to_pylist())]
+            counts = np.bincount(np.concatenate(found), minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "tie")), pa.array([x.tobytes() for x in found], pa.binary()), pa.nulls(len(found), pa.binary())], names=["row", "doc_id", "tie", "ids", "counts"])
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["row", "doc_id", "tie", "ids", "counts"])
+
+
+def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column("counts"):
+            total = np.frombuffer(raw.as_buffer(), np.int64)
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+
+
+def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID,
+                path: str | None = None, name: str = "token_store") -> str:
+    """Write the store to ``path`` (default: a new folder of the shared scratch one); returns it."""
     spark = docs.sparkSession
     ship(spark)
+    path = path or f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     vocabulary = vocabulary or default_vocabulary()
     dtype = id_type(vocabulary)
-    ids = stored(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("tie"),
-        token_bytes(F.col(text_col), vocabulary, end_id, dtype).alias("ids")), f"{name}_ids")
-    counts = ids.select("ids").mapInArrow(lambda batches: _id_counts(batches, dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    lengths = code_lengths({r["id"]: r["n"] for r in counts.collect()})  # as many rows as the vocabulary has ids, at most
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).cast("string").alias("text"))
+    ids = stored(texts.mapInArrow(lambda batches: _encoded(batches, vocabulary, end_id, dtype), ENCODED), f"{name}_ids")
+    counts = ids.where("counts IS NOT NULL").select("counts").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = {r["id"]: r["n"] for r in counts.collect()}  # as many rows as the vocabulary has ids, at most
+    lengths = code_lengths(counted)
     codes = canonical_codes(lengths)
+    coded = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
+    spark.createDataFrame(coded, "id long, length int").coalesce(1).write.parquet(f"{path}/code")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, first, held, docs_, sizes, n = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
@@ -168,8 +193,30 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if held:
             yield row()
 
-    ordered = ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stored(ordered.select("doc_id", "ids").mapInArrow(blocks, BLOCK_SCHEMA), name), lengths
+    # Tasks by the number of ids; the row parts equal documents too.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + sum(counted.values()) // TASK_IDS)
+    ordered = ids.where("counts IS NULL").select("doc_id", "tie", "row", "ids").repartitionByRange(tasks, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    ordered.select("doc_id", "ids").mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    return path
+
+
+def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """A store's blocks and code lengths, both from its files."""
+    ship(spark)
+    code = spark.read.schema("id long, length int").parquet(f"{path}/code").collect()  # one row per id of the vocabulary, at most
+    lengths = np.zeros(max((r["id"] for r in code), default=-1) + 1, np.uint8)
+    for r in code:
+        lengths[r["id"]] = r["length"]
+    return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks"), lengths
+
+
+def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    return decode_blocks(*open_store(spark, path), with_ids)
+
+
+def encode_documents(docs: DataFrame, **settings) -> tuple[DataFrame, np.ndarray]:
+    """Write the store; returns its blocks and code lengths, as read back."""
+    return open_store(docs.sparkSession, write_store(docs, **settings))
 
 
 def decode_blocks(blocks: DataFrame, lengths: np.ndarray, with_ids: bool = True) -> DataFrame:
@@ -177,8 +224,7 @@ def decode_blocks(blocks: DataFrame, lengths: np.ndarray, with_ids: bool = True)
 
     ``start`` counts the ids of all documents before; ``ids`` are little-endian
     32-bit bytes. A part holds its blocks' places within it, so only one row
-    per part is summed up and broadcast; parts are as many as shuffle
-    partitions.
+    per part, of some million ids, is summed up and broadcast.
     """
     schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
                        + [("ids", pa.binary())] * with_ids)

@@ -1,6 +1,9 @@
 """Token store and packing: ids against the library, exact round trips, full windows."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -8,30 +11,70 @@ import numpy as np
 import pytest
 
 from conftest import SF_SMALL
-from scorelake.llm import packing, token_store
+from scorelake.llm import packing, token_store, tokens
 from scorelake.llm.queries import op9_token_store, op10_packing
-from scorelake.llm.tokens import default_vocabulary, encoder
+from scorelake.llm.tokens import default_vocabulary
+
+
+class Untouched:
+    """The library as it comes."""
+
+    def __init__(self, path):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+
+    def ids(self, text):
+        return self.library.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
 def library():
-    return encoder(default_vocabulary())
+    return Untouched(default_vocabulary())
 
 
 def ids_of(library, text, end):
-    return [*library.library.encode(text or "", add_special_tokens=False).ids, end]
+    return [*library.ids(text), end]
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_words_give_the_ids_of_the_whole_text(library):
+PARTS = ["a", "b", " ", "  ", "\n", "\n\n", " \n", "é", "Ω", "1", "23", ".", "'s", "'", "\t", "\x1c", "\xa0", "　", "😀", "<|endoftext|>", "<|end", "oftext|>", "word", "中", "\x00", "ﬁ", "ª", "²", "\r\n", "!!", "it's", " the", "the."]
+
+
+def test_words_give_the_ids_of_the_whole_text(library, monkeypatch):
     rng = random.Random(3)
-    parts = ["a", "b", " ", "  ", "\n", "é", "Ω", "1", "23", ".", "'s", "'", "\t", "\x1c", "\xa0", "　", "😀", "<|endoftext|>", "word", "中", "\x00", "ﬁ", "ª", "²", "\r\n", "!!", "it's"]
-    for _ in range(4000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert library.encode(text) == library.plain(text), text
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    texts += [None, "", "<|endoftext|>", " <|endoftext|> ", "a<|endoftext|>", "<|endoftext|>a", "x <|endoftext|> y", "word<|endoftext|>word", "the " * 50_000]
+    for forget in (tokens.MOST_WORDS, 50):
+        monkeypatch.setattr(tokens, "MOST_WORDS", forget)
+        monkeypatch.setattr(tokens, "PARCEL", 3000)
+        own = tokens.Encoder(default_vocabulary())
+        for _ in range(2):  # the second time by what it remembers
+            for text, ids in zip(texts, own.encode_all(texts)):
+                assert ids.tolist() == library.ids(text), text
+    assert own.encode("x <|endoftext|> y") == np.array(library.ids("x <|endoftext|> y"), "<u4").tobytes()
+    assert 50256 in library.ids("x <|endoftext|> y")
+
+
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"normalizer": {"type": "Lowercase"}}, {"dropout": None, "end_of_word_suffix": "</w>"}, {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}])
+def test_other_settings_go_to_the_library_whole(change, tmp_path):
+    import json
+
+    with open(default_vocabulary(), encoding="utf-8") as f:
+        settings = json.load(f)
+    for key, value in change.items():
+        place = settings["pre_tokenizer"] if key == "add_prefix_space" else settings["model"] if key in ("dropout", "end_of_word_suffix") else settings
+        place[key] = value
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(settings, f)
+    own, library_ = tokens.Encoder(path), Untouched(path)
+    assert not own.safe
+    texts = ["The Word IS here", "two  spaces", "line\nend", "", "A <|endoftext|> b"]
+    assert [x.tolist() for x in own.encode_all(texts)] == [library_.ids(t) for t in texts]
 
 
 def test_code_lengths_are_optimal_and_bounded():
@@ -48,6 +91,8 @@ def test_code_lengths_are_optimal_and_bounded():
                 cost += heap[0] + heap[1]
                 heap[:2] = [heap[0] + heap[1]]
             assert sum(counts[i] * int(lengths[i]) for i in counts) == cost
+    many = token_store.code_lengths({i: 1 + i % 3 for i in range(70_000)})  # more ids than 16 bits have codes for
+    assert many.max() == 17 and sum(2.0 ** -int(x) for x in many) <= 1
     steep = token_store.code_lengths({i: 2**i for i in range(40)})
     assert steep.max() == 16 and sum(2.0 ** -int(x) for x in steep if x) <= 1
 
@@ -61,6 +106,41 @@ def test_blocks_round_trip(n):
     assert np.array_equal(token_store.unpack_bits(bits, checkpoints, n, token_store.decoding_table(lengths)), ids)
 
 
+def test_more_than_65536_ids_round_trip():
+    ids = np.random.default_rng(1).permutation(70_000).astype(np.uint32)
+    lengths = token_store.code_lengths(dict.fromkeys(ids.tolist(), 1))
+    bits, checkpoints = token_store.pack_bits(ids, token_store.canonical_codes(lengths), lengths)
+    assert np.array_equal(token_store.unpack_bits(bits, checkpoints, len(ids), token_store.decoding_table(lengths)), ids)
+
+
+READER = """
+import sys
+sys.path.insert(0, {repo!r})
+from scorelake.llm import token_store
+from scorelake.session import local_session
+spark = local_session(1, "reader", 2)
+for r in token_store.read_store(spark, {path!r}).orderBy("start").collect():
+    print("ROW", r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], len(r["ids"]))
+"""
+
+
+def test_a_store_is_read_by_another_process(spark, edge_docs):
+    path = token_store.write_store(edge_docs)
+    here = token_store.read_store(spark, path).orderBy("start").collect()
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", READER.format(repo=repo, path=path)], capture_output=True, text=True, timeout=300, env={**os.environ, "SCORELAKE_DRIVER_MEMORY": "1g"}).stdout
+    rows = [line.split()[1:] for line in said.splitlines() if line.startswith("ROW")]
+    assert rows == [[str(x) for x in (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], len(r["ids"]))] for r in here] and rows
+
+
+def test_equal_rows_are_dealt_to_several_tasks(spark, library, monkeypatch):
+    monkeypatch.setattr(token_store, "TASK_IDS", 100)
+    rows = [(5, "the same text again and again")] * 400 + [(1, "x"), (9, None)]
+    path = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert token_store.open_store(spark, path)[0].select("part").distinct().count() > 6
+    check_store(library, rows, store_rows(token_store.read_store(spark, path)))
+
+
 def store_rows(df):
     return sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in df.collect()), key=lambda r: r[1])
 
