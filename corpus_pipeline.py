@@ -11,34 +11,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import decontamination, language, packing, secrets, simhash
-from scorelake.llm.common import documents, stored
+from scorelake.llm.common import documents, fresh, stored
+
+#: Calibrated probability below which a document has no language that the model is sure enough of.
+LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a text, go."""
-    return language.identify(docs, into="__language").where(F.col("__language.lang_pred") != language.UNKNOWN).select(*docs.columns)
+    """Documents without a predicted language go, and those whose prediction is
+    less sure than ``LEAST_SCORE``.
+
+    Null and empty texts, and texts without a letter, have no language; without
+    any labelled document there is nothing to predict from, and all go. Repeated
+    rows fare alike; ids and labels may be null; an empty table stays empty.
+    """
+    found = fresh(docs, "found_language")
+    told = language.identify(docs, into=found)
+    return told.where((F.col(f"{found}.lang_pred") != language.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that of the smallest id
+    (null last), then of the smallest text hash.
+
+    Null, empty and wordless texts are one group; of repeated rows one stays; an
+    empty table stays empty.
+    """
     return simhash.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontamination.find(docs, documents(spark, sf_dir, "benchmark"), into="__hits")
-    return found.where(F.size("__hits.spans") == 0).select(*docs.columns)
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows fare alike; with an
+    empty benchmark all stay; an empty table stays empty.
+    """
+    hits = fresh(docs, "benchmark_hits")
+    found = decontamination.find(docs, documents(spark, sf_dir, "benchmark"), into=hits)
+    return found.where(F.size(f"{hits}.spans") == 0).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced by a mark."""
-    clean = docs.withColumn("__clean", secrets.redacted(F.col("text")))
-    columns = {"text": F.col("__clean"), "n_chars": F.when(F.col("__clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__clean").cast("long"))}
-    return clean.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    """Every document stays; secrets in its text are replaced by a mark, and
+    ``n_chars``, if there is such a column, follows.
+
+    Null texts stay null; repeated rows fare alike; an empty table stays empty.
+    """
+    clean = fresh(docs, "clean_text")
+    told = docs.withColumn(clean, secrets.redacted(F.col("text")))
+    columns = {"text": F.col(clean)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col(clean).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(clean).cast("long"))
+    return told.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, placed in training windows."""
+    """Pieces of the documents, placed in training windows.
+
+    Null and empty texts are an end id alone; repeated rows are packed each; an
+    empty table gives no piece.
+    """
     return packing.pack(docs)
 
 

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import connected_components, ship, stored
+from scorelake.llm.common import connected_components, fresh, ship, stored
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-#: Fingerprints of a tile that one task holds; larger tiles are split into blocks.
+#: Fingerprints of a tile, and of those compared with it, that one task holds; more are dealt to a grid of blocks.
 BLOCK = 50_000
+#: Slots of the filter that tells rows that surely stay; a 64th as many rows are broadcast at most.
+SLOTS = 1 << 27
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
@@ -129,15 +131,18 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     within ``radius`` of each other, in steps. ``prints`` has the column ``fp``."""
     high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     tiled = prints.select("fp", high.cast("int").alias("x"), low.cast("int").alias("y"))
-    # One row per tile, of which there are 33 * 33 at most.
-    sizes = tiled.groupBy("x", "y").count().select("x", "y", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     steps = [(dx, dy) for dx in range(radius + 1) for dy in range(-radius, radius + 1) if dx + abs(dy) <= radius and (dx, dy) >= (0, 0)]
-    member = tiled.join(F.broadcast(sizes), ["x", "y"]).select(
-        "x", "y", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.lit(True).alias("own"), "fp")
     # A tile asks itself and the tiles on one side of it; every pair of near tiles meets once.
-    asked = tiled.select("fp", F.explode(F.array([F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])).alias("t"))
-    asked = asked.select("fp", "t.*").join(F.broadcast(sizes), ["x", "y"]).select(
-        "x", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("own"), "fp")
+    near = F.explode(F.array([F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])).alias("t")
+    # One row per tile, of which there are 33 * 33 at most: blocks of its members, and of those that ask it.
+    counts = tiled.groupBy("x", "y").count()
+    asking = counts.select("count", near).groupBy("t").agg(F.sum("count").alias("asking")).select("t.*", "asking")
+    sizes = F.broadcast(counts.join(asking, ["x", "y"]).select("x", "y", F.ceil(F.col("count") / block).cast("int").alias("blocks"), F.ceil(F.col("asking") / block).cast("int").alias("ask_blocks")))
+    # A task holds one block of either side, whatever the size of a tile.
+    member = tiled.join(sizes, ["x", "y"]).select(
+        "x", "y", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask_block"), F.lit(True).alias("own"), "fp")
+    asked = tiled.select("fp", near).select("fp", "t.*").join(sizes, ["x", "y"]).select(
+        "x", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("fp", "x", "y"), "ask_blocks").cast("int").alias("ask_block"), F.lit(False).alias("own"), "fp")
 
     def compare(tile: pa.Table) -> pa.Table:
         own, values = tile.column("own").to_numpy(), tile.column("fp").to_numpy()
@@ -150,7 +155,7 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
         linked = np.flatnonzero(forest.root != np.arange(len(nodes)))
         return pa.table({"a": nodes[linked], "b": nodes[forest.root[linked]]})
 
-    return member.unionByName(asked).groupBy("x", "y", "block").applyInArrow(compare, "a long, b long")
+    return member.unionByName(asked).groupBy("x", "y", "block", "ask_block").applyInArrow(compare, "a long, b long")
 
 
 def components(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK, name: str = "simhash") -> DataFrame:
@@ -171,21 +176,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, name: str = "simhash_kept") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, slots: int = SLOTS, name: str = "simhash_kept") -> DataFrame:
     """One row of ``docs`` per group: that of the smallest id (null last), then of
-    the smallest text hash; of rows that agree in both, any one."""
+    the smallest text hash; of rows that agree in both, any one.
+
+    Most rows stay, and their texts are not shuffled: a broadcast filter of the
+    keys of rows that do not, and of repeated ones, passes every other row; only
+    rows that it can't tell meet the exact list.
+    """
     ship(docs.sparkSession)
     text_hash = F.xxhash64(F.col(text_col))
     prints = stored(docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("hash"), fingerprints(F.col(text_col), width).alias("fp")), f"{name}_prints")
-    same = components(prints, radius, name=name).groupBy("component", "doc_id", "hash").agg(F.count("*").alias("rows"))
-    chosen = stored(same.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "rows")).alias("c")).select(
-        F.col("c.doc_id").alias("__id"), F.col("c.hash").alias("__hash"), F.col("c.rows").alias("__rows")), f"{name}_chosen")
-
-    def rows(of: DataFrame) -> DataFrame:
-        picked = docs.withColumn("__own_hash", text_hash)
-        return picked.join(of, F.col("__own_hash").eqNullSafe(F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
-
-    out = rows(chosen.where("__rows = 1")).select(*docs.columns)
-    if chosen.where("__rows > 1").isEmpty():
-        return out
-    return out.unionByName(rows(chosen.where("__rows > 1")).dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    same = stored(components(prints, radius, name=name).groupBy("component", "doc_id", "hash").agg(F.count("*").alias("rows")), f"{name}_keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash"))
+    chosen = same.groupBy("component").agg(first.alias("c"))
+    stays = F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("hash") == F.col("c.hash"))
+    key, held, keep, slot, word, bits = (fresh(docs, f"simhash_{n}") for n in ("id", "hash", "keep", "slot", "word", "bits"))
+    listed = stored(same.join(chosen, "component").where(~stays | (F.col("rows") > 1)).select(
+        F.col("doc_id").alias(key), F.col("hash").alias(held), stays.alias(keep)), f"{name}_listed")
+    slot_of = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(slots))
+    words = listed.select(slot_of(F.col(key), F.col(held)).alias(slot)).groupBy(F.expr(f"shiftright({slot}, 6)").alias(word)).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 AS INT)))").alias(bits))
+    own = fresh(docs, "simhash_own")
+    told = docs.withColumn(own, text_hash).withColumn(slot, slot_of(F.col(id_col), F.col(own)))
+    told = told.join(F.broadcast(words), F.expr(f"shiftright({slot}, 6)") == F.col(word), "left")
+    unsure = F.coalesce(F.expr(f"shiftright({bits}, cast({slot} & 63 AS INT)) & 1") == 1, F.lit(False))
+    passed = told.where(~unsure).select(*docs.columns)
+    doubtful = stored(told.where(unsure).select(*docs.columns, own), f"{name}_doubtful")
+    met = doubtful.join(listed, F.col(own).eqNullSafe(F.col(held)) & F.col(id_col).eqNullSafe(F.col(key)), "left")
+    others = met.where(F.col(keep).isNull()).select(*docs.columns)
+    repeated = met.where(F.col(keep)).dropDuplicates([key, held]).select(*docs.columns)
+    return passed.unionByName(others).unionByName(repeated)

@@ -1,14 +1,15 @@
 """Each stage on its own input, and the whole run."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from conftest import SF_SMALL
-from scorelake.llm import secrets
+from scorelake.llm import language, secrets
 from test_simhash import slow_groups
 from test_text_scans import slow_hits
-from test_tokens import check_pieces
-from scorelake.llm.tokens import default_vocabulary, encoder
+from test_tokens import Untouched, check_pieces
+from scorelake.llm.tokens import default_vocabulary
 
 
 def test_stages(spark):
@@ -23,7 +24,9 @@ def test_stages(spark):
         assert len(rows) == after.count()
         texts = [(i, r["text"]) for i, r in before.items()]
         if name == "language_id":
-            assert set(rows) == {i for i, t in texts if any(c.isalpha() for c in t)}
+            model = language.fit(docs)
+            assert set(rows) == {i for i, t in texts for label, score in [model.predict(t)] if label != "und" and score >= pipeline.LEAST_SCORE}
+            assert set(rows) >= {i for i, t in texts if len(t.split()) > 20 and sum(c.isalpha() for c in t) > len(t) / 2}
         elif name == "near_duplicates":
             assert set(rows) == {c for *_, c in slow_groups(texts)}
         elif name == "benchmark_passages":
@@ -37,7 +40,7 @@ def test_stages(spark):
             assert all(rows[i] == before[i] for i in rows)
         docs = after
     left = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    check_pieces(encoder(default_vocabulary()), left, stages["packing"](spark, docs, SF_SMALL).collect())
+    check_pieces(Untouched(default_vocabulary()), left, stages["packing"](spark, docs, SF_SMALL).collect())
 
 
 def test_run_equals_the_stages(spark):
@@ -48,6 +51,22 @@ def test_run_equals_the_stages(spark):
     assert sorted(map(tuple, pipeline.run(spark, SF_SMALL).select(columns).collect())) == sorted(map(tuple, docs.select(columns).collect()))
 
 
+CLASHING = ["found_language", "benchmark_hits", "clean_text", "simhash_id", "simhash_hash", "simhash_keep", "simhash_slot", "simhash_word", "simhash_bits", "simhash_own",
+            "__language", "__hits", "__clean", "__own_hash", "__id", "__hash", "__rows", "hash", "fp", "component", "Text_"]
+
+
+def test_columns_named_like_working_ones(spark):
+    """They come through every stage as they are."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")).alias(c) for i, c in enumerate(CLASHING)])
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, wide, SF_SMALL)
+        assert after.columns == wide.columns
+        rows = after.collect()
+        assert rows and all(r[c] == f"{i}-{r['doc_id']}" for r in rows for i, c in enumerate(CLASHING))
+    assert pipeline.STAGES[-1][1](spark, wide, SF_SMALL).count() > 0
+
+
 @pytest.mark.parametrize("rows", [0, 15])
 def test_edge_rows_and_empty_tables(spark, edge_docs, rows):
     docs = edge_docs.selectExpr("doc_id", "text", "lang", "component_id AS source", "n_words AS n_chars", "hits", "TEXT_ AS fp").limit(rows)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from conftest import SF_SMALL
@@ -95,8 +96,29 @@ def test_ordered_blocks_skip_only_far_ones():
     assert slow <= pairs and all(int(left[i] ^ right[j]).bit_count() <= 4 for i, j in pairs)
 
 
-def test_one_of_each_keeps_one_row_per_group(edge_docs):
-    kept = [(r["doc_id"], r["text"]) for r in S.one_of_each(edge_docs).collect()]
+def test_no_task_holds_more_than_a_block_of_either_side(spark):
+    """All fingerprints in one tile, and every one of them near another."""
+    rng = random.Random(7)
+    base = [sum(1 << b for b in rng.sample(range(32), 16)) | sum(1 << b for b in rng.sample(range(32, 64), 16)) for _ in range(300)]
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(sorted(set(base)))]
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    plan = S.links(df, block=20)
+    grouped = {}
+    # The same rows as the tasks get them: the plan below the comparison.
+    below = plan._jdf.queryExecution().analyzed().children().apply(0)
+    from pyspark.sql import DataFrame
+
+    rows_below = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, below), spark).collect()
+    for r in rows_below:
+        key = (r["x"], r["y"], r["block"], r["ask_block"])
+        grouped.setdefault(key, [0, 0])[0 if r["own"] else 1] += 1
+    assert max(a for a, _ in grouped.values()) <= 3 * 20 and max(b for _, b in grouped.values()) <= 3 * 20
+    assert len(grouped) >= (300 // 20) ** 2 / 4
+
+
+@pytest.mark.parametrize("slots", [S.SLOTS, 64])
+def test_one_of_each_keeps_one_row_per_group(edge_docs, slots):
+    kept = [(r["doc_id"], r["text"]) for r in S.one_of_each(edge_docs, slots=slots).collect()]
     groups = slow_groups([(r["doc_id"], r["text"]) for r in edge_docs.collect()])
     # Two groups share the id 10, and one has no id.
     assert sorted((i for i, _ in kept), key=repr) == sorted([*{c for *_, c in groups}, 10], key=repr)
