@@ -7,7 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def slices(column: pa.Array, rows: int = 500) -> Iterator[list]:
+    """A column's values as Python objects, some rows at a time, so that a batch
+    of long texts is not held twice."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import ship
+from scorelake.llm.common import ship, slices
 
 UNKNOWN = "und"
 BITS = 16
@@ -146,17 +145,18 @@ def held_out(id_col: str) -> Column:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, docs = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            at, _ = ngram_counts(text)
-            seen[at] += 1
-            docs += len(at) > 0
+        for part in slices(batch.column(0)):
+            for text in part:
+                at, _ = ngram_counts(text)
+                seen[at] += 1
+                docs += len(at) > 0
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(seen[at], docs), pa.int64())], names=["gram", "n"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [ngram_counts(text) for text in batch.column("text").to_pylist()]
+        found = [ngram_counts(text) for part in slices(batch.column("text")) for text in part]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary())], names=["lang", "h", "at", "counts"])
 
 
@@ -191,9 +191,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 def predictions(text: Column, model) -> Column:
     """``struct<lang_pred, score>`` from a broadcast ``Model``."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def udf(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def udf(texts: pa.Array) -> pa.Array:
+        found = [model.value.predict(t) for part in slices(texts) for t in part]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
 
     return udf.asNondeterministic()(text)
 

@@ -19,13 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import ship, stored
+from scorelake.llm.common import ship, slices, stored
 from scorelake.llm.tokens import default_vocabulary, encoder
 
 WINDOW = 2048
@@ -88,15 +87,16 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 def cut_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, window: int) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens)``: full windows, then the rest."""
 
-    @F.pandas_udf("array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long>>")
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc, end = encoder(vocabulary), np.array([end_id], np.uint32)
-        for part in texts:
-            out = []
-            for own in enc.encode_all(part.tolist()):
+    piece = pa.struct([(name, pa.int64()) for name in ("start", "length", "ids_crc32", "doc_tokens")])
+
+    @F.arrow_udf("array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long>>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        enc, end, out = encoder(vocabulary), np.array([end_id], np.uint32), []
+        for part in slices(texts):
+            for own in enc.encode_all(part):
                 ids = np.append(own, end).astype("<u4")
                 out.append([{"start": at, "length": min(window, len(ids) - at), "ids_crc32": zlib.crc32(ids[at:at + window]), "doc_tokens": len(ids)} for at in range(0, len(ids), window)])
-            yield pd.Series(out, dtype=object)
+        return pa.array(out, pa.list_(piece))
 
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), pieces.asNondeterministic()(F.col(text_col)).alias("cut"))
     return cut.select("doc_id", F.inline("cut"))

@@ -19,16 +19,14 @@ component); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import connected_components, fresh, ship, stored
+from scorelake.llm.common import connected_components, fresh, ship, slices, stored
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a tile, and of those compared with it, that one task holds; more are dealt to a grid of blocks.
@@ -68,9 +66,9 @@ def _bit_sums(column: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(text: Column, width: int = WIDTH) -> Column:
-    @F.pandas_udf("long")
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def udf(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t, width) for part in slices(texts) for t in part], pa.int64())
 
     return udf.asNondeterministic()(text.cast("binary"))
 

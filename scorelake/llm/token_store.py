@@ -137,8 +137,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, dt
     total = np.zeros(end_id + 1, np.int64)
     none = pa.nulls(1, pa.int64())
     for batch in batches:
-        for at in range(0, batch.num_rows, 5000):
-            part = batch.slice(at, 5000)
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
             found = [np.append(ids.astype(dtype), end) for ids in enc.encode_all(part.column("text").to_pylist())]
             counts = np.bincount(np.concatenate(found), minlength=len(total))
             counts[: len(total)] += total

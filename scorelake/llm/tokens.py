@@ -15,7 +15,6 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,9 +30,9 @@ LETTERS = "^[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
 ONLY_LETTERS = f"{LETTERS}$"
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Words that a worker keeps; with more, it starts anew.
-MOST_WORDS = 900_000
+MOST_WORDS = 500_000
 #: Characters of texts that are taken together (a longer text alone).
-PARCEL = 8 << 20
+PARCEL = 2 << 20
 # The settings under which a text may be cut as above.
 SAFE_SETTINGS = {
     "normalizer": None, "truncation": None, "padding": None,
