@@ -19,12 +19,11 @@ from scorelake.functions import jvm
 
 # Word ids become code points 0x100 + id while they stay below the surrogate
 # block (U+D800): up to 55,039 distinct words per pair stay in the BMP; larger
-# vocabularies use the supplementary planes (up to 1,048,575 words).
+# vocabularies use the supplementary planes (up to 1,048,575 words; pairs of that
+# many words are long ones, which are not coded).
 _WORD_CODE_BASE = 0x100
 _BMP_WORD_LIMIT = 0xD800 - _WORD_CODE_BASE - 1
 _SUPPLEMENTARY_BASE = 0x10000
-# Distinct words of one pair that get a code point each.
-WORD_LIMIT = 0x110000 - _SUPPLEMENTARY_BASE - 1
 _HAS_SUPPLEMENTARY = r"[\x{10000}-\x{10ffff}]"
 
 

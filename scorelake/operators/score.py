@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions import metrics, text
+from scorelake.functions import long_pairs, metrics, text
+from scorelake.session import ship_package
 
 # The error text a scoring failure leaves on an empty reference.
 EMPTY_REFERENCE_ERROR = "ValueError: one or more references are empty strings"
@@ -28,7 +29,8 @@ COUNT_COLUMNS = (
 RATE_COLUMNS = ("wer", "cer", "whisper_wer", "whisper_cer")
 # Distances that score_records can compute, in the order of RATE_COLUMNS.
 METRICS = ("word", "char", "whisper_word", "whisper_char")
-VOCABULARY_ERROR = f"ValueError: more than {metrics.WORD_LIMIT} distinct words in one record"
+# Cells of the dynamic program from which on a pair is aligned bit-parallel, in Python.
+LONG_PAIR = 2_000_000
 
 
 def is_scored() -> Column:
@@ -57,8 +59,9 @@ def score_records(records: DataFrame, empty_reference: str = "error", metrics_wa
     100).
 
     ``metrics_wanted`` names the distances to compute; the counts and rates of
-    the others are NULL, and their alignments are not in the plan. A record
-    with more distinct words than there are code points becomes an error row.
+    the others are NULL, and their alignments are not in the plan. Long pairs
+    (``LONG_PAIR``) go to :mod:`scorelake.functions.long_pairs`, in one Arrow
+    batch with the others' places empty; both ways give the same numbers.
     """
     if empty_reference not in ("error", "convention"):
         raise ValueError("empty_reference must be 'error' or 'convention'")
@@ -96,35 +99,54 @@ def score_records(records: DataFrame, empty_reference: str = "error", metrics_wa
         text.words("_wref").alias("_wref_w"),
         text.words("_whyp").alias("_whyp_w"),
     )
+    ship_package(records.sparkSession)
+    cells = {"_we": F.size("_ref_w").cast("long") * F.size("_hyp_w"), "_wwe": F.size("_wref_w").cast("long") * F.size("_whyp_w"),
+             "_ce": F.char_length("_ref").cast("long") * F.char_length("_hyp"), "_wce": F.char_length("_wref").cast("long") * F.char_length("_whyp")}
+    wanted_as = {"_we": "word", "_wwe": "whisper_word", "_ce": "char", "_wce": "whisper_char"}
+    kinds = [k for k in cells if wanted_as[k] in metrics_wanted]
+    stage = stage.select("*", *[(F.coalesce(cells[k], F.lit(0)) >= LONG_PAIR).alias(f"{k}_long") for k in kinds])
+    # A text is handed over where its pair is long, and NULL otherwise.
+    sides = {"_we": ("_ref", "_hyp"), "_ce": ("_ref", "_hyp"), "_wwe": ("_wref", "_whyp"), "_wce": ("_wref", "_whyp")}
+    mirror = (F.col("_wref") == F.col("_ref")) & (F.col("_whyp") == F.col("_hyp"))
+    bits = []
+    for k in kinds:
+        needed = F.col(f"{k}_long") & (~mirror if k in ("_wwe", "_wce") and k.replace("_w", "_", 1) in kinds else F.lit(True))
+        ref, hyp = (F.when(needed, F.col(side)) for side in sides[k])
+        bits.append(long_pairs.text_distance(ref, hyp, words=k.endswith("we")).alias(f"{k}_bits"))
+    stage = stage.select("*", *bits)
     no_words = F.array().cast("array<string>")
-    stage = stage.select(
-        "*",
-        (metrics.pair_vocabulary("_ref_w", "_hyp_w") if words["word"] else no_words).alias("_voc"),
-        (metrics.pair_vocabulary("_wref_w", "_whyp_w") if words["whisper_word"] else no_words).alias("_wvoc"),
-    )
-    fits = (F.size("_voc") <= metrics.WORD_LIMIT) & (F.size("_wvoc") <= metrics.WORD_LIMIT)
+
+    def vocabulary(kind: str, ref: str, hyp: str) -> Column:
+        return F.when(~F.col(f"{kind}_long"), metrics.pair_vocabulary(ref, hyp)).otherwise(no_words) if kind in kinds else no_words
+
+    stage = stage.select("*", vocabulary("_we", "_ref_w", "_hyp_w").alias("_voc"), vocabulary("_wwe", "_wref_w", "_whyp_w").alias("_wvoc"))
     code = {"_ref": "_voc", "_hyp": "_voc", "_wref": "_wvoc", "_whyp": "_wvoc"}
-    coded = [side for side, voc in code.items() if words["word" if voc == "_voc" else "whisper_word"]]
-    stage = stage.select("*", *[F.when(fits, metrics.word_codes(f"{side}_w", code[side])).alias(f"{side}_code") for side in coded])
+    long_of = {"_voc": "_we", "_wvoc": "_wwe"}
+    coded = [side for side, voc in code.items() if long_of[voc] in kinds]
+    stage = stage.select("*", *[F.when(~F.col(f"{long_of[code[side]]}_long"), metrics.word_codes(f"{side}_w", code[side])).alias(f"{side}_code") for side in coded])
     present = F.col("_ref").isNotNull()
     empty_ref = (F.col("_ref") == "") | (F.col("_wref") == "")
-    valid = present & fits
+    valid = present
     if empty_reference == "error":
         valid = valid & ~empty_ref
 
     def distances(side: str, other: str, voc: str, kind: str) -> tuple[Column, Column]:
         same = F.col(side) == F.col(other)
         none = F.lit(None).cast("bigint")
-        word = F.when(same, F.lit(0)).otherwise(metrics.coded_word_distance(f"{side}_code", f"{other}_code", voc)) if f"{kind}word" in metrics_wanted else none
-        char = F.when(same, F.lit(0)).otherwise(metrics.char_edit_distance(side, other)) if f"{kind}char" in metrics_wanted else none
-        return word.cast("bigint"), char.cast("bigint")
+        we, ce = ("_wwe", "_wce") if kind else ("_we", "_ce")
+
+        def unlike(k: str, short: Column) -> Column:
+            return F.when(same, F.lit(0).cast("bigint")).when(F.col(f"{k}_long"), F.col(f"{k}_bits")).otherwise(short.cast("bigint"))
+
+        word = unlike(we, metrics.coded_word_distance(f"{side}_code", f"{other}_code", voc)) if we in kinds else none
+        char = unlike(ce, metrics.char_edit_distance(side, other)) if ce in kinds else none
+        return word, char
 
     # Primary distances first, in their own projection. Where the Whisper
     # normaliser gives the same two strings (common: both drop punctuation),
     # its distances are the same numbers and the alignment is not redone.
     we, ce = distances("_ref", "_hyp", "_voc", "")
     stage = stage.select("*", F.when(valid, we).alias("_we"), F.when(valid, ce).alias("_ce"))
-    mirror = (F.col("_wref") == F.col("_ref")) & (F.col("_whyp") == F.col("_hyp"))
     wwe, wce = distances("_wref", "_whyp", "_wvoc", "whisper_")
     if {"word", "whisper_word"} <= set(metrics_wanted):
         wwe = F.when(mirror, F.col("_we")).otherwise(wwe)
@@ -142,8 +164,7 @@ def score_records(records: DataFrame, empty_reference: str = "error", metrics_wa
     # not pushed below it, so a later ``where(wer IS NOT NULL)`` cannot
     # inline and re-run the normalisation UDFs and distances in a Filter.
     outcome = F.struct(
-        F.when(present & ~fits, F.lit(VOCABULARY_ERROR))
-        .when(present & empty_ref & F.lit(empty_reference == "error"), F.lit(EMPTY_REFERENCE_ERROR))
+        F.when(present & empty_ref & F.lit(empty_reference == "error"), F.lit(EMPTY_REFERENCE_ERROR))
         .otherwise(F.col("error")).alias("error"),
         F.size("_hyp_w").alias("_hyp_n"), F.char_length("_hyp").alias("_hyp_c"),
         F.size("_whyp_w").alias("_whyp_n"), F.char_length("_whyp").alias("_whyp_c"),

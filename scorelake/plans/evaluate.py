@@ -25,16 +25,33 @@ from pyspark.sql import functions as F
 
 from scorelake.operators.inference import TRANSCRIBERS, Registry, transcribe_batch
 from scorelake.operators.score import score_records
-from scorelake.operators.summary import summarize
-from scorelake.plans.matrix import pending_utterances
+from scorelake.operators.summary import summarize, summary_aggregates, with_summary_rates
+from scorelake.plans.matrix import OUTSIDE_RUN_NAME, PYTHON_RUN_TIME, pending_utterances
 from scorelake.session import scratch_path
 from scorelake.sources.catalog import DatasetSpec, language_hint, parse_dataset_spec
-from scorelake.sources.commits import commit
-from scorelake.sources.records import finished_runs, read_failures, read_records, read_summaries, runs_of_batch, write_batch, write_records, write_summaries
-from scorelake.sources.tables import first_n_rows
+from scorelake.sources.commits import State, commit
+from scorelake.sources.records import (
+    SUM_FIELDS,
+    finished_runs,
+    read_failures,
+    read_records,
+    read_summaries,
+    read_sums,
+    runs_of_batch,
+    runs_without_sums,
+    write_batch,
+    write_records,
+    write_summaries,
+    write_sums,
+)
+from scorelake.sources.tables import LIMIT_ERROR, first_n_rows
 from scorelake.sources.utterances import FileUtterances, TableUtterances
 
 
+# The error of a missing column.
+MISSING_COLUMN = "{label} column '{column}' was not found. Available columns: {names}"
+
+
 def check_columns(df: DataFrame, spec: DatasetSpec) -> None:
     """A4: fail on the driver, before any job, if a needed column is missing."""
     names = df.columns
@@ -42,7 +59,7 @@ def check_columns(df: DataFrame, spec: DatasetSpec) -> None:
         return
     for label, col in (("Audio", spec.audio_column), ("Reference", spec.reference_column)):
         if col not in names:
-            raise ValueError(f"{label} column '{col}' was not found. Available columns: {', '.join(names)}")
+            raise ValueError(MISSING_COLUMN.format(label=label, column=col, names=", ".join(names)))
 
 
 def with_run_columns(df: DataFrame, engine: str, model: str, spec: DatasetSpec, run_name: str) -> DataFrame:
@@ -77,8 +94,8 @@ RUN_RECORD = ("run_name", "engine", "model", "dataset", "hf_dataset", "dataset_c
 
 def run_name_now(engine: str, model: str, spec: DatasetSpec) -> str:
     """A13 for one run on the driver, no job: same rule as :func:`make_run_name`."""
-    stamp = datetime.now(timezone.utc).strftime("%Y%m%d-%H%M%S")
-    return re.sub("[^A-Za-z0-9_.-]+", "-", "-".join((engine, model, spec.name, spec.split, stamp))).strip("-")
+    stamp = datetime.now(timezone.utc).strftime(PYTHON_RUN_TIME)
+    return re.sub(OUTSIDE_RUN_NAME, "-", "-".join((engine, model, spec.name, spec.split, stamp))).strip("-")
 
 
 def evaluate_run(source: DataFrame, engine: str, model: str, dataset: str, output_root: str, name: str | None = None,
@@ -92,7 +109,7 @@ def evaluate_run(source: DataFrame, engine: str, model: str, dataset: str, outpu
     are read back.
     """
     if limit is not None and limit < 1:
-        raise ValueError("--limit must be >= 1")
+        raise ValueError(LIMIT_ERROR)
     spec = parse_dataset_spec(dataset)
     check_columns(source, spec)
     name = name or run_name_now(engine, model, spec)
@@ -143,7 +160,7 @@ def planned_runs(jobs: DataFrame, limit: int | None = None) -> list[Run]:
         own = dict(zip(words[::2], words[1::2]))
         limits = [int(x) for x in (own.pop("--limit", None), limit) if x is not None]
         if any(x < 1 for x in limits):
-            raise ValueError("--limit must be >= 1")
+            raise ValueError(LIMIT_ERROR)
         given.update({k.lstrip("-").replace("-", "_"): v for k, v in own.items()})
         out.append(Run(job["name"], job["dataset"], job["engine"], job["model"], tuple(sorted(given.items())), min(limits, default=None)))
     return out
@@ -171,18 +188,20 @@ def unit_records(unit: list[tuple[Run, list[int]]], source, done: DataFrame, reg
     it has (``done``; no more than a unit's, hence broadcast), to the
     transcriber. No row, and so no audio, is shuffled or copied.
     """
-    out = []
+    branches = []
     for run, parts in unit:
-        rows = source.rows(run.dataset, parts)
-        if run.limit is not None:
-            rows = rows.where(F.col("row_index") < run.limit)
+        spec = source.spec(run.dataset)
+        wanted = F.col("row_index") < run.limit if run.limit is not None else F.lit(True)
         had = done.where((F.col("run_name") == run.name) & F.col("part").isin(parts)).select("row_index")
-        rows = rows.join(F.broadcast(had), "row_index", "left_anti")
-        heard = transcribe_batch(rows, run.engine if run.engine in registry.items() else F.lit(run.engine), run.model, audio_col="_audio", options=dict(run.options),
-                                 language=language_hint(F.lit(run.engine), F.lit(run.model)), registry=registry, many_models=False, load_failures="run_failure")
-        named = with_run_columns(with_reference(heard, "_reference"), run.engine, run.model, source.spec(run.dataset), run.name)
-        out.append(named.select(*RUN_RECORD, "run_failure"))
-    return score_records(reduce(DataFrame.unionByName, out), empty_reference=empty_reference)
+        constants = {"run_name": run.name, "engine": run.engine, "model": run.model, "dataset": spec.name, "hf_dataset": spec.hf_name, "dataset_config": spec.config,
+                     "split": spec.split, "audio_column": spec.audio_column, "reference_column": spec.reference_column}
+        options = F.create_map(*[F.lit(x) for pair in run.options for x in pair]).cast("map<string,string>")
+        branches.append(source.rows(run.dataset, parts).where(wanted).join(F.broadcast(had), "row_index", "left_anti").select(
+            *[F.lit(v).cast("string").alias(k) for k, v in constants.items()], "row_index", "_audio", "_reference", options.alias("_run_options")))
+    # A task's rows come from one branch, so it loads one model.
+    heard = transcribe_batch(reduce(DataFrame.unionByName, branches), F.col("engine"), F.col("model"), audio_col="_audio", options=F.col("_run_options"),
+                             language=language_hint(F.col("engine"), F.col("model")), registry=registry, many_models=False, load_failures="run_failure")
+    return score_records(with_reference(heard, "_reference").select(*RUN_RECORD, "run_failure"), empty_reference=empty_reference)
 
 
 def run_pending(jobs: DataFrame, utterances: DataFrame | FileUtterances | TableUtterances, output_root: str, registry: Registry = TRANSCRIBERS,
@@ -214,7 +233,8 @@ def run_pending(jobs: DataFrame, utterances: DataFrame | FileUtterances | TableU
     runs = planned_runs(jobs, limit)
     finished = set() if force else {r["name"] for r in finished_runs(spark, f"{root}/summaries").collect()}
     runs = [r for r in runs if r.name not in finished]
-    pending, done = pending_parts(spark, runs, source, f"{root}/records", force)
+    pending, stored = pending_parts(spark, runs, source, f"{root}/records", force)
+    done, failed_before = stored.where("NOT failed"), stored.where("failed")
     failed: set[str] = set()
     begun: set[str] = set()
     unfinished = {run.name for run, *_ in pending}
@@ -226,6 +246,8 @@ def run_pending(jobs: DataFrame, utterances: DataFrame | FileUtterances | TableU
         if not unit:
             continue
         batch = write_batch(unit_records(unit, source, done, registry, empty_reference), f"{root}/records")
+        if runs_of_batch(spark, f"{root}/records", batch):  # not only failures
+            write_sums(added_sums(spark, f"{root}/records", batch, unit, failed_before), f"{root}/records", batch)
         names = {run.name for run, _ in unit}
         fresh = names - begun if force else set()
         commit(spark, f"{root}/records", "replace" if fresh else "append", batch, hide=fresh, info={"unit": str(number), "runs": ",".join(sorted(names))})
@@ -237,33 +259,49 @@ def run_pending(jobs: DataFrame, utterances: DataFrame | FileUtterances | TableU
     ended = [r.name for r in runs if r.name not in unfinished]
     final = settled(read_records(spark, f"{root}/records"))
     if ended:
-        write_summaries(summarize(final.where(F.col("run_name").isin(ended))), f"{root}/summaries")
+        whole = runs_without_sums(spark, f"{root}/records")
+        sums = with_summary_rates(read_sums(spark, f"{root}/records").where(F.col("run_name").isin(sorted(set(ended) - whole))))
+        old = sorted(set(ended) & whole)  # batches that other writers added: their runs' records are gone over
+        write_summaries(sums.unionByName(summarize(final.where(F.col("run_name").isin(old)))) if old else sums, f"{root}/summaries")
     return final, read_summaries(spark, f"{root}/summaries")
 
 
+def added_sums(spark: SparkSession, path: str, batch: str, unit: list[tuple[Run, list[int]]], failed_before: DataFrame) -> DataFrame:
+    """What a unit's batch adds to its runs' sums: its records, less the failed
+    rows that they take the place of. Only the batch itself is read."""
+    own = State(1, {batch: 1}, {batch: ["records"]})
+    new = read_records(spark, path, own).groupBy("run_name").agg(*summary_aggregates())
+    mine = [(F.col("run_name") == run.name) & F.col("part").isin(parts) for run, parts in unit]
+    gone = failed_before.where(reduce(lambda a, b: a | b, mine)).groupBy("run_name").agg(F.count("*").alias("gone"))
+    both = new.join(F.broadcast(gone), "run_name", "left")
+    less = F.coalesce("gone", F.lit(0))
+    return both.select("run_name", *[(F.col(c) - less if c in ("rows", "error_rows") else F.coalesce(c, F.lit(0))).alias(c) for c in SUM_FIELDS])
+
+
 def pending_parts(spark: SparkSession, runs: list[Run], source, path: str, force: bool) -> tuple[list[tuple[Run, int, int]], DataFrame]:
     """``(run, part, rows)`` with rows still to transcribe, in job order, and what
-    the runs have: ``(run_name, part, row_index)`` of stored rows without an
-    error, as a table of its own, which units read their part of.
+    the runs have: ``(run_name, part, row_index, failed)`` of stored rows, as a
+    table of its own, which units read their part of. A row is ``failed`` if all
+    its records have an error.
 
     Only keys are read. The list has an entry for each run and part of the
     source that has work left.
     """
-    nothing = spark.createDataFrame([], "run_name string, part long, row_index long")
+    nothing = spark.createDataFrame([], "run_name string, part long, row_index long, failed boolean")
     keys = source.keys({r.dataset for r in runs})
     if not runs or keys is None:
         return [], nothing
     table = spark.createDataFrame([(i, r.name, r.dataset, r.limit) for i, r in enumerate(runs)], "place int, name string, dataset string, most long")
-    stored = read_records(spark, path).where(F.col("run_name").isin([r.name for r in runs]) & F.col("error").isNull()).select("run_name", "row_index")
-    done = nothing
+    known = nothing
     if not force:
         where = scratch_path(spark, "stored-keys")
-        known = stored.distinct().join(F.broadcast(table.select(F.col("name").alias("run_name"), "dataset")), "run_name")
-        known.join(keys, ["dataset", "row_index"]).select("run_name", F.col("part").cast("long").alias("part"), "row_index").write.parquet(where)
-        done = spark.read.schema(nothing.schema).parquet(where)
-    work = pending_utterances(table, keys, done.select("run_name", "row_index", F.lit(None).cast("string").alias("error")))
+        stored = read_records(spark, path).where(F.col("run_name").isin([r.name for r in runs])).groupBy("run_name", "row_index").agg(F.every(F.col("error").isNotNull()).alias("failed"))
+        of_run = stored.join(F.broadcast(table.select(F.col("name").alias("run_name"), "dataset")), "run_name")
+        of_run.join(keys, ["dataset", "row_index"]).select("run_name", F.col("part").cast("long").alias("part"), "row_index", "failed").write.parquet(where)
+        known = spark.read.schema(nothing.schema).parquet(where)
+    work = pending_utterances(table, keys, known.where("NOT failed").select("run_name", "row_index", F.lit(None).cast("string").alias("error")))
     counts = work.where(F.col("most").isNull() | (F.col("row_index") < F.col("most"))).groupBy("place", "part").agg(F.count("*").alias("n"), F.min("row_index").alias("first"))
-    return [(runs[r["place"]], r["part"], r["n"]) for r in counts.orderBy("place", "first").collect()], done
+    return [(runs[r["place"]], r["part"], r["n"]) for r in counts.orderBy("place", "first").collect()], known
 
 
 def settled(records: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Edge-case rows appended to table-driven queries.
 
-The driver's text tables hold no Turkish, no decomposed characters and no
-Unicode spaces, so these rows carry those cases. They are always unioned
+The driver's text tables hold no Turkish, no decomposed or compatibility
+characters and no Unicode spaces, so these rows carry those cases. They are always unioned
 with whole table scans, never used alone.
 """
 
@@ -25,6 +25,7 @@ EDGE_TEXTS = (
     (-10, "ŞEKER ĞÜÇÖ ıi İI"),
     (-11, "merhaba dunya"),
     (-12, "...!?"),
+    (-13, "oﬃce ﬁn ² x³ ① ＡＢＣ１２ ㎏ ½ ﾊﾝ"),
 )
 
 # Edge-case scoring records (id, reference, prediction).

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from scorelake.operators.score import is_error
 from scorelake.sources.catalog import MATRIX_MODELS, OMNILINGUAL_MODELS, QWEN3_ASR_MODELS
+from scorelake.sources.tables import LIMIT_ERROR
+
+
+# What a run's name may hold, and the time in it (for Spark, for Python).
+OUTSIDE_RUN_NAME = "[^A-Za-z0-9_.-]+"
+RUN_TIME, PYTHON_RUN_TIME = "yyyyMMdd-HHmmss", "%Y%m%d-%H%M%S"
 
 
 def _col(c: Column | str) -> Column:
@@ -30,13 +36,13 @@ def make_run_name(engine: Column | str, model: Column | str, dataset: Column | s
     """``engine-model-dataset-split-yyyyMMdd-HHmmss`` with every run of
     characters outside ``[A-Za-z0-9_.-]`` -> ``-``, and ``-`` stripped at both ends."""
     raw = F.concat_ws("-", _col(engine), _col(model), _col(dataset), _col(split),
-                      F.date_format(_col(at), "yyyyMMdd-HHmmss"))
-    return F.btrim(F.regexp_replace(raw, "[^A-Za-z0-9_.-]+", "-"), F.lit("-"))
+                      F.date_format(_col(at), RUN_TIME))
+    return F.btrim(F.regexp_replace(raw, OUTSIDE_RUN_NAME, "-"), F.lit("-"))
 
 
 def job_name(engine: Column | str, model: Column | str, dataset_spec: Column | str,
              limit: int | None = None) -> Column:
-    """F1 name rule per backend (plus ``-limit-N`` when a limit is set)."""
+    """F1 name rule per backend (plus ``-limit-N`` when a limit is set). The names' parts."""
     engine, model = _col(engine), _col(model)
     ds = slug(dataset_spec)
     tail = F.substring_index(model, "/", -1)
@@ -50,6 +56,7 @@ def job_name(engine: Column | str, model: Column | str, dataset_spec: Column | s
 
 
 def job_args(engine: Column | str, limit: int | None, faster_device: str, faster_compute_type: str) -> Column:
+    """F1 arguments per backend. Their names."""
     engine = _col(engine)
     limit_args = [F.lit("--limit"), F.lit(str(limit))] if limit is not None else []
     return (
@@ -72,7 +79,7 @@ def run_matrix(datasets: DataFrame, spec_col: str = "dataset", limit: int | None
                order_col: str | None = None) -> DataFrame:
     """one job per (dataset spec, catalog model), reference name rule and args."""
     if limit is not None and limit < 1:
-        raise ValueError("--limit must be >= 1")
+        raise ValueError(LIMIT_ERROR)
     cols = [spec_col] + ([order_col] if order_col else [])
     jobs = datasets.select(*cols, F.inline(_models_array()))
     return jobs.select(

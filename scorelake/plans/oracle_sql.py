@@ -16,6 +16,10 @@ WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 # (normalised text has none left).
 FOLD_FROM = "ßäçèéêíñóöüığşâîû"
 FOLD_TO = "!#$%&()*+,-./:;<="
+# NFKC of the compatibility characters that the oracle's inputs
+# hold, in lower case (DuckDB has no such function).
+NFKC = (("ﬃ", "ffi"), ("ﬁ", "fi"), ("²", "2"), ("³", "3"), ("①", "1"), ("ａ", "a"), ("ｂ", "b"), ("ｃ", "c"), ("１", "1"), ("２", "2"),
+        ("㎏", "kg"), ("½", "1⁄2"), ("ﾊ", "ハ"), ("ﾝ", "ン"))
 BIG = 1000000000
 
 
@@ -43,10 +47,11 @@ def normalize_sql(x: str) -> str:
 
 def whisper_cleaned_sql(c: str) -> str:
     # DuckDB lowers İ to i; Python/Java give i + U+0307, so spell that out first.
-    # NFKC: DuckDB has none; the oracle inputs contain no compatibility characters.
     s = f"lower(replace({c}, 'İ', 'i' || chr(775)))"
     s = f"regexp_replace({s}, {q(r'[<\[][^>\]]*[>\]]')}, '', 'g')"
     s = f"regexp_replace({s}, {q(r'\(([^)]+?)\)')}, '', 'g')"
+    for before, after in NFKC:
+        s = f"replace({s}, {q(before)}, {q(after)})"
     s = f"lower(regexp_replace({s}, {q(r'[\p{M}\p{S}\p{P}]')}, ' ', 'g'))"
     return f"trim(regexp_replace({s}, {q('[' + WS + ']+')}, ' ', 'g'))"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from scorelake.sources.tables import file_count
+from scorelake.sources.tables import split_count
 
 # Tasks per core for CPU-bound row work (edit distances are quadratic in
 # text length, so more, smaller tasks even out long rows).
@@ -12,7 +12,7 @@ TASKS_PER_CORE = 4
 
 
 def spread(df: DataFrame, tasks_per_core: int = TASKS_PER_CORE) -> DataFrame:
-    """Round-robin repartition when the scan has fewer files than there are cores.
+    """Round-robin repartition when the scan has fewer splits than there are cores.
 
     A large input already arrives in many splits and is left as it is (no
     shuffle). A small file gives a single split; then an even spread across
@@ -22,4 +22,4 @@ def spread(df: DataFrame, tasks_per_core: int = TASKS_PER_CORE) -> DataFrame:
     the same either way, and nothing runs here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if file_count(df) >= cores else df.repartition(cores * tasks_per_core)
+    return df if split_count(df) >= cores else df.repartition(cores * tasks_per_core)

@@ -29,7 +29,7 @@ from scorelake.sources.commits import commits
 from scorelake.sources.records import parsed_records, recover_records, to_json_lines
 from scorelake.sources.tables import first_n_rows, read_split, read_table, source_row_count, table_path, with_row_index
 from scorelake.sources.utterances import FileUtterances
-from scorelake.streaming.stream import run_scored_stream, run_summary_stream
+from scorelake.streaming.stream import backfill_records, run_scored_stream, run_summary_stream
 
 
 def _texts(spark: SparkSession, sf_dir: str, table: str, key: str, column: str) -> DataFrame:
@@ -103,6 +103,17 @@ def q_char_edit_distance(spark, sf_dir):
         *_KEY, "char_errors", "reference_chars", "whisper_char_errors", "whisper_reference_chars")
 
 
+def q_long_pair_distance(spark, sf_dir):
+    """Whole documents against themselves with every fifth word replaced by as many
+    letters that no document has: the distances are known without an alignment."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = docs.select("doc_id", "text", text.words(text.normalize_text("text")).alias("_words"))
+    other = F.transform("_words", lambda w, i: F.when(i % 5 == 4, F.repeat(F.lit("ŋ"), F.char_length(w))).otherwise(w))
+    pairs = words.select("doc_id", F.col("text").alias("reference"), F.array_join(other, " ").alias("prediction"), F.lit(None).cast("string").alias("error"))
+    scored = score_records(pairs, metrics_wanted=("word", "char"))
+    return scored.where(F.col("word_errors").isNotNull()).select("doc_id", "word_errors", "reference_words", "char_errors", "reference_chars")
+
+
 def q_utterance_error_rates(spark, sf_dir):
     return records(spark, sf_dir, metrics=("word", "char")).where(F.col("wer").isNotNull()).select(*_KEY, "wer", "cer")
 
@@ -531,6 +542,17 @@ def q_stream_scored_records(spark, sf_dir):
                       "wer", "cer", "whisper_wer", "whisper_cer")
 
 
+def q_stream_backfill(spark, sf_dir):
+    """The turns in several files, all of which arrive a second time under other
+    names; every turn is scored once."""
+    conv = read_table(spark, sf_dir, "conversations").select(*_TURN)
+    path = scratch_path(spark, "delivered")
+    for _ in range(2):
+        conv.repartition(3).write.mode("append").parquet(path)
+    out = backfill_records(spark, path, _stream_records, list(_KEY), _TURN, max_files_per_trigger=2)
+    return out.select(*_KEY, "model", "dataset", "reference", "prediction", "error", "wer", "cer", "whisper_wer", "whisper_cer")
+
+
 def q_stream_running_summary(spark, sf_dir):
     """The per-run summary kept as streaming state; equals the batch summary."""
     return run_summary_stream(spark, table_path(sf_dir, "conversations"), _stream_records, _TURN)
@@ -542,6 +564,7 @@ QUERIES = {
     "normalize_whisper": q_normalize_whisper,
     "word_edit_distance": q_word_edit_distance,
     "char_edit_distance": q_char_edit_distance,
+    "long_pair_distance": q_long_pair_distance,
     "utterance_error_rates": q_utterance_error_rates,
     "whisper_error_rates": q_whisper_error_rates,
     "convention_rates": q_convention_rates,
@@ -580,5 +603,6 @@ QUERIES = {
     "audio_layouts": q_audio_layouts,
     "store_append_after_rescore": q_store_append_after_rescore,
     "stream_scored_records": q_stream_scored_records,
+    "stream_backfill": q_stream_backfill,
     "stream_running_summary": q_stream_running_summary,
 }

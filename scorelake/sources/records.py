@@ -105,6 +105,35 @@ def write_batch(records: DataFrame, path: str, rows_per_file: int = ROWS_PER_FIL
     return batch
 
 
+SUM_FIELDS = ("rows", "scored_rows", "error_rows", "word_errors", "reference_words", "char_errors", "reference_chars",
+              "whisper_word_errors", "whisper_reference_words", "whisper_char_errors", "whisper_reference_chars")
+
+
+def write_sums(sums: DataFrame, path: str, batch: str) -> None:
+    """What a batch adds to each run's counters and sums (``run_name, *SUM_FIELDS``)."""
+    lines = sums.select("run_name", F.to_json(F.struct(*SUM_FIELDS)).alias("value"))
+    _write_lines(lines.repartition("run_name"), f"{batch_path(path, batch)}/kind=sums")
+
+
+def read_sums(spark: SparkSession, path: str, now: State | None = None) -> DataFrame:
+    """Each run's counters and sums, from what its batches added; no record is read."""
+    fields = ", ".join(f"{name} bigint" for name in SUM_FIELDS)
+    added = _lines(spark, path, "sums", now).select("run_name", F.from_json("value", fields).alias("s")).select("run_name", "s.*")
+    sums = added.groupBy("run_name").agg(*[F.sum(name).alias(name) for name in SUM_FIELDS])
+    counters = SUM_FIELDS[:3]
+    return sums.select("run_name", *counters, *[F.when(F.col("scored_rows") > 0, F.col(c)).alias(c) for c in SUM_FIELDS[3:]])
+
+
+def runs_without_sums(spark: SparkSession, path: str, now: State | None = None) -> set[str]:
+    """Runs with records in a batch that did not say what it adds; lists files, reads none."""
+    now = now or commits.state(spark, path)
+    plain = {b for b in now.holding("records") if "sums" not in now.kinds[b]}
+    if not plain:
+        return set()
+    own = State(now.version, {b: n for b, n in now.batches.items() if b in plain}, {b: now.kinds[b] for b in plain}, now.hidden)
+    return {r["run_name"] for r in _listed(spark, path, "records", own).select("run_name").distinct().collect()}
+
+
 def runs_of_batch(spark: SparkSession, path: str, batch: str, kind: str = "records") -> list[str]:
     """The runs that a batch holds, from its folders."""
     names = [n[len("run_name="):] for n in children(spark, f"{batch_path(path, batch)}/kind={kind}") if n.startswith("run_name=")]
@@ -257,8 +286,8 @@ def read_summaries(spark: SparkSession, path: str, now: State | None = None) ->
     return _lines(spark, path, "summaries", now).select("run_name", F.from_json("value", SUMMARY_FIELDS).alias("s")).select("run_name", "s.*")
 
 
-def _listed(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return _files(spark, path, kind, spark.read.format("binaryFile"), [F.col("length")])
+def _listed(spark: SparkSession, path: str, kind: str, now: State | None = None) -> DataFrame:
+    return _files(spark, path, kind, spark.read.format("binaryFile"), [F.col("length")], now)
 
 
 def stored_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The error of a limit below one.
+LIMIT_ERROR = "--limit must be >= 1"
 # The offset table has 16 bytes a file; up to this many files it is broadcast,
 # beyond it the join on the file is left to the optimiser.
 MAX_BROADCAST_FILES = 2_000_000
@@ -23,6 +25,16 @@ def file_count(df: DataFrame) -> int:
     return len(df._jdf.inputFiles())
 
 
+def split_count(df: DataFrame) -> int:
+    """Splits that a scan of ``df``'s files has, about: one for each file, and for
+    each ``spark.sql.files.maxPartitionBytes`` of them. No job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    tables = [leaf for leaf in (leaves.apply(i) for i in range(leaves.size())) if leaf.nodeName() == "LogicalRelation"]
+    size = max((int(str(leaf.stats().sizeInBytes())) for leaf in tables), default=0)
+    most = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(file_count(df), -(-size // most))
+
+
 def file_hash(path: Column) -> Column:
     return F.xxhash64(path)
 
@@ -69,7 +81,7 @@ def first_n_rows(df_with_index: DataFrame, limit: int | None, index: str = "row_
     if limit is None:
         return df_with_index
     if limit < 1:
-        raise ValueError("--limit must be >= 1")
+        raise ValueError(LIMIT_ERROR)
     return df_with_index.where(F.col(index) < F.lit(limit))
 
 
@@ -80,7 +92,7 @@ def read_first_rows(spark: SparkSession, path: str, limit: int, columns: list[st
     order until there are enough, and no other file is opened. No job runs.
     """
     if limit < 1:
-        raise ValueError("--limit must be >= 1")
+        raise ValueError(LIMIT_ERROR)
     source = spark.read.parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     hadoop = jvm.org.apache.hadoop.fs.Path

@@ -10,7 +10,7 @@ work that does not need it, and each is read once per run.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,7 @@ class FileUtterances:
 
     scans: Mapping[str, DataFrame]
     specs: Mapping[str, DatasetSpec]
+    _placed: dict[tuple, DataFrame] = field(default_factory=dict, repr=False)
 
     def spec(self, dataset: str) -> DatasetSpec:
         return self.specs[dataset] if dataset in self.specs else parse_dataset_spec(dataset)
@@ -45,22 +46,22 @@ class FileUtterances:
         """``(dataset, part, row_index)`` of every row; reads no column."""
         out = None
         for name in sorted(datasets & set(self.scans)):
-            placed = self._placed(name, [])
-            one = placed.select(F.lit(name).alias("dataset"), F.col("_file").alias("part"), "row_index")
+            one = self._with_place(name).select(F.lit(name).alias("dataset"), "part", "row_index")
             out = one if out is None else out.unionByName(one)
         return out
 
     def rows(self, dataset: str, parts: list[int]) -> DataFrame:
-        """``(row_index, _audio, _reference)`` of some parts; opens only their files."""
+        """``(part, row_index, _audio, _reference)`` of some parts. The condition is
+        one on the files' names, so Spark opens no others."""
         spec = self.spec(dataset)
-        return self._placed(dataset, [F.col(spec.audio_column).alias("_audio"), F.col(spec.reference_column).alias("_reference")], parts).select("row_index", "_audio", "_reference")
+        return self._with_place(dataset, (spec.audio_column, "_audio"), (spec.reference_column, "_reference")).where(F.col("part").isin(parts))
 
-    def _placed(self, name: str, columns: list, parts: list[int] | None = None) -> DataFrame:
-        scan = self.scans[name]
-        file = file_hash(F.col("_metadata.file_path"))
-        wanted = scan if parts is None else scan.where(file.isin(parts))
-        placed = wanted.select(*columns, file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        return placed.join(file_offsets(scan), "_file").withColumn("row_index", F.col("_offset") + F.col("_row"))
+    def _with_place(self, name: str, *columns: tuple[str, str]) -> DataFrame:
+        if (name, columns) not in self._placed:
+            scan = self.scans[name]
+            own = scan.select(*[F.col(c).alias(as_) for c, as_ in columns], file_hash(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            self._placed[name, columns] = own.join(file_offsets(scan), "_file").select(F.col("_file").alias("part"), (F.col("_offset") + F.col("_row")).alias("row_index"), *[as_ for _, as_ in columns])
+        return self._placed[name, columns]
 
 
 @dataclass
@@ -83,4 +84,4 @@ class TableUtterances:
 
     def rows(self, dataset: str, parts: list[int]) -> DataFrame:
         wanted = (F.col("dataset") == dataset) & self._part().isin(parts)
-        return self.table.where(wanted).select("row_index", F.col(self.audio_col).alias("_audio"), F.col(self.reference_col).alias("_reference"))
+        return self.table.where(wanted).select(self._part().alias("part"), "row_index", F.col(self.audio_col).alias("_audio"), F.col(self.reference_col).alias("_reference"))

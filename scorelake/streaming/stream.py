@@ -19,7 +19,7 @@ from scorelake.plans.parallel import TASKS_PER_CORE
 from scorelake.session import scratch_path
 from scorelake.sources.commits import GRACE_SECONDS, batch_path, commit, new_batch, remove_old_files, state
 from scorelake.sources.records import read_summaries, write_summaries, write_summary_lines
-from scorelake.sources.tables import file_count, resolve_row_index
+from scorelake.sources.tables import resolve_row_index, split_count
 
 # Bytes of new files in one micro-batch, for each core.
 BATCH_BYTES_PER_CORE = 512 * 1024 * 1024
@@ -48,7 +48,7 @@ def read_utterance_stream(spark: SparkSession, path: str, columns: list[str] | N
     rows = reader.parquet(path).select(
         *(columns or source.columns), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("row_in_file"))
     # A table of few files gives too few splits for quadratic scoring work.
-    return rows if file_count(source) >= cores else rows.repartition(cores * TASKS_PER_CORE)
+    return rows if split_count(source) >= cores else rows.repartition(cores * TASKS_PER_CORE)
 
 
 def write_record_stream(records: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
@@ -101,6 +101,21 @@ def read_running_summary(spark: SparkSession, table: str) -> DataFrame:
     return with_summary_rates(stored.select("run_name", "rows", "scored_rows", "error_rows", *COUNT_COLUMNS))
 
 
+def backfill_records(spark: SparkSession, path: str, to_records, keys: list[str], columns: list[str] | None = None,
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """H1 over files that may have been delivered more than once: of the records
+    that agree in ``keys`` the first is scored, over all micro-batches.
+
+    The keys are state, so this is for a backfill, which ends and whose state
+    goes with its checkpoint; they are dealt to the session's shuffle partitions.
+    """
+    sink = scratch_path(spark, "backfill-records")
+    stream = read_utterance_stream(spark, path, columns, max_files_per_trigger)
+    once = to_records(stream).dropDuplicates(keys)
+    write_record_stream(score_records(once), sink, sink + "-checkpoint").awaitTermination()
+    return spark.read.parquet(sink)
+
+
 def run_scored_stream(spark: SparkSession, path: str, to_records, columns: list[str] | None = None,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Drive H1 to completion over the table at ``path`` and read the sink, with ``row_index``."""

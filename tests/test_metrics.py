@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scorelake.functions import metrics, text
+from scorelake.functions.long_pairs import distance
 from scorelake.operators.score import EMPTY_REFERENCE_ERROR, score_records
 
 
@@ -91,3 +92,37 @@ def test_empty_reference_convention(spark):
     assert (out[0]["wer"], out[0]["cer"]) == (0.0, 0.0) and out[0]["error"] is None
     assert (out[1]["wer"], out[1]["cer"]) == (100.0, 100.0)
     assert out[2]["wer"] == 100.0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=70), st.lists(st.sampled_from("abcde"), max_size=70))
+def test_bit_parallel_distance_is_that_of_thedp(a, b):
+    assert distance(a, b) == dp(a, b) == distance("".join(a), "".join(b))
+
+
+def test_bit_parallel_distance_of_long_and_odd_sequences():
+    import random
+
+    rng = random.Random(5)
+    for n in (63, 64, 65, 300):
+        a = [rng.choice(["x", "yy", "zzz", str(rng.randrange(40))]) for _ in range(n)]
+        b = [w for w in a if rng.random() < 0.8] + ["end"]
+        rng.shuffle(b) if n == 300 else None
+        assert distance(a, b) == dp(a, b)
+    many = [f"w{i}" for i in range(1_200_000)]  # more words than there are code points
+    other = many[:600_000] + ["new"] + many[600_001:-3]
+    assert distance(many, other) == 4
+    assert distance("a𝄞b" * 50, "ab" * 50) == 50 and distance("", "") == 0 and distance("abc", "") == 3
+
+
+def test_long_and_short_pairs_give_the_same_records(spark, monkeypatch):
+    from scorelake.operators import score
+
+    rows = spark.createDataFrame([(i, r, h, e) for i, (r, h, e) in enumerate([
+        ("bir iki üç dört", "bir üç dörd", None), ("I <x> İSTANBUL", "ı istanbul", None), ("aynı", "aynı", None), ("", "x", None), ("(a)", "b", None),
+        (None, "x", None), ("a b", "", "E: x"), ("😀 a 𝄞 b", "a 𝄞𝄞", None), ("uzun " * 300, "kısa " * 280, None)])], "i int, reference string, prediction string, error string")
+    want = [tuple(r) for r in score.score_records(rows).orderBy("i").collect()]
+    monkeypatch.setattr(score, "LONG_PAIR", 0)
+    assert [tuple(r) for r in score.score_records(rows).orderBy("i").collect()] == want
+    monkeypatch.setattr(score, "LONG_PAIR", 10)
+    assert [tuple(r) for r in score.score_records(rows).orderBy("i").collect()] == want
