@@ -169,3 +169,46 @@ def test_held_out_never_teaches(spark):
     wrong = docs.selectExpr("doc_id", "text", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 THEN 'xx' ELSE lang END AS lang")
     first, second = ([(r["doc_id"], r["language"]) for r in language.identify(d).orderBy("doc_id").collect()] for d in (docs, wrong))
     assert first == second
+
+
+def slow_entropy_spans(text):
+    """Every window's entropy from its own counts."""
+    import math
+    import re
+    from collections import Counter
+
+    found = []
+    for run in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        if len(run[0]) < secrets.WINDOW or any(p.fullmatch(run[0]) for p in secrets.ALLOW):
+            continue
+        for kind, limit, letters in (("entropy_hex", 3.2, r"[0-9a-fA-F]+"), ("entropy_base64", 3.9, r"[A-Za-z0-9+/_=-]+")):
+            for m in re.finditer(letters, run[0]):
+                if m[0].isalpha():
+                    continue
+                spans = []
+                for i in range(len(m[0]) - secrets.WINDOW + 1):
+                    counts = Counter(m[0][i:i + secrets.WINDOW]).values()
+                    if -sum(k / secrets.WINDOW * math.log2(k / secrets.WINDOW) for k in counts) > limit:
+                        if spans and i <= spans[-1][1]:
+                            spans[-1][1] = i + secrets.WINDOW
+                        else:
+                            spans.append([i, i + secrets.WINDOW])
+                found += [(run.start() + m.start() + a, run.start() + m.start() + b, kind) for a, b in spans]
+    return found
+
+
+def test_entropy_spans_of_the_whole_table(spark):
+    """The added spans of every document, and of texts made of random strings."""
+    import random
+
+    rng = random.Random(11)
+    texts = [r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect() if r["text"]]
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(15, 70))) for letters in ("0123456789abcdef", "ABCDEFabcdefGHIJ0123456789+/", "ab", "xyz.-_/")) for _ in range(150)]
+    some = 0
+    for text in texts:
+        base, spans = secrets.scan(text)
+        added = [s for s in spans if s[2].startswith("entropy")]
+        assert sorted(added) == sorted(slow_entropy_spans(text))
+        assert sorted(base) == sorted(s for s in spans if not s[2].startswith("entropy"))
+        some += bool(added)
+    assert some > 50
