@@ -126,3 +126,62 @@ def test_long_and_short_pairs_give_the_same_records(spark, monkeypatch):
     assert [tuple(r) for r in score.score_records(rows).orderBy("i").collect()] == want
     monkeypatch.setattr(score, "LONG_PAIR", 10)
     assert [tuple(r) for r in score.score_records(rows).orderBy("i").collect()] == want
+
+
+def noisy(rng, symbols, share, alphabet):
+    out = []
+    for x in symbols:
+        kind = rng.random() / share if share else 9
+        out += [] if kind < 0.3 else [rng.choice(alphabet)] if kind < 0.7 else [x, rng.choice(alphabet)] if kind < 1 else [x]
+    return out
+
+
+def test_pairs_of_a_batch_are_aligned_together(monkeypatch):
+    """Any mixture of lengths, alphabets and errors: the distances are those of the program cell by cell."""
+    import random
+
+    from scorelake.functions import long_pairs
+
+    rng = random.Random(11)
+    many = [chr(0x4E00 + i) for i in range(300)] + ["😀", " ", " "]
+    for alphabet in (list("ab "), list("abcdefghijkl  "), many):
+        refs, hyps = [], []
+        for n in (0, 1, 5, 63, 64, 65, 127, 128, 129, 190) * 3:
+            ref = [rng.choice(alphabet) for _ in range(n)]
+            refs.append("".join(ref))
+            hyps.append("".join(noisy(rng, ref, rng.choice([0.05, 0.3, 0.9]), alphabet)))
+        refs += ["a b", None, "", None, "same text"]
+        hyps += [None, "a b", "a", None, "same text"]
+        whole = [None if r is None or h is None else dp(r, h) for r, h in zip(refs, hyps)]
+        parts = [None if r is None or h is None else dp(r.split(" "), h.split(" ")) for r, h in zip(refs, hyps)]
+        parts = [dp([w for w in r.split(" ") if w], [w for w in h.split(" ") if w]) if d is not None else None for d, r, h in zip(parts, refs, hyps)]
+        for name, value in (("GROUP_WORDS", 5), ("CHUNK_CHARS", 100), ("GROUPED", 100), ("TABLE_WORDS", 900)):
+            assert long_pairs.text_distances(refs, hyps, False) == whole
+            assert long_pairs.text_distances(refs, hyps, True) == parts
+            monkeypatch.setattr(long_pairs, name, value)
+        assert long_pairs.text_distances(refs, hyps, False) == whole
+        monkeypatch.undo()
+
+
+def test_long_alike_pairs_use_a_band_of_rows(monkeypatch):
+    """A band that is too small is found out and widened; a good one is a small part of the rows."""
+    import random
+
+    from scorelake.functions import long_pairs
+
+    rng = random.Random(12)
+    letters = list("abcdef ")
+    a = [rng.choice(letters) for _ in range(3000)]
+    cases = [(a, noisy(rng, a, share, letters)) for share in (0.01, 0.2, 0.6)]
+    cases += [(a, a[900:] + a[:900]), (a, a[:700] + a[2300:]), (a, [rng.choice(letters) for _ in range(1500)]), (a, ["x"] * 3000)]
+    bounds = []
+    banded = long_pairs._banded
+    monkeypatch.setattr(long_pairs, "_banded", lambda *args: bounds.append(args[-1]) or banded(*args))
+    for x, y in cases:
+        assert distance(x, y) == distance(y, x) == dp(x, y)
+        monkeypatch.setattr(long_pairs, "PROBE", 100)
+        assert distance(x, y) == distance(y, x) == dp(x, y)
+        monkeypatch.setattr(long_pairs, "PROBE", 1_500)
+    bounds.clear()
+    b = noisy(rng, a, 0.05, letters)
+    assert distance(a, b) <= bounds[0] < 600 and len(bounds) == 1
