@@ -90,6 +90,25 @@ def test_only_the_wanted_distances_are_planned(spark):
     assert "array_distinct" not in _plan(QUERIES["char_edit_distance"](spark, SF_SMALL))
 
 
+def test_a_text_is_handed_to_the_alignment_once(spark):
+    """All four distances come from one call, whatever they share."""
+    plan = _plan(QUERIES["scored_records"](spark, SF_SMALL))
+    (step,) = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert step.count("udf(") == 1
+
+
+def test_a_large_role_is_many_files(spark, monkeypatch):
+    """A run of the matrix reads its role file by file, so the largest is no single task."""
+    from scorelake.plans import queries
+
+    monkeypatch.setattr(queries, "TURNS_PER_FILE", 10)
+    source = queries._role_datasets(spark, SF_SMALL)
+    turns = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").groupBy("role").count().collect()
+    for role, n in turns:
+        files = source.scans[f"{role}:test"].inputFiles()
+        assert len(files) >= n / 10 and source.scans[f"{role}:test"].count() == n
+
+
 def test_queries_leave_the_session_alone(spark):
     before = dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.shuffle.partitions")
     for name in ("first_n_rows", "transcribe_batch", "stream_running_summary"):
