@@ -164,6 +164,18 @@ def test_append_after_a_rewrite(spark):
     assert records.count() == 6 and summary.first()["rows"] == 6
 
 
+def test_a_store_of_few_files_is_rescored_on_all_cores(spark, monkeypatch):
+    from scorelake.operators import rescore
+
+    path, plans = folder("results"), []
+    put(path, "r.jsonl", [json.dumps(row(i)) for i in range(40)])
+    write = rescore.rewrite_store
+    monkeypatch.setattr(rescore, "rewrite_store", lambda where, records, *rest: plans.append(records._jdf.queryExecution().executedPlan().toString()) or write(where, records, *rest))
+    records, summary = rescore_store(spark, path)
+    assert "RoundRobinPartitioning" in plans[0]
+    assert records.count() == 40 and summary.first()["rows"] == 40
+
+
 def test_written_runs_replace_what_they_had(spark):
     path = folder("results")
     put(path, "a.jsonl", [json.dumps(row(i)) for i in range(4)])
