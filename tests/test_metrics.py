@@ -185,3 +185,45 @@ def test_long_alike_pairs_use_a_band_of_rows(monkeypatch):
     bounds.clear()
     b = noisy(rng, a, 0.05, letters)
     assert distance(a, b) <= bounds[0] < 600 and len(bounds) == 1
+
+
+def test_alike_pairs_share_a_group_by_their_band(monkeypatch):
+    """Only the words that the band crosses count for a group; a cost that the band does not prove gets a wider one."""
+    import random
+
+    from scorelake.functions import long_pairs
+
+    rng = random.Random(13)
+    letters = list("abcdef ")
+    groups = []
+    aligned = long_pairs._aligned
+    monkeypatch.setattr(long_pairs, "_aligned", lambda rows, *rest: groups.append(len(rows)) or aligned(rows, *rest))
+    refs = ["".join(rng.choice(letters) for _ in range(1_900)) for _ in range(200)]
+    hyps = [r[:500] + "xx" + r[520:1_400] + "y" + r[1_401:] for r in refs]
+    hyps = ["q" + h + "q" for h in hyps]
+    assert long_pairs.text_distances(refs, hyps, False) == [dp(r, h) if i < 2 else distance(r, h) for i, (r, h) in enumerate(zip(refs, hyps))]
+    assert groups == [200]  # 30 words a pair, of which the band crosses two
+    groups.clear()
+    a = "".join(rng.choice(letters) for _ in range(600))
+    turned = a[300:] + a[:300]
+    assert long_pairs.text_distances([a, a], [turned, a[:580] + "x"], False) == [dp(a, turned), 20]
+    assert groups == [2, 1]
+
+
+def test_arrow_batches_taken_together_keep_their_rows(spark):
+    import random
+
+    rng = random.Random(14)
+    pairs = []
+    for i in range(120):
+        ref = ["bir", *(rng.choice(["bir", "iki", "üç", "😀"]) for _ in range(rng.randrange(40)))]
+        pairs.append((" ".join(ref), None if i % 9 == 4 else " ".join(noisy(rng, ref, 0.3, ["x", "iki"]))))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = score(spark, pairs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for i, (ref, hyp) in enumerate(pairs):
+        want = (None, None) if hyp is None else (dp(ref.replace("😀", "").split(), hyp.replace("😀", "").split()), dp(" ".join(ref.replace("😀", "").split()), " ".join(hyp.replace("😀", "").split())))
+        assert (out[i]["word_errors"], out[i]["char_errors"]) == want
