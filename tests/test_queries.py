@@ -2,6 +2,7 @@
 and batch = stream."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -175,3 +176,24 @@ def test_spread_starts_no_job(spark, many_files):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert rows.rdd.getNumPartitions() == 32
+
+
+def test_scoring_is_dealt_out_evenly_whatever_the_splits(spark):
+    """More splits than cores, of which one gets the only row group, and fewer splits than tasks."""
+    from scorelake.plans import parallel, pairs
+    from scorelake.sources.tables import read_table, split_count
+    from scorelake.streaming import stream
+
+    sf, size = "/root/testdata/sf0.01", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        table = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+        assert split_count(table) >= 32
+        assert max(table.rdd.glom().map(len).collect()) == table.count()
+        sizes = pairs.conversation_pairs(spark, sf).select("conv_id").rdd.glom().map(len).collect()
+        assert sum(sizes) == 3 * table.count() and max(sizes) <= 3 * 2 * -(-table.count() // len(sizes))
+        assert "Repartition" in stream.read_utterance_stream(spark, f"{sf}/conversations.parquet")._jdf.queryExecution().analyzed().toString()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(-(-int(os.path.getsize(f"{sf}/conversations.parquet")) // 20)))
+        assert 8 <= split_count(table) < 32 and parallel.spread(table).rdd.getNumPartitions() == 32
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
