@@ -87,6 +87,38 @@ def test_a_dimension_without_a_codebook(spark, monkeypatch):
     assert linked(vector_neighbours.near_duplicates(df)) == slow_links(rows)
 
 
+def test_tasks_of_vectors_are_bounded_on_both_sides(spark, monkeypatch):
+    """A list that many vectors ask is many tasks, whether its members are many or few."""
+    from pyspark.sql.group import GroupedData
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(500, 64))
+    rows = [(i, [float(x) for x in base[i % 500] + (0.05 * rng.normal(size=64) if i >= 500 else 0)]) for i in range(600)]
+    df, sizes = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), []
+    compared = GroupedData.applyInArrow
+
+    def seen(groups, *args):
+        by = [c for c in ("d", "list", "group", "block", "part") if c in groups._df.columns]
+        sizes.extend(r["count"] for r in groups._df.groupBy(*by).count().collect())
+        return compared(groups, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", seen)
+    assert linked(vector_neighbours.near_duplicates(df, block=10)) == slow_links(rows)
+    assert 0 < max(sizes) <= 120 < sum(sizes)
+
+
+@pytest.mark.parametrize("d", [1, 3, 64])
+def test_code_distances_lose_no_pair(d):
+    rng = np.random.default_rng(d)
+    vectors = vector_neighbours.unit(np.concatenate([rng.normal(size=(200, d))] * 2) + rng.normal(size=(400, d)) * np.repeat([0, 0.02, 0.2, 1e-9], 100)[:, None])
+    quantiser = vector_neighbours.Quantiser.fit(vectors)
+    codes, missed = quantiser.encode(vectors, np.zeros(400, np.int64))
+    for least in (0.95, 0.5, 1 - 1e-9):
+        got = {pair for i, k in vector_neighbours.close(quantiser, 0, vectors, vectors, codes, missed, least) for pair in zip(i.tolist(), k.tolist())}
+        exact = np.einsum("id,jd->ij", vectors, vectors)
+        assert got >= set(zip(*(x.tolist() for x in np.nonzero(exact >= least + 1e-12)))) and all(exact[p] >= least - 1e-12 for p in got)
+
+
 def slow_chat(rows):
     out = {}
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
