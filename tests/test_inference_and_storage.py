@@ -305,3 +305,12 @@ def test_read_split_prunes_partitions(spark):
     assert [r["transcription"] for r in df.collect()] == ["bir"] and source_row_count(df, limit=10) == 1
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "split" in plan
+
+
+def test_a_stored_line_is_parsed_once(spark):
+    """Whether a line is sound is not asked by parsing it again in a filter."""
+    rows = spark.createDataFrame([("r", "b", '{"row_index": 1, "wer": 2.0}'), ("r", "b", '\x00\x00 {"row_index": 2}'), ("r", "b", '{"row_index": 3'), ("r", "b", " \t"), ("r", "b", "[4]")], "run_name string, batch string, value string")
+    read = rec.parsed_records(rec.recover_records(rows)).select("row_index", "wer")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert sorted(r["row_index"] for r in read.collect()) == [1, 2]
+    assert sorted(r[rec.CORRUPT] for r in rec.quarantined(rec.recover_records(rows)).collect()) == ["[4]", '{"row_index": 3']
